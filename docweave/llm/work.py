@@ -6,6 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of groups, of some tens of bytes a row, is broadcast whole.
+BROADCAST_ROWS = 100_000
+#: Groups that each hold at least one in so many of the rows; there can be no more than so many.
+HOT_GROUPS = 1000
 
 
 class Workspace:
@@ -42,3 +48,20 @@ class Workspace:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` left-joined on ``key`` with ``groups``, a saved table with one narrow row for each key.
+
+    ``size`` is the column of ``groups`` with a group's number of rows. A table counted
+    as small is broadcast. Beyond that only the groups that hold a thousandth of the
+    rows or more, at most a thousand of them, are broadcast, so that no large group
+    goes to one task; the others meet in a shuffle.
+    """
+    total = groups.agg(F.count("*").alias("n"), F.sum(size).alias("rows")).first()
+    if total["n"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, "left")
+    hot = F.broadcast(groups.filter(F.col(size) >= total["rows"] / HOT_GROUPS))
+    cold = groups.filter(F.col(size) < total["rows"] / HOT_GROUPS)
+    rest = rows.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key, "left")
+    return rows.join(hot, key).unionByName(rest)
