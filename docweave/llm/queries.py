@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import near_dedup, warc
 from .byte_bpe import op10_byte_bpe
 from .iblt import op6_fingerprints
 from .mixing import op2_mixing
 from .mpeg_audio import op4_mpeg_audio
+from .near_dedup import op3_near_dedup
 from .packed_ids import op5_token_ids
 from .token_counts import op9_token_counts
 from .toxicity import op7_toxicity
@@ -18,8 +19,8 @@ from .warc import op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op4_mpeg_audio, op5_token_ids, op6_fingerprints, op7_toxicity, op9_token_counts, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_near_dedup, op4_mpeg_audio, op5_token_ids, op6_fingerprints, op7_toxicity, op9_token_counts, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_near_dedup": near_dedup.ORACLE}
