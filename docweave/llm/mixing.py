@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,5 +191,21 @@ def mix(docs: DataFrame, ws: Workspace, weights: int = 3, cap: float = 3.0) -> D
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def repeat_rows(docs: DataFrame, ws: Workspace, weights: int = 3, cap: float = 3.0) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it: not at all, once or up to ``cap`` times."""
+    keys = ["doc_id", "source", "size"]
+    mixed = mix(docs, ws, weights, cap).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("n_rows"))
+    mixed = ws.save(mixed, "copies")
+    inner = [F.col("row.doc_id").cast("long"), F.col("row.source").cast("string"), F.col("size")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("size", word_count(F.col("row.text")))
+    own, nth = mixed.toDF("k0", "k1", "k2", "copies", "n_rows"), F.lit(1)
+    if not mixed.filter("n_rows > 1").isEmpty():  # rows that share all three divide the copies among them
+        nth = F.row_number().over(Window.partitionBy(*inner).orderBy(F.xxhash64("row.text")))
+    rows = rows.withColumn("nth", nth)
+    met = rows.join(own, inner[0].eqNullSafe(F.col("k0")) & inner[1].eqNullSafe(F.col("k1")) & (inner[2] == F.col("k2")))
+    times = F.floor(F.col("copies") / F.col("n_rows")) + F.when(F.col("nth") <= F.col("copies") % F.col("n_rows"), 1).otherwise(0)
+    return met.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), Workspace(spark, "mixing"))

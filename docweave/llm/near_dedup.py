@@ -119,7 +119,7 @@ def confirm(pairs: DataFrame, signed: DataFrame, classes: DataFrame, ws: Workspa
 
 
 def find(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """``row, n_shingles, component_id, kept``: every row of ``docs`` with the smallest doc_id that links reach.
+    """``row, n_shingles, component_id, kept, group_key``: every row of ``docs`` with the smallest doc_id that links reach.
 
     Rows with one shingle set are one class; links are sought between classes. The lists are
     merged twice: first each posting with its list's first set alone, a star; then, in the lists that
@@ -152,10 +152,27 @@ def find(docs: DataFrame, ws: Workspace) -> DataFrame:
     roots = classes.select("set_key", "least", "n_rows").join(linked.withColumnRenamed("node", "set_key"), "set_key", "left")
     roots = ws.save(roots.filter("root is not null or n_rows > 1").withColumn("root", F.coalesce("root", "set_key")), "roots")
     groups = ws.save(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_sets")), "groups")
-    members = ws.save(join_groups(roots, groups, "root", "n_sets").select("set_key", "n_rows", "component_id", F.lit(True).alias("grouped")), "members")
+    members = ws.save(join_groups(roots, groups, "root", "n_sets").select("set_key", "n_rows", "component_id", "root"), "members")
     out = join_groups(signed.select("row", "n_shingles", "set_key"), members, "set_key", "n_rows")
-    out = out.withColumn("component_id", F.when(F.col("grouped"), F.col("component_id")).otherwise(doc_id))
-    return out.select("row", "n_shingles", "component_id", doc_id.eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.withColumn("component_id", F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(doc_id))
+    kept = doc_id.eqNullSafe(F.col("component_id")).alias("kept")
+    return out.select("row", "n_shingles", "component_id", kept, F.coalesce("root", "set_key").alias("group_key"))
+
+
+def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """The rows of ``docs`` but for near-duplicates: of each component the row with its smallest doc_id.
+
+    Rows without words all stay. Where several rows of a component share that id, or none of its
+    rows has one, one of them stays.
+    """
+    kept = find(docs, ws).filter("kept").select("row", "group_key")
+    tied = kept.filter("group_key is not null").groupBy("group_key").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
+    tied = ws.save(tied, "tied")
+    if tied.isEmpty():
+        return kept.select("row.*")
+    marked = join_groups(kept, tied, "group_key", "n_rows")
+    one = marked.filter("n_rows is not null").groupBy("group_key").agg(F.first("row").alias("row"))
+    return marked.filter("n_rows is null").select("row").unionByName(one.select("row")).select("row.*")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
