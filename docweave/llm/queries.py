@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import near_dedup, warc
 from .byte_bpe import op10_byte_bpe
 from .iblt import op6_fingerprints
+from .lm_scores import op8_lm_scores
 from .mixing import op2_mixing
 from .mpeg_audio import op4_mpeg_audio
 from .near_dedup import op3_near_dedup
@@ -19,7 +20,7 @@ from .warc import op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_near_dedup, op4_mpeg_audio, op5_token_ids, op6_fingerprints, op7_toxicity, op9_token_counts, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_near_dedup, op4_mpeg_audio, op5_token_ids, op6_fingerprints, op7_toxicity, op8_lm_scores, op9_token_counts, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
