@@ -5,27 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
 
+from . import graph_queries, table_queries
 
-def purchased_or_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and the parts on their orders, weighted by the number of distinct orders."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
-    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.groupBy(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").alias("weight"))
+Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (graph_queries, table_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {"purchased_or_quoted": purchased_or_quoted}
+    return {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "purchased_or_quoted": """
-            SELECT o_custkey AS src, l_partkey AS dst, count(*) AS weight
-            FROM orders JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON o_orderkey = l_orderkey
-            GROUP BY ALL"""
-    }
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
