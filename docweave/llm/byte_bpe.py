@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .work import table
 
-#: Distinct pre-tokens that a worker keeps before it starts afresh.
-CACHE = 400_000
+#: Distinct pre-tokens in each of the two generations that a worker keeps.
+CACHE = 300_000
 
 
 class PerfectHash:
@@ -77,6 +79,12 @@ class PerfectHash:
         return i if self.keys[i] == key else -1
 
 
+# The public pattern for texts of the first 256 characters alone, spelled for the faster re module.
+_LETTERS, _DIGITS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_GENERAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACES}{_LETTERS}{_DIGITS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+
+
 class ByteBpe:
     """A vocabulary of ranks: ids are the ranks, merges go from the lowest rank up."""
 
@@ -84,9 +92,12 @@ class ByteBpe:
         tokens = sorted(ranks, key=ranks.__getitem__)
         self.hash = PerfectHash(tokens)
         self.rank = [ranks[t] for t in tokens]
+        self.ranks = ranks
         self.token = {ranks[t]: t for t in tokens}
-        self.pattern = regex.compile(pattern)
-        self.cache: dict[str, tuple[list[int], str]] = {}
+        self.general = regex.compile(pattern).findall
+        self.latin = re.compile(_LATIN).findall if pattern == _GENERAL else self.general
+        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     @classmethod
     def read(cls, path: str, pattern: str) -> ByteBpe:
@@ -100,22 +111,16 @@ class ByteBpe:
         return self.rank[i] if i >= 0 else -1
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of a pre-token that is not a token."""
+        """The ids of a pre-token that is not a token: a heap of pairs over its linked bytes."""
         n = len(piece)
-        after = list(range(1, n + 1))  # a part's end, which is the next part's start
-        before = list(range(-1, n - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(left: int) -> None:
-            middle = after[left]
-            if middle < n and (rank := self.lookup(piece[left : after[middle]])) >= 0:
-                heapq.heappush(heap, (rank, left, after[middle]))
-
-        for i in range(n - 1):
-            offer(i)
+        rank_of, push, pop = self.ranks.get, heapq.heappush, heapq.heappop
+        after = list(range(1, n + 2))  # a part's end, which is the next part's start
+        before = list(range(-1, n))
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := rank_of(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, left, end = heapq.heappop(heap)
+            _, left, end = pop(heap)
             middle = after[left]
             # A pair is stale if a part of it has been merged since it was offered.
             if not alive[left] or middle >= n or after[middle] != end:
@@ -124,32 +129,36 @@ class ByteBpe:
             after[left] = end
             if end < n:
                 before[end] = left
-                offer(left)
-            if before[left] >= 0:
-                offer(before[left])
+                if (rank := rank_of(piece[left : after[end]])) is not None:
+                    push(heap, (rank, left, after[end]))
+            if (previous := before[left]) >= 0 and (rank := rank_of(piece[previous:end])) is not None:
+                push(heap, (rank, previous, end))
         parts, at = [], 0
         while at < n:
-            parts.append(self.lookup(piece[at : after[at]]))
+            parts.append(rank_of(piece[at : after[at]]))
             at = after[at]
         return parts
 
-    def pieces(self, text: str) -> list[tuple[list[int], str]]:
-        """For each pre-token its ids, as numbers and as decimals joined by commas."""
-        cache, out = self.cache, []
-        for piece in self.pattern.findall(text):
-            found = cache.get(piece)
-            if found is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                raw = piece.encode("utf-8")
-                whole = self.lookup(raw)
-                ids = [whole] if whole >= 0 else self.merge(raw)
-                found = cache[piece] = (ids, ",".join(map(str, ids)))
-            out.append(found)
-        return out
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        found = self.older.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8")
+            whole = self.lookup(raw)
+            ids = [whole] if whole >= 0 else self.merge(raw)
+            found = (array("I", ids).tobytes(), ",".join(map(str, ids)))
+        self.cache[piece] = found
+        return found
+
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
+        """For each pre-token its ids, packed in 32 bits each, and as decimals joined by commas."""
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        split = (self.latin if text.isascii() or max(text) < "\u0100" else self.general)(text)
+        get = self.cache.get
+        return [get(p) or self._piece(p) for p in split]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces(text) for i in ids]
+        return np.frombuffer(b"".join([packed for packed, _ in self.pieces(text)]), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -180,7 +189,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, with_ids: bool = True
             counts, ids_hash, text_hash, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
                 pieces = codec.pieces(text)
-                ids = [i for x, _ in pieces for i in x]
+                ids = np.frombuffer(b"".join([packed for packed, _ in pieces]), "<u4").tolist()
                 counts.append(len(ids))
                 ids_hash.append(hashlib.sha256(",".join([s for _, s in pieces]).encode()).hexdigest())
                 text_hash.append(hashlib.sha256(codec.decode(ids)).hexdigest())
