@@ -88,7 +88,8 @@ def searchable_aliases(names: DataFrame, entities: DataFrame, owner_key: str | N
     return found.groupBy("alias").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("most")).filter("entity_id = most").drop("most")
 
 
-_EDGES_OF_WORDS = r"(?<![\p{L}\p{N}_])|(?![\p{L}\p{N}_])"
+# Between a text's tokens: runs of letters and digits, and every other character by itself.
+_BETWEEN = r"(?<![\p{L}\p{N}_])|(?![\p{L}\p{N}_])"
 
 
 def gazetteer_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def gazetteer_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     A text's word sequences of the lengths that aliases have are looked up in an equi-join, so
     neither a pattern of all aliases nor every pair of text and alias is ever made.
     """
-    words = lambda c: F.filter(F.split(c, r"(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])"), lambda x: x != "")
+    words = lambda c: F.filter(F.split(c, _BETWEEN), lambda x: x != "")
     keyed = names.select("alias", "entity_id", words(F.col("alias")).alias("parts")).withColumn("n", F.size("parts")).filter("n > 0")
     lengths = keyed.select("n").distinct()
     tokens = texts.select("file_id", words(F.col("text")).alias("parts")).select("file_id", "parts", F.posexplode("parts").alias("start", "first"))

@@ -135,14 +135,14 @@ def missing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.missing_documents(star.entities(spark, sf_dir), own).select("id", "key")
 
 
-@query("""WITH m AS (SELECT l_partkey AS entity_id, l_returnflag AS alias, l_linestatus AS method, l_discount AS confidence FROM lineitem),
+@query("""WITH m AS (SELECT l_partkey AS entity_id, l_returnflag AS alias, l_linestatus AS method, (l_linenumber % 4) * 0.25 AS confidence FROM lineitem),
     c AS (SELECT entity_id, alias, method, count(*) AS n FROM m GROUP BY ALL),
     top AS (SELECT *, row_number() OVER (PARTITION BY entity_id, alias ORDER BY n DESC, method) AS r FROM c)
-    SELECT m.entity_id, m.alias, t.method, round(avg(m.confidence), 3) AS confidence, count(*) AS count
+    SELECT m.entity_id, m.alias, t.method, round(avg(CAST(m.confidence AS DOUBLE)), 3) AS confidence, count(*) AS count
     FROM m JOIN top t ON t.entity_id = m.entity_id AND t.alias = m.alias AND t.r = 1 GROUP BY ALL""")
 def alias_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = star.read(spark, sf_dir, "lineitem")
-    return relate.aliases(lines.select(F.col("l_partkey").alias("entity_id"), F.col("l_returnflag").alias("surface"), F.col("l_linestatus").alias("method"), F.col("l_discount").alias("confidence")))
+    return relate.aliases(lines.select(F.col("l_partkey").alias("entity_id"), F.col("l_returnflag").alias("surface"), F.col("l_linestatus").alias("method"), (F.col("l_linenumber") % 4 * F.lit(0.25)).alias("confidence")))
 
 
 @query("""WITH RECURSIVE {sql}, links AS (SELECT DISTINCT node, other FROM adjacency WHERE derived = 0),
@@ -175,13 +175,16 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEPS = "steps AS (SELECT node, other, rel || ':' || dir AS step FROM adjacency WHERE derived = 0 AND node <> other)"
 
 
+_GOAL = "(SELECT min(c_custkey) * 10 + 1 FROM customer WHERE c_custkey > 1 AND c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 1))"
+
+
 @query(f"""WITH {star.SQL}, {_STEPS},
-    p AS (SELECT [a.node, a.other, b.other, c.other] AS path, [a.step, b.step, c.step] AS relations FROM steps a JOIN steps b ON b.node = a.other JOIN steps c ON c.node = b.other
-        WHERE a.node = {CENTER} AND c.other = 21 AND b.other <> {CENTER} AND a.other <> 21),
-    d AS (SELECT [a.node, a.other, b.other] AS path, [a.step, b.step] AS relations FROM steps a JOIN steps b ON b.node = a.other WHERE a.node = {CENTER} AND b.other = 21),
-    f AS (SELECT * FROM d UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM d))
+    f AS (SELECT [a.node, a.other, b.other] AS path, [a.step, b.step] AS relations FROM steps a JOIN steps b ON b.node = a.other WHERE a.node = {CENTER} AND b.other = {_GOAL})
     SELECT array_to_string(path, '>') AS path, array_to_string(relations, '>') AS relations, CAST(len(path) - 1 AS INTEGER) AS hops FROM f ORDER BY f.path, f.relations LIMIT 5""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Between the two first customers."""
-    found = graph.shortest_paths(CENTER, 21, stated(spark, sf_dir))
+    """Between the first customer and the next one of its nation."""
+    customers = star.read(spark, sf_dir, "customer")
+    home = customers.filter("c_custkey = 1").select("c_nationkey")
+    goal = customers.filter("c_custkey > 1").join(home, "c_nationkey").agg(F.min("c_custkey")).first()[0]
+    found = graph.shortest_paths(CENTER, (goal or 0) * 10 + star.COMPANY, stated(spark, sf_dir))
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.array_join("relations", ">").alias("relations"), "hops")
