@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +23,8 @@ from .work import BROADCAST_ROWS, Workspace, join_groups, table
 
 WORDS = 5
 SIMILARITY = 75  # percent
-#: A pair at 75 % agrees in 24 of 32 coordinates on average, in fewer than 11 about once in ten million times.
-COORDINATES, MATCHES = 32, 11
+#: A pair at 75 % agrees in 48 of 64 coordinates on average, in fewer than 30 less than once in a million times.
+COORDINATES, MATCHES = 64, 30
 
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 1 << 63, COORDINATES, dtype="u8")[:, None]
@@ -63,6 +63,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= SIMILARITY * (len(a) + len(b) - shared)
 
 
+def sizes_fit(a: str, b: str) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return SIMILARITY * F.greatest(a, b) <= 100 * F.least(a, b)
+
+
 def sign(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of ``docs``), ``n_shingles``, ``set_key`` (a 128-bit hash of the set) and ``coords``."""
     schema = T.StructType(
@@ -83,25 +88,70 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).mapInArrow(run, schema)
 
 
+def classes_of(signed: DataFrame, ws: Workspace) -> DataFrame:
+    """``cid, set_key, least, n_rows, n_shingles, coords``: distinct sets under numbers that take little room in shuffles."""
+    found = signed.filter("n_shingles > 0").groupBy("set_key").agg(
+        F.min(F.col("row.doc_id").cast("long")).alias("least"), F.count("*").alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.first("coords").alias("coords")
+    )
+    return ws.save(found.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+
 def postings(classes: DataFrame, ws: Workspace) -> DataFrame:
-    """``coord, set_key``: the prefix of each set, its rarest coordinate values but for those skipped."""
-    posts = classes.select(F.explode("coords").alias("coord"), "set_key")
+    """``coord, cid, n_shingles, central``: the prefix of each set, its rarest coordinate values but for those
+    skipped. A set is the more central the more of its values others have: what copies were made from."""
+    posts = classes.select(F.explode("coords").alias("coord"), "cid")
     shared = ws.save(posts.groupBy("coord").agg(F.count("*").alias("n_posts")).filter("n_posts > 1"), "shared")
     met = join_groups(posts, shared, "coord", "n_posts").filter("n_posts is not null")
-    own = Window.partitionBy("set_key")
+    own = Window.partitionBy("cid")
     ranked = met.withColumn("n", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("n_posts", "coord")))
-    return ws.save(ranked.filter(F.col("at") <= F.col("n") - (MATCHES - 1)).select("coord", "set_key"), "postings")
+    prefix = ranked.filter(F.col("at") <= F.col("n") - (MATCHES - 1)).select("coord", "cid", "n")
+    known = prefix.join(classes.select("cid", "n_shingles", "n_rows"), "cid")
+    return ws.save(known.select("coord", "cid", "n_shingles", F.struct("n", "n_rows", -F.col("cid")).alias("central")), "postings")
+
+
+def texts_of(cids: DataFrame, signed: DataFrame, classes: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """``cid, text``: one text of each set in ``cids`` (``cid``), a saved table."""
+    keys = ws.save(classes.select("cid", "set_key").join(cids, "cid"), f"{name}-keys")
+    few = keys.count() <= BROADCAST_ROWS
+    texts = signed.select("set_key", F.col("row.text").alias("text")).join(F.broadcast(keys) if few else keys.hint("merge"), "set_key")
+    return ws.save(texts.groupBy("cid").agg(F.first("text").alias("text")), f"{name}-texts")
+
+
+def rarest_shingles(sets: DataFrame, signed: DataFrame, classes: DataFrame, ws: Workspace) -> DataFrame:
+    """``shingle, cid, n_shingles, place, root`` of ``sets`` (``cid, n_shingles, root``): each set's rarest
+    quarter, with a shingle's place among the set's own, the rarest being the first.
+
+    Similar sets share three quarters of either, so one at least of any order's first quarter and one more.
+    Shingles of one set alone come first in the order and are left out.
+    """
+    texts = texts_of(sets.select("cid"), signed, classes, ws, "open")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, text in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = shingles(text).view("i8")
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), cid, "i8"))], names=["shingle", "cid"])
+
+    every = ws.save(texts.mapInArrow(run, "shingle long, cid long"), "open-shingles")
+    shared = ws.save(every.groupBy("shingle").agg(F.count("*").alias("n_sets")).filter("n_sets > 1"), "open-shared")
+    met = join_groups(every, shared, "shingle", "n_sets").filter("n_sets is not null")
+    own = Window.partitionBy("cid")
+    ranked = met.withColumn("common", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("n_sets", "shingle"))).join(sets, "cid")
+    length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * SIMILARITY / 100) + 1
+    place = F.col("at") + F.col("n_shingles") - F.col("common")
+    prefix = ranked.filter(place <= length)
+    out = ws.save(prefix.select("shingle", "cid", "n_shingles", place.alias("place"), "root"), "rare")
+    ws.drop("open-shingles", "open-shared", "open-texts")
+    return out
 
 
 def confirm(pairs: DataFrame, signed: DataFrame, classes: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """The pairs ``a, b`` whose signatures agree often enough and whose full sets are similar."""
     for end in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("set_key").alias(end), F.col("coords").alias(f"coords_{end}")), end)
+        pairs = pairs.join(classes.select(F.col("cid").alias(end), F.col("coords").alias(f"coords_{end}")), end)
     pairs = ws.save(pairs.filter(F.size(F.array_intersect("coords_a", "coords_b")) >= MATCHES).select("a", "b"), f"{name}-agree")
-    keys = ws.save(pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct(), f"{name}-keys")
-    few = keys.count() <= BROADCAST_ROWS
-    wanted = signed.select("set_key", F.col("row.text").alias("text")).join(F.broadcast(keys) if few else keys.hint("merge"), "set_key", "left_semi")
-    texts = ws.save(wanted.groupBy("set_key").agg(F.first("text").alias("text")), f"{name}-texts")
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    texts = texts_of(wanted, signed, classes, ws, name)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, "u8")  # rows of one a come together
@@ -114,49 +164,59 @@ def confirm(pairs: DataFrame, signed: DataFrame, classes: DataFrame, ws: Workspa
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     for end in ("b", "a"):
-        pairs = pairs.join(texts.select(F.col("set_key").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return ws.save(pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary"), f"{name}-links")
+        pairs = pairs.join(texts.select(F.col("cid").alias(end), F.col("text").alias(f"text_{end}")), end)
+    return ws.save(pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"), f"{name}-links")
 
 
 def find(docs: DataFrame, ws: Workspace) -> DataFrame:
     """``row, n_shingles, component_id, kept, group_key``: every row of ``docs`` with the smallest doc_id that links reach.
 
     Rows with one shingle set are one class; links are sought between classes. The lists are
-    merged twice: first each posting with its list's first set alone, a star; then, in the lists that
-    the links so found leave in several components, every pair that crosses two of them. A pair
-    that is never compared is in one component already, so components are those of all links.
+    merged twice: first each posting with its list's most central set alone, a star; then, in the lists that
+    the links so found leave in several components, the pairs that cross two of them. Where a long
+    passage makes such a list long, most of these agree in many coordinates and are not similar; so
+    they must also share one of either set's rarest shingles, so many that similar sets of their
+    sizes cannot differ in all of them.
+    A pair that is never compared is in one component already, so components are those of all links.
 
     Rows without words, or with a null text, are linked with nothing. Rows without a doc_id link like
     others; a component of such rows alone has a null id. Rows of equal ids are judged by their own texts.
     """
     signed = ws.save(sign(docs), "signed")
     doc_id = F.col("row.doc_id").cast("long")
-    classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min(doc_id).alias("least"), F.count("*").alias("n_rows"), F.first("coords").alias("coords"))
-    classes = ws.save(classes, "classes")
+    classes = classes_of(signed, ws)
     posts = postings(classes, ws)
-    heads = ws.save(posts.groupBy("coord").agg(F.min("set_key").alias("a"), F.count("*").alias("n_posts")).filter("n_posts > 1"), "heads")
-    star = join_groups(posts, heads, "coord", "n_posts").filter("a != set_key").select("a", F.col("set_key").alias("b")).distinct()
-    star = ws.save(star, "star")
+    ws.drop("shared")
+    heads = posts.groupBy("coord").agg(F.max_by(F.struct(F.col("cid").alias("a"), F.col("n_shingles").alias("n_a")), "central").alias("head"), F.count("*").alias("n_posts"))
+    heads = ws.save(heads.filter("n_posts > 1").select("coord", "head.*", "n_posts"), "heads")
+    star = join_groups(posts, heads, "coord", "n_posts").filter("a != cid").filter(sizes_fit("n_a", "n_shingles"))
+    star = ws.save(star.select("a", F.col("cid").alias("b")).distinct(), "star")
     links = confirm(star, signed, classes, ws, "star")
     linked = components(links, ws, "first")
-    placed = posts.join(linked.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    placed = posts.join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = ws.save(placed, "placed")
-    open_lists = ws.save(placed.groupBy("coord").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_posts")).filter("low != high").select("coord", "n_posts"), "open")
-    left = ws.save(join_groups(placed, open_lists, "coord", "n_posts").filter("n_posts is not null").select("coord", "set_key", "root"), "left")
-    x, y = left.toDF("coord", "x", "root_x"), left.toDF("coord", "y", "root_y")
-    crossing = x.join(y, "coord").filter("root_x < root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_lists = placed.groupBy("coord").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_posts")).filter("low != high")
+    open_lists = ws.save(open_lists.select("coord", "n_posts"), "open")
+    left = ws.save(join_groups(placed, open_lists, "coord", "n_posts").filter("n_posts is not null").select("coord", "cid", "n_shingles", "root"), "left")
+    rare = rarest_shingles(left.select("cid", "n_shingles", "root").distinct(), signed, classes, ws)
+    x, y = rare.toDF("shingle", "x", "n_x", "place_x", "root_x"), rare.toDF("shingle", "y", "n_y", "place_y", "root_y")
+    share = F.ceil((F.col("n_x") + F.col("n_y")) * SIMILARITY / (100 + SIMILARITY))  # what similar sets of these sizes have in common
+    near = (F.col("place_x") <= F.col("n_x") - share + 1) & (F.col("place_y") <= F.col("n_y") - share + 1)
+    crossing = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("root_x") < F.col("root_y")) & sizes_fit("n_x", "n_y") & near)
+    crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     crossing = ws.save(crossing.join(star, ["a", "b"], "left_anti"), "crossing")
+    ws.drop("star-texts", "heads", "postings", "placed")
     if not crossing.isEmpty():
         links = links.unionByName(confirm(crossing, signed, classes, ws, "crossing"))
         linked = components(links, ws, "second")
-    roots = classes.select("set_key", "least", "n_rows").join(linked.withColumnRenamed("node", "set_key"), "set_key", "left")
-    roots = ws.save(roots.filter("root is not null or n_rows > 1").withColumn("root", F.coalesce("root", "set_key")), "roots")
-    groups = ws.save(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_sets")), "groups")
-    members = ws.save(join_groups(roots, groups, "root", "n_sets").select("set_key", "n_rows", "component_id", "root"), "members")
+    roots = classes.select("cid", "set_key", "least", "n_rows").join(linked.withColumnRenamed("node", "cid"), "cid", "left")
+    roots = ws.save(roots.filter("root is not null or n_rows > 1").withColumn("root", F.coalesce("root", "cid")), "roots")
+    groups = ws.save(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_sets"), F.min("set_key").alias("group_key")), "groups")
+    members = ws.save(join_groups(roots, groups, "root", "n_sets").select("set_key", "n_rows", "component_id", "group_key"), "members")
     out = join_groups(signed.select("row", "n_shingles", "set_key"), members, "set_key", "n_rows")
-    out = out.withColumn("component_id", F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(doc_id))
+    out = out.withColumn("component_id", F.when(F.col("group_key").isNotNull(), F.col("component_id")).otherwise(doc_id))
     kept = doc_id.eqNullSafe(F.col("component_id")).alias("kept")
-    return out.select("row", "n_shingles", "component_id", kept, F.coalesce("root", "set_key").alias("group_key"))
+    return out.select("row", "n_shingles", "component_id", kept, F.coalesce("group_key", "set_key").alias("group_key"))
 
 
 def keep_one(docs: DataFrame, ws: Workspace) -> DataFrame:
