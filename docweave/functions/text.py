@@ -33,9 +33,13 @@ def plain_letters(text: Column) -> Column:
 # Words that company names are compared without.
 STOP_WORDS = ("and", "the", "of")
 LEGAL_SUFFIXES = (
-    "ltd", "limited", "inc", "incorporated", "llc", "llp", "plc", "corp", "corporation", "co", "company", "gmbh", "ag", "sa", "sas", "sarl", "bv", "nv", "spa", "srl", "ab", "as", "oy", "pty",
+    "ltd", "lt", "limited", "inc", "incorporated", "co", "corp", "corporation", "plc", "llc", "llp", "lp", "company", "gmbh", "ag", "kg", "ug", "sa", "sarl", "sas", "bv", "nv", "srl", "spa",
+    "oy", "pty", "pte", "bhd", "kk", "sro", "kft",
+)
+GENERIC_DOMAINS = (
+    "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "yahoo.com", "yahoo.co.uk", "ymail.com", "icloud.com", "me.com", "mac.com", "aol.com", "proton.me",
+    "protonmail.com", "gmx.de", "gmx.net", "gmx.com", "web.de", "t-online.de", "mail.com", "zoho.com", "yandex.ru", "btinternet.com", "orange.fr", "free.fr", "libero.it", "qq.com", "163.com",
 )
-GENERIC_DOMAINS = ("gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "yahoo.com", "icloud.com", "aol.com", "gmx.de", "gmx.net", "web.de", "proton.me", "protonmail.com")
 
 
 def company_words(name: Column, suffixes: tuple[str, ...] = LEGAL_SUFFIXES) -> Column:

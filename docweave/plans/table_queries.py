@@ -51,8 +51,8 @@ def email_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT domain, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1))) AS domain FROM documents)
-    WHERE domain NOT IN ('gmail.com','googlemail.com','outlook.com','hotmail.com','live.com','yahoo.com','icloud.com','aol.com','gmx.de','gmx.net','web.de','proton.me','protonmail.com')
-    GROUP BY domain ORDER BY n_docs DESC, domain LIMIT 1""")
+    WHERE domain NOT IN (SELECT unnest(string_split('{generic}', ' ')))
+    GROUP BY domain ORDER BY n_docs DESC, domain LIMIT 1""".replace("{generic}", " ".join(t.GENERIC_DOMAINS)))
 def owner_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(spark, sf_dir, "documents").select("doc_id", F.explode(t.email_domains(F.col("text"))).alias("domain")).distinct()
     found = found.filter(~t.is_generic_domain(F.col("domain"))).groupBy("domain").agg(F.count("*").alias("n_docs"))
