@@ -94,19 +94,23 @@ _BETWEEN = r"(?<![\p{L}\p{N}_])|(?![\p{L}\p{N}_])"
 
 def gazetteer_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``file_id, entity_id, alias, start`` for each whole-word, case-sensitive occurrence of an alias in
-    ``file_id, text``. An occurrence that lies within a longer one is not reported.
+    ``file_id, text``. Of occurrences that begin at one place the longest is reported.
 
-    A text's word sequences of the lengths that aliases have are looked up in an equi-join, so
-    neither a pattern of all aliases nor every pair of text and alias is ever made.
+    A text's runs of one to three tokens are looked up among the aliases' first tokens in an equi-join; only
+    where they meet is the whole alias compared. No pattern of all aliases and no pair of every text and alias is made.
     """
     words = lambda c: F.filter(F.split(c, _BETWEEN), lambda x: x != "")
-    keyed = names.select("alias", "entity_id", words(F.col("alias")).alias("parts")).withColumn("n", F.size("parts")).filter("n > 0")
-    lengths = keyed.select("n").distinct()
-    tokens = texts.select("file_id", words(F.col("text")).alias("parts")).select("file_id", "parts", F.posexplode("parts").alias("start", "first"))
-    heads = keyed.select(F.element_at("parts", 1).alias("first")).distinct()
-    spans = tokens.join(heads, "first", "left_semi").crossJoin(F.broadcast(lengths)).filter(F.col("start") + F.col("n") <= F.size("parts"))
-    spans = spans.select("file_id", "start", "n", F.array_join(F.slice("parts", F.col("start") + 1, F.col("n")), "").alias("alias"))
-    hits = spans.join(keyed.select("alias", "entity_id"), "alias")
+    keyed = names.select("alias", "entity_id", words(F.col("alias")).alias("own")).withColumn("n", F.size("own")).filter("n > 0")
+    keyed = keyed.select("alias", "entity_id", "n", F.array_join(F.slice("own", 1, 3), "").alias("head"), F.least("n", F.lit(3)).alias("k"))
+    parts = texts.select("file_id", words(F.col("text")).alias("parts")).filter(F.size("parts") > 0)
+    heads = parts.select(
+        "file_id",
+        F.expr(
+            "inline(flatten(transform(sequence(0, size(parts) - 1), i -> transform(array(1, 2, 3), k -> struct(i as start, k as k, array_join(slice(parts, i + 1, k), '') as head)))))"
+        ),
+    )
+    met = heads.join(keyed, ["head", "k"]).join(parts, "file_id")
+    hits = met.filter(F.array_join(F.slice("parts", F.col("start") + 1, F.col("n")), "") == F.col("alias"))
     longest = hits.groupBy("file_id", "start").agg(F.max_by(F.struct("alias", "entity_id", "n"), "n").alias("best"))
     return longest.select("file_id", "best.entity_id", "best.alias", "start")
 

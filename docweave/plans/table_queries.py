@@ -59,8 +59,7 @@ def owner_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("n_docs"), "domain").limit(1)
 
 
-@query(r"""SELECT DISTINCT d.doc_id AS file_id, b.item_id AS entity_id FROM documents d JOIN benchmark b
-    ON regexp_matches(' ' || d.text || ' ', '[^\p{L}\p{N}_]' || regexp_escape(b.text) || '[^\p{L}\p{N}_]')""")
+@query("SELECT d.doc_id AS file_id, b.item_id AS entity_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def gazetteer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
     names = read(spark, sf_dir, "benchmark").select(F.col("text").alias("alias"), F.col("item_id").alias("entity_id"))
