@@ -26,9 +26,9 @@ GRAMS, BUCKETS, DIM, PASSAGE = (3, 4, 5, 6), 1 << 18, 4, 8
 #: How strongly a document's log-odds lean to its highest passages.
 SHARP = 4.0
 #: The training sample's bounds: rows of each label, and UTF-8 bytes in all.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 24 << 20
-EPOCHS, RATE, DECAY, SEED = 16, 0.05, 1e-6, 7
-GAIN = 4.0
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16 << 20
+EPOCHS, RATE, DECAY, SEED = 12, 0.05, 1e-6, 7
+GAIN = 6.0
 #: An n-gram is learned only if it is in so many documents of the sample, or in this share of them if that is more.
 MIN_DOCS, MIN_SHARE = 3, 0.002
 CACHE = 400_000
@@ -54,7 +54,7 @@ def grams_of(word: str) -> list[int]:
 def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram rows of all words, one word after another, and how many each word has."""
     bags = [grams_of(w) for w in words]
-    return np.fromiter((g for bag in bags for g in bag), "i8"), np.fromiter(map(len, bags), "i8", len(bags))
+    return np.fromiter((g for bag in bags for g in bag), "i4"), np.fromiter(map(len, bags), "i8", len(bags))
 
 
 @dataclass
@@ -114,25 +114,27 @@ def train(texts: list[str], labels: list[int]) -> Model:
     flat, gram_sizes = _bags(list(number))
     gram_starts, starts, doc_starts = (np.cumsum(s) - s for s in (gram_sizes, sizes, docs))
     gram_word, passage_of, doc_of = (np.repeat(np.arange(len(s)), s) for s in (gram_sizes, sizes, docs))
-    in_doc = np.unique(np.repeat(np.arange(len(docs)), np.add.reduceat(sizes, doc_starts)) * np.int64(len(number)) + word_at)
-    doc_grams = _expand(in_doc % len(number), gram_starts, gram_sizes, flat)
-    pairs = np.unique(np.repeat(in_doc // len(number), gram_sizes[in_doc % len(number)]) * np.int64(BUCKETS) + doc_grams)
-    spread_in = np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    toxic_in = np.bincount(pairs[y[pairs // BUCKETS] > 0] % BUCKETS, minlength=BUCKETS)
+    spread_in, toxic_in = np.zeros(BUCKETS, "i8"), np.zeros(BUCKETS, "i8")
+    ends = np.cumsum(np.add.reduceat(sizes, doc_starts))
+    for label, end, n in zip(y, ends, np.diff(np.append(0, ends)), strict=True):
+        words = np.unique(word_at[end - n : end])
+        grams = np.unique(_expand(words, gram_starts, gram_sizes, flat))
+        spread_in[grams] += 1
+        toxic_in[grams] += label > 0
     # The first dimension starts at each n-gram's smoothed log-odds, the layer at a gain for it.
     model.embeddings[:, 0] = np.log((toxic_in + 0.5) / (y.sum() + 1)) - np.log((spread_in - toxic_in + 0.5) / (len(y) - y.sum() + 1))
     model.weights[:, 0] = (-GAIN / 2, GAIN / 2)
     flat[spread_in[flat] < max(MIN_DOCS, MIN_SHARE * len(docs))] = BUCKETS  # one row for all rare n-grams, kept at 0
-    used, gram_at = np.unique(np.append(flat, BUCKETS), return_inverse=True)
-    gram_at = gram_at[:-1]
+    used = np.unique(np.append(flat, BUCKETS))
+    gram_at = np.searchsorted(used, flat).astype("i4")
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
     table_ = np.append(model.embeddings, np.zeros((1, DIM), "f4"), 0)[used]
     params = [table_, model.weights, model.biases]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    spread = lambda at, values, n: np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], 1)
+    spread = lambda at, values, of, n: np.stack([np.bincount(at, values[:, k][of], n) for k in range(values.shape[1])], 1)
     for step in range(1, EPOCHS + 1):
         table_, w, b = params
-        vectors = np.add.reduceat(table_[gram_at], gram_starts) / gram_sizes[:, None]
+        vectors = np.stack([np.add.reduceat(table_[:, k][gram_at], gram_starts) for k in range(DIM)], 1) / gram_sizes[:, None]
         hidden = np.add.reduceat(vectors[word_at], starts) / sizes[:, None]
         odds = hidden @ (w[1] - w[0]) + (b[1] - b[0])
         top = np.maximum.reduceat(odds, doc_starts)
@@ -141,8 +143,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
         p = 1 / (1 + np.exp(-np.add.reduceat(lean * odds, doc_starts)))
         slope = lean * (weight * (p - y))[doc_of]
         towards = np.outer(slope, w[1] - w[0])
-        to_words = spread(word_at, (towards / sizes[:, None])[passage_of], len(number))
-        to_grams = spread(gram_at, (to_words / gram_sizes[:, None])[gram_word], len(used))
+        to_words = spread(word_at, towards / sizes[:, None], passage_of, len(number))
+        to_grams = spread(gram_at, to_words / gram_sizes[:, None], gram_word, len(used))
         to_grams[-1] = 0
         to_grams += DECAY * table_
         up = hidden.T @ slope
@@ -151,6 +153,13 @@ def train(texts: list[str], labels: list[int]) -> Model:
             m[...] = 0.9 * m + 0.1 * grad
             v[...] = 0.999 * v + 0.001 * grad * grad
             params[i] = (params[i] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype("f4")
+    # Put the boundary where the sample's labels part best, midway between the two documents next to it.
+    found = np.add.reduceat(lean * odds, doc_starts)
+    order = np.argsort(found)
+    gain = np.cumsum(np.where(y[order] > 0, -weight[order], weight[order]))
+    best = np.flatnonzero(gain >= gain.max() - 1e-6)
+    cut = (found[order[best[0]]] + found[order[min(best[-1] + 1, len(order) - 1)]]) / 2
+    params[2] = params[2] - np.array([-cut / 2, cut / 2], "f4")
     model.embeddings *= 0  # n-grams that were never seen say nothing
     model.embeddings[used[:-1]], model.weights, model.biases = params[0][:-1], params[1], params[2]
     return model
