@@ -49,72 +49,98 @@ def paragraph_digests(text: str) -> np.ndarray:
     return np.fromiter(out, "u8", len(out))
 
 
-class Sketch:
-    """Cells of (count, xor of digests, xor of check sums); each digest is in one cell of each third."""
-
-    def __init__(self, cells: int, digests: np.ndarray | None = None):
-        self.part = max(1, cells // 3)
-        self.count = np.zeros(3 * self.part, "i4")
-        self.key = np.zeros(3 * self.part, "u8")
-        self.check = np.zeros(3 * self.part, "u8")
-        if digests is not None and len(digests):
-            self._apply(digests, np.ones(len(digests), "i4"))
-
-    def _apply(self, digests: np.ndarray, signs: np.ndarray) -> None:
+class Sketches:
+    """One sketch for each of several sets, as rows of cells of (count, xor of digests, xor of check
+    sums). Each digest is in one cell of each third of its set's row."""
+
+    def __init__(self, n: int, cells: int):
+        self.n, self.part = n, max(1, cells // 3)
+        self.count = np.zeros(n * 3 * self.part, "i4")
+        self.key = np.zeros(n * 3 * self.part, "u8")
+        self.check = np.zeros(n * 3 * self.part, "u8")
+
+    def add(self, owner: np.ndarray, digests: np.ndarray, signs: np.ndarray) -> None:
         check = _mix(digests, 99)
         for k in range(3):
-            at = (_mix(digests, 3 * self.part + k) % np.uint64(self.part)).astype("i8") + k * self.part
+            at = (_mix(digests, 3 * self.part + k) % np.uint64(self.part)).astype("i8") + (owner * 3 + k) * self.part
             np.add.at(self.count, at, signs)
             np.bitwise_xor.at(self.key, at, digests)
             np.bitwise_xor.at(self.check, at, check)
 
-    def __sub__(self, other: Sketch) -> Sketch:
-        out = Sketch(3 * self.part)
+    @classmethod
+    def of(cls, sets: list[np.ndarray], cells: int) -> Sketches:
+        out = cls(len(sets), cells)
+        sizes = [len(s) for s in sets]
+        if sum(sizes):
+            out.add(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), np.ones(sum(sizes), "i4"))
+        return out
+
+    def __sub__(self, other: Sketches) -> Sketches:
+        out = Sketches(self.n, 3 * self.part)
         out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
         return out
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Digests only in the first and only in the second; None where cells are left over. Empties the sketch."""
-        mine, theirs = [], []
-        budget = 3 * self.part + 8
-        while budget > 0:
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Recovered (owner, digest, sign), sign 1 for what only the first has, and which rows have cells left over."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _ in range(3 * self.part + 8):
             pure = np.flatnonzero(np.abs(self.count) == 1)
             pure = pure[_mix(self.key[pure], 99) == self.check[pure]]
             if not len(pure):
                 break
-            keys, first = np.unique(self.key[pure], return_index=True)
-            signs = self.count[pure][first]
-            mine.append(keys[signs > 0])
-            theirs.append(keys[signs < 0])
-            self._apply(keys, -signs)
-            budget -= 1
-        if self.count.any() or self.key.any():
-            return None
-        none = np.zeros(0, "u8")
-        return np.concatenate([none, *mine]), np.concatenate([none, *theirs])
-
-    def to_text(self, n: int) -> str:
-        raw = n.to_bytes(4, "little") + self.count.astype("<i4").tobytes() + self.key.astype("<u8").tobytes() + self.check.astype("<u4").tobytes()
-        return base64.b64encode(raw).decode()
-
-
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in ``a`` and only in ``b``, from sketches of growing size."""
-    for _ in range(30):
-        found = (Sketch(cells, a) - Sketch(cells, b)).peel()
-        if found is not None:
-            return found
-        cells *= GROWTH if cells < 8 * (len(a) + len(b)) else 1
-        cells += 3  # other cells for each digest
-    return np.setdiff1d(a, b), np.setdiff1d(b, a)  # two digests with the same three cells at each size
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+            owner, key, sign = pure // (3 * self.part), self.key[pure], self.count[pure]
+            order = np.lexsort((key, owner))
+            owner, key, sign = owner[order], key[order], sign[order]
+            new = np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))
+            found.append((owner[new], key[new], sign[new]))
+            self.add(owner[new], key[new], -sign[new])
+        stuck = (self.count != 0) | (self.key != 0)
+        owner, key, sign = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros(0, "i4"))
+        return owner, key, sign, stuck.reshape(self.n, -1).any(1)
+
+    def texts(self, sizes: list[int]) -> list[str]:
+        """Each sketch as text: the set's size, then counts, digests and half check sums of its cells."""
+        parts = [np.array(sizes, "<u4")[:, None], self.count.astype("<i4").reshape(self.n, -1), self.key.astype("<u8").reshape(self.n, -1), self.check.astype("<u4").reshape(self.n, -1)]
+        raw = np.concatenate([np.ascontiguousarray(p).view("u1").reshape(self.n, -1) for p in parts], 1)
+        return [base64.b64encode(row.tobytes()).decode() for row in raw]
+
+
+def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of sets the digests only in the first and only in the second, from sketches of growing size.
+
+    A pair starts at the least size that can hold the difference of the two sets' sizes.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, "u8"),) * 2] * len(pairs)
+    left, cells = list(range(len(pairs))), CELLS
+    for attempt in range(40):
+        largest = max((len(a) + len(b) for a, b in (pairs[i] for i in left)), default=0)
+        now = [i for i in left if cells >= abs(len(pairs[i][0]) - len(pairs[i][1])) or cells >= 8 * largest]
+        if now:
+            owner, key, sign, stuck = (Sketches.of([pairs[i][0] for i in now], cells) - Sketches.of([pairs[i][1] for i in now], cells)).peel()
+            order = np.argsort(owner, kind="stable")
+            owner, key, sign = owner[order], key[order], sign[order]
+            bounds = np.searchsorted(owner, np.arange(len(now) + 1))
+            for at, i in enumerate(now):
+                if not stuck[at]:
+                    keys, signs = key[bounds[at] : bounds[at + 1]], sign[bounds[at] : bounds[at + 1]]
+                    out[i] = (keys[signs > 0], keys[signs < 0])
+            done = {i for at, i in enumerate(now) if not stuck[at]}
+            left = [i for i in left if i not in done]
+        if not left:
+            return out
+        cells = cells * GROWTH if cells < 8 * largest else cells + 3 + attempt  # in the end the same size, other cells
+    for i in left:  # digests that share their cells at every size
+        out[i] = (np.setdiff1d(*pairs[i]), np.setdiff1d(*pairs[i][::-1]))
+    return out
+
+
+def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
     """Shared digests over all digests, from what peeling recovers; 1 for two empty texts."""
-    mine, theirs = difference(a, b)
-    shared = len(a) - len(mine)
-    union = shared + len(mine) + len(theirs)
-    return shared / union if union else 1.0
+    out = []
+    for (a, _), (mine, theirs) in zip(pairs, differences(pairs), strict=True):
+        union = len(a) + len(theirs)
+        out.append((len(a) - len(mine)) / union if union else 1.0)
+    return out
 
 
 def edit(text: str, following: str) -> str:
@@ -128,18 +154,25 @@ _OUT |= {"edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_n
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _row(doc_id: int | None, text: str, own: np.ndarray, following: str, theirs: np.ndarray) -> tuple:
-    edited = edit(text, following)
-    changed = paragraph_digests(edited)
-    return (
-        doc_id,
-        len(text),
-        hashlib.sha256(edited.encode("utf-8")).hexdigest(),
-        Sketch(CELLS, own).to_text(len(own)),
-        Sketch(CELLS, changed).to_text(len(changed)),
-        likeness(own, changed),
-        likeness(own, theirs),
+#: Paragraphs, about, that are sketched together.
+TOGETHER = 60_000
+
+
+def _rows(triples: list[tuple[int | None, str, np.ndarray, str, np.ndarray]]) -> list[tuple]:
+    """Result rows of (doc_id, text, its digests, following text, its digests)."""
+    edited = [edit(text, following) for _, text, _, following, _ in triples]
+    own, changed = [t[2] for t in triples], [paragraph_digests(e) for e in edited]
+    prints = [Sketches.of(sets, CELLS).texts([len(s) for s in sets]) for sets in (own, changed)]
+    near = likenesses([*zip(own, changed, strict=True), *((t[2], t[4]) for t in triples)])
+    columns = (
+        [t[0] for t in triples],
+        [len(t[1]) for t in triples],
+        [hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited],
+        *prints,
+        near[: len(triples)],
+        near[len(triples) :],
     )
+    return list(zip(*columns, strict=True))
 
 
 def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -157,22 +190,23 @@ def compare_with_next(docs: DataFrame, ws: Workspace) -> DataFrame:
     kinds = _OUT | {"part": pa.int32(), "kind": pa.string(), "text": pa.string()}
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, rows = TaskContext.get().partitionId(), None, []
+        part, held, triples, size = TaskContext.get().partitionId(), None, [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 digests = paragraph_digests(text)
                 if held is None:
-                    rows.append((None,) * 7 + (part, "head", text))
+                    yield _batch([(None,) * 7 + (part, "head", text)], kinds)
                 else:
-                    rows.append(_row(*held, text, digests) + (part, "done", None))
+                    triples.append((*held, text, digests))
+                    size += len(held[2]) + len(digests)
                 held = (doc_id, text, digests)
-                if len(rows) >= 1000:
-                    yield _batch(rows, kinds)
-                    rows = []
+                if size >= TOGETHER:
+                    yield _batch([row + (part, "done", None) for row in _rows(triples)], kinds)
+                    triples, size = [], 0
+        if triples:
+            yield _batch([row + (part, "done", None) for row in _rows(triples)], kinds)
         if held is not None:
-            rows.append((held[0], *(None,) * 6, part, "last", held[1]))
-        if rows:
-            yield _batch(rows, kinds)
+            yield _batch([(held[0], *(None,) * 6, part, "last", held[1])], kinds)
 
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = slim.repartitionByRange(F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc(), F.xxhash64("text"))
@@ -185,8 +219,8 @@ def compare_with_next(docs: DataFrame, ws: Workspace) -> DataFrame:
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             triples = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True)
-            if rows := [_row(d, t, paragraph_digests(t), x, paragraph_digests(x)) for d, t, x in triples]:
-                yield _batch(rows, _OUT)
+            for d, t, x in triples:
+                yield _batch(_rows([(d, t, paragraph_digests(t), x, paragraph_digests(x))]), _OUT)
 
     joined = ends.select("doc_id", "text", "next_text").mapInArrow(across, _SCHEMA)
     return found.filter("kind = 'done'").select(*_OUT).unionByName(joined)
