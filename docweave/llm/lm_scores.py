@@ -22,7 +22,7 @@ from .ngram_trie import Trie
 from .work import HOT_GROUPS, Workspace, table
 
 #: Tokens of a block, and training and other tokens for which there is one shard.
-BLOCK_TOKENS, SHARD_TOKENS = 4_000_000, 1_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 500_000
 #: Weight of the unigram probability in a context, in tokens.
 MU = 200.0
 END, BEGIN = 0, 1  # the first numbers of a block's words
@@ -95,7 +95,7 @@ class Block:
         hash_c, hash_w = self.hashes[c], self.hashes[w]
         spread = np.isin(hash_c, hot)
         shard = (_scramble(hash_c ^ np.where(spread, hash_w << np.uint64(1), np.uint64(0))) % np.uint64(shards)).astype("i8")
-        order = np.lexsort((hash_w >> np.uint64(16), hash_c, shard))
+        order = np.lexsort((hash_w >> np.uint64(24), hash_c, shard))
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         return c[order], w[order], np.searchsorted(shard[order], np.arange(shards + 1)), back[of]
@@ -112,9 +112,12 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """Each row's plain columns, its block, and the Arrow values of the further columns."""
+    plain = ["block", "doc_ids", "held_out", "lengths", "tokens", "hashes"]
     for batch in batches:
-        for row in batch.to_pylist():
-            yield (row, Block(row["lengths"], row["held_out"], row["tokens"], row["hashes"]), *(row[m] for m in more))
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in plain}
+            yield (row, Block(row["lengths"], row["held_out"], row.pop("tokens"), row.pop("hashes")), *(batch.column(m)[i].values for m in more))
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
@@ -133,13 +136,13 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
 
 def send_pairs(blocks: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
-    """``shard, block, contexts, sizes, words, counts``: what each block sends a shard. Words are 48 bits of their hashes."""
+    """``shard, block, contexts, sizes, words, counts``: what each block sends a shard. Words are 40 bits of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in _blocks_of(batches):
             c, w, bounds, of = block.pairs(shards, hot)
             counts = np.bincount(of, block.learn, len(c)).astype("<u4")
-            hash_c, hash_w = block.hashes[c], (block.hashes[w] >> np.uint64(16)).astype("<u8").view("u1").reshape(-1, 8)[:, :6]
+            hash_c, hash_w = block.hashes[c], (block.hashes[w] >> np.uint64(24)).astype("<u8").view("u1").reshape(-1, 8)[:, :5]
             out: dict[str, list] = {k: [] for k in ("shard", "block", "contexts", "sizes", "words", "counts")}
             for shard in range(shards):
                 a, b = bounds[shard], bounds[shard + 1]
@@ -166,7 +169,7 @@ def answer_pairs(sent: DataFrame, hot: np.ndarray, hot_totals: np.ndarray, mu: f
             sizes = np.frombuffer(row["sizes"], "<u4")
             contexts.append(np.repeat(np.frombuffer(row["contexts"], "<u8"), sizes))
             wide = np.zeros((len(contexts[-1]), 8), "u1")
-            wide[:, :6] = np.frombuffer(row["words"], "u1").reshape(-1, 6)
+            wide[:, :5] = np.frombuffer(row["words"], "u1").reshape(-1, 5)
             words.append(wide.view("<u8")[:, 0])
             counts.append(np.frombuffer(row["counts"], "<u4"))
             ends.append(ends[-1] + len(contexts[-1]))
@@ -213,12 +216,13 @@ def score_blocks(answered: DataFrame, shards: int, hot: np.ndarray, hot_totals:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block, known, answers in _blocks_of(batches, "known", "answers"):
             counts = np.zeros(len(block.hashes), "i8")
-            for item in known or []:
-                counts[item["number"]] = item["c"]
+            if known is not None:
+                counts[known.field("number").to_numpy()] = known.field("c").to_numpy()
             p = (counts + 1) / (n + v + 1)
             c, w, bounds, of = block.pairs(shards, hot)
             seen, backoff = np.zeros(len(c)), np.ones(len(c))  # an unseen context leaves all to the unigram
-            for answer in answers or []:
+            for answer in answers if answers is not None else ():
+                answer = answer.as_py()
                 a, b = bounds[answer["shard"]], bounds[answer["shard"] + 1]
                 codes, weights = np.frombuffer(answer["codes"], "u1"), np.frombuffer(answer["weights"], "u1")
                 seen[a:b] = np.where(codes > 0, 10 ** np.frombuffer(answer["probability_book"], "f8")[codes], 0.0)
@@ -258,9 +262,13 @@ def score_documents(docs: DataFrame, ws: Workspace, mu: float = MU) -> DataFrame
         hot_rows[_MARKS[BEGIN]] = hot_rows[_MARKS[END]]  # documents begin as often as they end
     hot = np.array(sorted(hot_rows), "u8")
     hot_totals = np.array([hot_rows[h] for h in hot.tolist()], "i8")
-    sent = send_pairs(blocks, shards, hot)
-    answers = ws.save(answer_pairs(sent, hot, hot_totals, mu), "answers").filter("block is not null")
+    ws.release()
     known = words.select("word", "block", "number").join(unigrams, "word").groupBy("block").agg(F.collect_list(F.struct("number", "c")).alias("known"))
+    known = ws.save(known, "known")
+    ws.drop("words", "unigrams")
+    ws.release()
+    answers = ws.save(answer_pairs(send_pairs(blocks, shards, hot), hot, hot_totals, mu), "answers").filter("block is not null")
+    ws.release()
     found = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "codes", "weights", "probability_book", "weight_book")).alias("answers"))
     answered = blocks.join(known, "block", "left").join(found, "block", "left")
     scored = score_blocks(answered, shards, hot, hot_totals, mu, n, v).withColumn("train_tokens", F.lit(n).cast("long"))
