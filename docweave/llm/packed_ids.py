@@ -131,7 +131,7 @@ def encode_shards(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     shard_ids = SHARD_IDS
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path, "ids")
+        encoder = worker_encoder(path)
         bits = bits_for(max(encoder.library.size, end_id + 1))
         end = np.array([end_id], "<u4").tobytes()
         part, first, held, doc_ids, ids = TaskContext.get().partitionId(), 0, 0, [], []
@@ -143,9 +143,9 @@ def encode_shards(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for doc_id, measures in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 doc_ids.append(doc_id)
-                ids.append(np.frombuffer(b"".join([*measures, end]), "<u4"))
+                ids.append(np.frombuffer(packed + end, "<u4"))
                 held += len(ids[-1])
                 if held >= shard_ids:
                     yield close()

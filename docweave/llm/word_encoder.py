@@ -11,12 +11,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import numpy as np
-
-#: Distinct words, and word stems, that a worker keeps before it starts afresh.
-CACHE_WORDS = 300_000
+#: Distinct words, and distinct word stems, that a worker keeps before it starts afresh.
+CACHE_WORDS, CACHE_STEMS = 400_000, 800_000
 #: UTF-8 bytes, roughly, that one call of the library gets.
 BATCH_BYTES = 1 << 18
 
@@ -25,6 +24,7 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 # Letters that lower-casing and composition leave as single letters, then plain punctuation.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%&$*#]*)")
+_PLAIN_CHARACTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?|%&$*#]+"
 
 
 def words_of(text: str) -> list[str]:
@@ -91,66 +91,58 @@ class Library:
 
 
 class WordEncoder:
-    """Encodes texts; ``measure`` turns a word's ids into what is kept, summed or joined for a text."""
+    """Encodes texts to the ids of their words, each as packed 32-bit numbers."""
 
-    def __init__(self, path: str, measure: Callable[[list[int]], object]):
+    def __init__(self, path: str):
         self.library = Library(path)
         self.by_word = path.endswith(".json") and drops_white_space(path)
-        self.measure = measure
-        self.words: dict[str, object] = {}
-        self.stems: dict[str, list[int]] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the words into the cache, through their stems where that gives the same ids."""
-        special = self.library.specials
-        cut: dict[str, tuple[str, str] | None] = {}
-        ask: set[str] = set()
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        # An added token within a plain word would have to be plain itself.
+        self.plain_specials = [s for s in self.library.specials if re.fullmatch(_PLAIN_CHARACTERS, s)]
+
+    def _pack(self, texts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self.library.ids(texts)]
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Put words into the cache, through their stems where that gives the same ids."""
+        cut: list[tuple[str, str, str]] = []
+        whole: list[str] = []
+        plain = _PLAIN.fullmatch
         for word in words:
-            plain = _PLAIN.fullmatch(word)
-            if plain and not any(s in word for s in special):
-                parts = (plain[1].lower(), plain[2])
-                cut[word] = parts
-                ask.update(p for p in parts if p and p not in self.stems)
+            found = plain(word)
+            if found and not (self.plain_specials and any(s in word for s in self.plain_specials)):
+                cut.append((word, found[1].lower(), found[2]))
             else:
-                cut[word] = None
-        whole = [w for w, parts in cut.items() if parts is None]
-        asked = list(ask)
-        if len(self.stems) + len(asked) > 2 * CACHE_WORDS:
-            self.stems = {}
-            asked = list({p for parts in cut.values() if parts for p in parts if p})
-        self.stems.update(zip(asked, self.library.ids(asked), strict=True))
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        for word, parts in cut.items():
-            if parts is not None:
-                self.words[word] = self.measure(self.stems[parts[0]] + (self.stems[parts[1]] if parts[1] else []))
-        for word, ids in zip(whole, self.library.ids(whole), strict=True):
-            self.words[word] = self.measure(ids)
-
-    def encode(self, texts: Sequence[str]) -> Iterator[list]:
-        """For each text the measures of its words, in order (of the whole text, for other tokenizers)."""
+                whole.append(word)
+        if len(self.stems) > CACHE_STEMS:
+            self.stems = {"": b""}
+        stems = self.stems
+        ask = list({p for _, a, b in cut for p in (a, b) if p not in stems})
+        stems.update(zip(ask, self._pack(ask), strict=True))
+        self.words.update([(word, stems[a] + stems[b]) for word, a, b in cut])
+        self.words.update(zip(whole, self._pack(whole), strict=True))
+
+    def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
+        """The ids of each text, as packed 32-bit numbers."""
         for batch in byte_batches(texts, 4 * BATCH_BYTES):
             if not self.by_word:
-                yield from ([self.measure(ids)] for ids in self.library.ids(batch))
+                yield from self._pack(batch)
                 continue
             split = [words_of(t) for t in batch]
-            missing = {w for words in split for w in words if w not in self.words}
-            if missing:
-                if len(self.words) + len(missing) > CACHE_WORDS:
-                    missing = {w for words in split for w in words}
-                    self.words = {}
-                self._learn(missing)
+            if len(self.words) > CACHE_WORDS:
+                self.words = {}
+            self._learn({w for words in split for w in words} - self.words.keys())
             get = self.words.__getitem__
             for words in split:
-                yield [get(w) for w in words]
+                yield b"".join(map(get, words))
 
 
-_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def worker_encoder(path: str, kind: str) -> WordEncoder:
-    """The encoder that this Python worker keeps between tasks; ``kind`` is ``count`` or ``ids``."""
-    if (path, kind) not in _ENCODERS:
-        measure = len if kind == "count" else lambda ids: np.asarray(ids, "<u4").tobytes()
-        _ENCODERS[path, kind] = WordEncoder(path, measure)
-    return _ENCODERS[path, kind]
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder that this Python worker keeps between tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]

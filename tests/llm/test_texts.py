@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from docweave.llm import byte_bpe, iblt, lm_scores, mpeg_audio, ngram_trie, packed_ids, token_counts
+from docweave.llm import byte_bpe, iblt, lm_scores, mpeg_audio, ngram_trie, packed_ids, token_counts, word_encoder
 from docweave.llm.word_encoder import WordEncoder
 
 from .conftest import edge_rows
@@ -54,10 +54,11 @@ def test_token_counts_of_other_tokenizers(edge, name):
     assert many(got) == many((i, count(t)) for i, t in TEXTS)
 
 
-def test_words_encode_as_whole_texts(library):
+def test_words_encode_as_whole_texts(library, monkeypatch):
+    monkeypatch.setattr(word_encoder, "CACHE_WORDS", 50)
+    monkeypatch.setattr(word_encoder, "CACHE_STEMS", 50)
     rng = random.Random(3)
     encoder = WordEncoder(WORD)
-    encoder.words.limit = encoder.stems.limit = 50  # both generations are used
     texts = ["".join(rng.choice("abAB .,'’é²<|>\n\x1c 日ßİſ1") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     texts += ["x<|endoftext|>y <|startoftext|>", "don't DON'T they'll", "É É", "word.word ...word,, %%%a"]
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
