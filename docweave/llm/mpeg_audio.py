@@ -122,17 +122,20 @@ def _read_id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     return end + 10 * (major == 4 and bool(flags & 0x10))
 
 
-def _read_tail(data: bytes, tags: dict[str, str]) -> int:
-    """Parse ID3v1 and APE tags at the end and return where they begin."""
-    end = len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
+def _read_tail(data: bytes, floor: int) -> tuple[int, dict[str, str]]:
+    """Where the ID3v1 and APE tags at the end begin, and what they say; one that would begin before ``floor`` is none."""
+    end, tags = len(data), {}
+    if end - 128 >= floor and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for key, start, stop in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
             if value := data[end + start : end + stop].split(b"\0")[0].decode("latin-1").strip():
                 tags.setdefault(key, value)
-    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+    if end - 32 >= floor and data[end - 32 : end - 24] == b"APETAGEX":
         size, items, flags = struct.unpack_from("<III", data, end - 20)
-        pos = max(0, end - size)
+        pos = end - size
+        begin = pos - 32 * bool(flags & 0x80000000)
+        if size < 32 or begin < floor:
+            return end, tags
         for _ in range(items):
             if pos + 8 > end - 32:
                 break
@@ -142,8 +145,8 @@ def _read_tail(data: bytes, tags: dict[str, str]) -> int:
                 break
             tags.setdefault(data[pos + 8 : stop].decode("latin-1"), data[stop + 1 : stop + 1 + length].decode("utf-8", "replace"))
             pos = stop + 1 + length
-        end = max(0, end - size - 32 * bool(flags & 0x80000000))
-    return end
+        end = begin
+    return end, tags
 
 
 def _read_table(frame: bytes, header: Header, out: Audio) -> bool:
@@ -174,16 +177,23 @@ def _read_table(frame: bytes, header: Header, out: Audio) -> bool:
 
 def parse(data: bytes) -> Audio:
     """Walk a stream's frames. Where no frame begins, the next place is taken at which a
-    frame stands that another one, or the end of the audio, follows."""
+    frame stands that another one, or the end of the audio, follows. What looks like a tag at the
+    end is audio if such a frame reaches into it."""
     out = Audio()
     pos = 0
     while data[pos : pos + 3] == b"ID3" and pos + 10 <= len(data):
         pos = _read_id3v2(data, pos, out.tags)
-    end = max(pos, _read_tail(data, out.tags))
+    end, tail = _read_tail(data, pos)
     in_step = False
-    while pos + 4 <= end:
+    while pos + 4 <= len(data):
         header = read_header(data[pos : pos + 4])
         after = pos + header.size if header else 0
+        if end < after <= len(data):
+            begin, found = _read_tail(data, after)
+            if after == begin or read_header(data[after : after + 4]):
+                end, tail = begin, found
+        if pos + 4 > end:
+            break
         if not header or after > end or not (in_step or after == end or read_header(data[after : after + 4])):
             following = data.find(b"\xff", pos + 1, end)
             following = end if following < 0 else following
@@ -205,6 +215,7 @@ def parse(data: bytes) -> Audio:
             out.rates.add(header.rate)
         pos = after
     out.skipped += max(0, end - pos)
+    out.tags = tail | out.tags
     return out
 
 

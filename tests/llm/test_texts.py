@@ -143,6 +143,36 @@ def test_mpeg_parsing(spark):
     assert [(r.doc_id, r.frames) for r in mpeg_audio.read_audio(rows).orderBy("doc_id").collect()] == [(1, 7), (2, 0), (3, 0)]
 
 
+def test_mpeg_tag_names_in_the_payload():
+    for kbps, room in mpeg_audio.ROOM.items():
+        for size in {room, max(1, room - 40), room + mpeg_audio.ROOM[320]}:
+            for name in (b"TAG", b"APETAGEX", b"APETAGEX\0\x07\0\0\x40\0\0\0\x01\0\0\0\0\0\0\x80"):
+                length = len(mpeg_audio.store(b"x" * size))
+                start = length - (128 if name == b"TAG" else 32) - mpeg_audio.store(b"x" * size).rindex(b"x") - 1 + size
+                for at in {start, size - 128, size - 32}:
+                    if 0 <= at <= size - len(name):
+                        payload = b"x" * at + name + b"x" * (size - at - len(name))
+                        data = mpeg_audio.store(payload)
+                        audio = mpeg_audio.parse(data)
+                        assert mpeg_audio.payload_of(data, audio) == payload and list(audio.tags) == [mpeg_audio.LENGTH_TAG] and not audio.skipped
+                        signed = data + b"TAG" + b"Title".ljust(125, b"\0")
+                        audio = mpeg_audio.parse(signed)
+                        assert mpeg_audio.payload_of(signed, audio) == payload and audio.tags["TIT2"] == "Title" and not audio.skipped
+
+
+def test_mpeg_cut_frame_before_a_tag():
+    data = mpeg_audio.store(b"abc" * 3000)
+    audio = mpeg_audio.parse(data[:-50] + b"TAG" + b"Title".ljust(125, b"\0"))
+    assert len(audio.offsets) == 6 and audio.tags["TIT2"] == "Title"
+
+
+def test_mpeg_text_with_tag_at_the_end(spark, ws):
+    texts = [(size, "x" * at + "HASHTAG " + "x" * (size - at - 8)) for size in (128, 192) for at in range(size - 7)]
+    media = ws.save(mpeg_audio.store_texts(spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)), "tagged")
+    got = mpeg_audio.read_back(media).collect()
+    assert sorted((r.doc_id, r.payload_sha256) for r in got) == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts)
+
+
 def test_fingerprints(edge, none, ws, spark):
     got = iblt.compare_with_next(edge, ws).collect()
     assert len(got) == len(TEXTS) and iblt.compare_with_next(none, type(ws)(spark, "n")).count() == 0
