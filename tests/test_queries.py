@@ -1,11 +1,12 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables."""
 
 import os
+from collections import defaultdict
 
 import duckdb
 import pytest
 
-from docweave.plans import registry
+from docweave.plans import registry, star
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
@@ -31,3 +32,21 @@ def test_query(spark, duck, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     assert plain(found.select(*columns).collect()) == plain([row[names.index(c)] for c in columns] for row in result.fetchall())
+
+
+def test_two_hop_starts_from_every_project(spark):
+    facts = star.facts(spark, DATA).select("src", "dst").distinct().collect()
+    steps = defaultdict(set)
+    for src, dst in facts:
+        if src != dst:
+            steps[src].add(dst)
+            steps[dst].add(src)
+    want = {}
+    for (start,) in star.entities(spark, DATA).filter("etype = 'project'").select("id").collect():
+        want[start, start] = 0
+        for hop, nodes in ((1, steps[start]), (2, {far for near in steps[start] for far in steps[near]})):
+            for node in nodes:
+                want.setdefault((start, node), hop)
+    got = registry.queries()["two_hop_all"](spark, DATA).collect()
+    assert len(got) == len(want) and {(r.start, r.node): r.hop for r in got} == want
+    assert len({r.start for r in got}) == 25
