@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..operators import files, relate
+from ..operators import files, relate, resolve
 from .star import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,16 @@ def title_groups_min_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.filter("title != ''").groupBy("title").agg(F.countDistinct("conv_id").alias("n_files")).filter("n_files >= 2")
 
 
+@query("""WITH k AS (SELECT trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', ' ', 'g')) AS title, page_id FROM pages)
+    SELECT title, count(DISTINCT page_id) AS n_files FROM k WHERE title <> '' GROUP BY title HAVING count(DISTINCT page_id) >= 2""")
+def page_title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole titles that several pages have; ``title_groups_min_files`` groups the first characters of turns, as its SQL does."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    attrs = F.create_map(F.lit("title"), title)
+    mentions = read(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.lit("project").alias("etype"), title.alias("surface"), attrs.alias("attrs"))
+    return resolve.title_only_projects(mentions).select("title", "n_files")
+
+
 @query("""SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS id FROM conversations""")
 def ids_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")

@@ -50,3 +50,11 @@ def test_two_hop_starts_from_every_project(spark):
     got = registry.queries()["two_hop_all"](spark, DATA).collect()
     assert len(got) == len(want) and {(r.start, r.node): r.hop for r in got} == want
     assert len({r.start for r in got}) == 25
+
+
+def test_title_groups_have_whole_titles(spark, tmp_path):
+    titles = ["Monthly report, May", "Monthly report, June", "MONTHLY report - May", "", None, "Plan"]
+    pages = [(n, "http://a", "<p>" if t is None else f"<title>{t}</title>") for n, t in enumerate(titles)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.queries()["page_title_groups"](spark, str(tmp_path)).collect()
+    assert [(r.title, r.n_files) for r in got] == [("monthly report may", 2)]
