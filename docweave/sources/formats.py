@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import email
 import email.policy
 import io
@@ -13,7 +14,10 @@ from xml.etree import ElementTree
 CODE = frozenset("py js ts java c h cpp cs go rs rb php sh bat ps1 sql css".split())
 OCR_KINDS = frozenset(["pdf", "png", "jpg"])
 IGNORED_KINDS = frozenset(["code", "media", "binary"])
+#: Characters of a text that the reference keeps (Config.MAX_STORED_TEXT_CHARS); here whole texts are kept unless a cap is given.
 TEXT_CAP = 60_000
+#: Control characters that texts do not hold; tabs, line and page ends, backspace, escape and DOS's end of file are left out.
+_CONTROL = re.compile(rb"[\x00-\x06\x0e-\x19\x1c-\x1f]")
 _HEADER = re.compile(rb"[A-Za-z][A-Za-z0-9-]*:[ \t]")
 _MAIL = re.compile(rb"(?im)^(?:From|MIME-Version|Content-Type):")
 
@@ -36,6 +40,16 @@ def _zip_kind(data: bytes) -> str:
     return "zip"
 
 
+def _is_text(data: bytes) -> bool:
+    """UTF-8 in its first bytes (a character may go on beyond them), or Latin-1: no control characters and
+    not filled with 0xFF bytes, which are rare as the letter that they stand for."""
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(data[:4096], final=False)
+        return True
+    except UnicodeDecodeError:
+        return not _CONTROL.search(data) and data.count(b"\xff") * 10 <= len(data)
+
+
 def sniff(data: bytes, path: str) -> str:
     """A file's kind by its content; the name matters only for source code."""
     if data.startswith(b"%PDF"):
@@ -52,9 +66,7 @@ def sniff(data: bytes, path: str) -> str:
         return "media"
     if extension(path) in CODE or "/.git/" in f"/{path}":
         return "code"
-    try:
-        data[:4096].decode("utf-8")
-    except UnicodeDecodeError:
+    if not _is_text(data):
         return "binary"
     head = data.lstrip()[:64].upper()
     if head.startswith(b"BEGIN:VCARD"):
@@ -149,8 +161,8 @@ def _xlsx_text(data: bytes) -> str:
 READERS = {"text": decode, "vcf": decode, "ics": decode, "eml": _mail_text, "rtf": _rtf_text, "docx": _docx_text, "xlsx": _xlsx_text}
 
 
-def read(data: bytes, kind: str) -> tuple[str, str | None, str | None]:
-    """Status, text and error of a file's content."""
+def read(data: bytes, kind: str, cap: int | None = None) -> tuple[str, str | None, str | None]:
+    """Status, text and error of a file's content; the text is whole, or its first ``cap`` characters (the reference: ``TEXT_CAP``)."""
     if kind == "zip":
         return "container", None, None
     if kind in IGNORED_KINDS:
@@ -160,7 +172,7 @@ def read(data: bytes, kind: str) -> tuple[str, str | None, str | None]:
     if kind not in READERS:
         return "empty", None, None
     try:
-        text = READERS[kind](data)[:TEXT_CAP]
+        text = READERS[kind](data)[:cap]
     except Exception as error:  # noqa: BLE001 a file that no reader understands is a result, not a failure of the job
         return "corrupt", None, str(error)[:500]
     return ("ok" if text.strip() else "empty"), text, None

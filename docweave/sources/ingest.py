@@ -24,36 +24,38 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return found.select(relative.alias("path"), "content").filter(~F.element_at(F.split("path", "/"), -1).isin(*JUNK))
 
 
-def _expand(path: str, data: bytes, parent: str | None) -> Iterator[tuple]:
+def _expand(path: str, data: bytes, parent: str | None, cap: int | None) -> Iterator[tuple]:
     kind = formats.sniff(data, path)
     skip = path.rsplit("/", 1)[-1].startswith("~$") or kind in formats.IGNORED_KINDS
-    status, text, error = ("skipped", None, None) if skip else formats.read(data, kind)
+    status, text, error = ("skipped", None, None) if skip else formats.read(data, kind, cap)
     yield (path, parent, hashlib.sha256(data).hexdigest(), len(data), formats.extension(path), kind, status, "native" if text else None, text, error)
     if not skip:
         for name, body in formats.members(data, kind, path):
-            yield from _expand(name, body, path)
+            yield from _expand(name, body, path, cap)
 
 
-def expand(found: DataFrame) -> DataFrame:
-    """A row for each file and member of ``path, content``, read; ``top`` is the outermost file, ``nth`` its order in there."""
+def expand(found: DataFrame, text_cap: int | None = None) -> DataFrame:
+    """A row for each file and member of ``path, content``, read; ``top`` is the outermost file, ``nth`` its order in there.
+    Texts are whole, or cut to ``text_cap`` characters."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         for frame in frames:
             for top, data in zip(frame["path"], frame["content"], strict=True):
-                rows = [(p, parent, top, n, *rest) for n, (p, parent, *rest) in enumerate(_expand(top, bytes(data), None))]
+                rows = [(p, parent, top, n, *rest) for n, (p, parent, *rest) in enumerate(_expand(top, bytes(data), None, text_cap))]
                 yield pd.DataFrame(rows, columns=names)
 
     return found.mapInPandas(run, COLUMNS)
 
 
-def ingest(spark: SparkSession, root: str, patterns: list[str] | None = None, skip_directories: list[str] | None = None) -> DataFrame:
+def ingest(spark: SparkSession, root: str, patterns: list[str] | None = None, skip_directories: list[str] | None = None, text_cap: int | None = None) -> DataFrame:
     """The files table: ids ascend with path and order, members have their container's folder context,
     copies point to the first file of the same content, skipped directories are marked.
 
-    Of two members with one path the first is kept.
+    Of two members with one path the first is kept. Texts are whole, or cut to ``text_cap`` characters
+    (the reference keeps ``formats.TEXT_CAP``).
     """
-    rows = expand(scan(spark, root)).withColumn("once", F.row_number().over(_same_path())).filter("once = 1").drop("once")
+    rows = expand(scan(spark, root), text_cap).withColumn("once", F.row_number().over(_same_path())).filter("once = 1").drop("once")
     ordered = rows.orderBy("top", "nth").withColumn("id", F.monotonically_increasing_id())
     if skip_directories:
         ordered = ordered.withColumn("status", F.when(ops.in_directories(F.col("top"), skip_directories), "skipped").otherwise(F.col("status")))

@@ -48,6 +48,23 @@ def test_sniff():
     assert formats.sniff(b"x = 1", "a/b.py") == "code"
 
 
+def test_sniff_text_of_any_length_and_encoding():
+    for lead in range(4090, 4097):
+        assert formats.sniff(("a" * lead + "日本é" * 50).encode(), "x.dat") == "text"
+    for text in ("café", "été", "L'Haÿ-les-Roses", "Straße " * 2000):
+        assert formats.sniff(text.encode("latin-1"), "x.dat") == "text" and formats.read(text.encode("latin-1"), "text")[1] == text
+    assert formats.sniff(b"\x00\x01\xe9abc", "x.dat") == "binary" == formats.sniff(b"ab" + b"\xff" * 50, "x.dat")
+
+
+def test_whole_texts(spark, tmp_path):
+    text = "é" * 70_000 + " end"
+    (tmp_path / "long.txt").write_bytes(text.encode())
+    (tmp_path / "latin.txt").write_bytes("naïve".encode("latin-1"))
+    rows = {r.path: (r.status, r.text) for r in ingest.ingest(spark, str(tmp_path)).collect()}
+    assert rows == {"long.txt": ("ok", text), "latin.txt": ("ok", "naïve")}
+    assert formats.read(text.encode(), "text", formats.TEXT_CAP)[1] == text[:60_000]
+
+
 def test_read():
     assert formats.read(docx(), "docx") == ("ok", "One\na | b", None)
     assert formats.read(b"{\\rtf1 One\\par Two}", "rtf")[1] == "One\nTwo"
