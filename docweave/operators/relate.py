@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EDGE = ["src", "dst", "rel"]
 
@@ -92,9 +93,10 @@ def searchable_aliases(names: DataFrame, entities: DataFrame, owner_key: str | N
 _BETWEEN = r"(?<![\p{L}\p{N}_])|(?![\p{L}\p{N}_])"
 
 
-def gazetteer_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+def gazetteer_mentions(texts: DataFrame, names: DataFrame, longest: bool = True) -> DataFrame:
     """``file_id, entity_id, alias, start`` for each whole-word, case-sensitive occurrence of an alias in
-    ``file_id, text``. Of occurrences that begin at one place the longest is reported.
+    ``file_id, text``. Of occurrences that begin at one place the longest is reported, for every entity with that
+    alias (``searchable_aliases`` gives unique ones); without ``longest``, all are.
 
     A text's runs of one to three tokens are looked up among the aliases' first tokens in an equi-join; only
     where they meet is the whole alias compared. No pattern of all aliases and no pair of every text and alias is made.
@@ -111,8 +113,9 @@ def gazetteer_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     )
     met = heads.join(keyed, ["head", "k"]).join(parts, "file_id")
     hits = met.filter(F.array_join(F.slice("parts", F.col("start") + 1, F.col("n")), "") == F.col("alias"))
-    longest = hits.groupBy("file_id", "start").agg(F.max_by(F.struct("alias", "entity_id", "n"), "n").alias("best"))
-    return longest.select("file_id", "best.entity_id", "best.alias", "start")
+    if longest:
+        hits = hits.withColumn("most", F.max("n").over(Window.partitionBy("file_id", "start"))).filter("n = most")
+    return hits.select("file_id", "entity_id", "alias", "start")
 
 
 def link_gazetteer(facts: DataFrame, hits: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def owner_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gazetteer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
     names = read(spark, sf_dir, "benchmark").select(F.col("text").alias("alias"), F.col("item_id").alias("entity_id"))
-    return relate.gazetteer_mentions(texts, names).select("file_id", "entity_id").distinct()
+    return relate.gazetteer_mentions(texts, names, longest=False).select("file_id", "entity_id").distinct()
 
 
 @query("SELECT event_type, sum(CAST(props ->> '$.k' AS BIGINT)) AS total, count(props ->> '$.k') AS n FROM events GROUP BY ALL")

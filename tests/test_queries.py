@@ -58,3 +58,11 @@ def test_title_groups_have_whole_titles(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = registry.queries()["page_title_groups"](spark, str(tmp_path)).collect()
     assert [(r.title, r.n_files) for r in got] == [("monthly report may", 2)]
+
+
+def test_gazetteer_keeps_equal_and_shorter_items(spark, tmp_path):
+    spark.createDataFrame([(1, "see Acme Tool Works here"), (2, "Acme Tool")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "Acme Tool"), (2, "Acme Tool Works"), (3, "Acme Tool Works"), (4, "Works")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = registry.queries()["gazetteer_mentions"](spark, str(tmp_path)).collect()
+    assert sorted((r.file_id, r.entity_id) for r in got) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1)]
