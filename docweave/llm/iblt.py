@@ -22,8 +22,8 @@ from .work import Workspace, table
 
 #: Cells of the stored fingerprint, in three parts, and how many times more a retry takes.
 CELLS, GROWTH = 12, 4
-#: Words after which a long paragraph is cut.
-PARAGRAPH_WORDS = 8
+#: Words of a line that is not cut, and of a piece of a longer one: about, and at most.
+PARAGRAPH_WORDS, LONGEST_PIECE = 8, 32
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -36,7 +36,8 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def paragraph_digests(text: str) -> np.ndarray:
-    """Distinct 64-bit digests of a text's paragraphs: its lines, a longer one cut every eight words."""
+    """Distinct 64-bit digests of a text's paragraphs: its lines, a longer one cut after every word whose own
+    digest is a multiple of ``PARAGRAPH_WORDS``, so that the pieces after an edit are as they were."""
     out = set()
     digest = xxhash.xxh3_64_intdigest
     for line in text.split("\n"):
@@ -44,8 +45,11 @@ def paragraph_digests(text: str) -> np.ndarray:
         if len(words) <= PARAGRAPH_WORDS:
             if words:
                 out.add(digest(" ".join(words)))
-        else:
-            out.update([digest(" ".join(words[i : i + PARAGRAPH_WORDS])) for i in range(0, len(words), PARAGRAPH_WORDS)])
+            continue
+        first = 0
+        for end in [*(i for i, w in enumerate(words, 1) if not digest(w) % PARAGRAPH_WORDS), len(words)]:
+            out.update([digest(" ".join(words[i : min(end, i + LONGEST_PIECE)])) for i in range(first, end, LONGEST_PIECE)])
+            first = end
     return np.fromiter(out, "u8", len(out))
 
 

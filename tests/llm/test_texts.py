@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from docweave.llm import byte_bpe, iblt, lm_scores, mpeg_audio, ngram_trie, packed_ids, token_counts, word_encoder
 from docweave.llm.word_encoder import WordEncoder
 
-from .conftest import edge_rows
+from .conftest import edge_rows, invented
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -203,6 +203,14 @@ def test_peeling_recovers_differences():
         assert set(mine) == set(a) - set(b) and set(theirs) == set(b) - set(a)
 
 
+def test_fingerprints_realign_after_an_edit():
+    words = invented(4, 2000).split()
+    digests = lambda x: iblt.paragraph_digests(" ".join(x))
+    for near in (["inserted", *words], words[1:], [*words[:700], "inserted", *words[700:1500], *words[1501:]]):
+        assert iblt.likenesses([(digests(words), digests(near))])[0] > 0.9
+    assert len(digests(["same"] * 1000)) < 5 and len(digests(words)) > 2000 / 16
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for universe, n in ((10, 5), (1000, 300), (10**9, 1000), (7, 200), (1, 0), (2**40, 50)):
