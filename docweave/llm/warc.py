@@ -138,8 +138,8 @@ def read_dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict | N
     return zstandard.ZstdCompressionDict(raw), end
 
 
-def frames(data: memoryview, max_bytes: int = 1 << 31) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each record's frame, decoded one at a time."""
+def frames(data: memoryview, max_bytes: int | None = None) -> Iterator[tuple[int, bytes | None]]:
+    """Offset and content of each record's frame, decoded one at a time; None for one of more than ``max_bytes``."""
     dictionary, at = read_dictionary(data)
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary)
     while at < len(data):
@@ -150,8 +150,10 @@ def frames(data: memoryview, max_bytes: int = 1 << 31) -> Iterator[tuple[int, by
         try:
             params = zstandard.get_frame_parameters(data[at:end])
             known = params.content_size < 1 << 62
-            if known and params.content_size > max_bytes:
-                raise WarcError(f"the record at {at} is too long")
+            if known and max_bytes is not None and params.content_size > max_bytes:
+                yield at, None
+                at = end
+                continue
             content = decoder.decompress(data[at:end]) if known else decoder.decompressobj().decompress(data[at:end])
         except zstandard.ZstdError as error:
             raise WarcError(f"the frame at {at} does not decode: {error}") from error
@@ -218,12 +220,15 @@ def with_revisits(pages: DataFrame, ws: Workspace) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    large = rows.filter(F.octet_length("payload") >= REVISIT_BYTES)
+    large, small = (rows.filter(x) for x in (F.octet_length("payload") >= REVISIT_BYTES, F.octet_length("payload") < REVISIT_BYTES))
     groups = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n_rows"))
     copies = ws.save(groups.filter("n_rows > 1 and keeper is not null"), "copies")
-    joined = join_groups(rows, copies, "digest", "n_rows")
+    joined = join_groups(large, copies, "digest", "n_rows")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    return joined.select("page_id", "url", "payload", refers_to.alias("refers_to"))
+    # Short payloads, of which one may be on very many pages, have no group and don't take part in the join.
+    return joined.select("page_id", "url", "payload", refers_to.alias("refers_to")).unionByName(
+        small.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    )
 
 
 def write_archives(pages: DataFrame, ws: Workspace, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -259,11 +264,13 @@ def _plain_digest(header: str | None) -> str | None:
     return header
 
 
-def _read_one(archive: str, data: memoryview, keep_payload: bool) -> Iterator[tuple]:
+def _read_one(archive: str, data: memoryview, keep_payload: bool, max_bytes: int | None) -> Iterator[tuple]:
     at = 0
     try:
-        for at, content in frames(data):
+        for at, content in frames(data, max_bytes):
             try:
+                if content is None:
+                    raise WarcError(f"the record is longer than {max_bytes} bytes")
                 headers, http, _, payload = parse_record(content)
             except WarcError as error:
                 yield (archive, at, *(None,) * 7, str(error))
@@ -277,9 +284,12 @@ def _read_one(archive: str, data: memoryview, keep_payload: bool) -> Iterator[tu
         yield (archive, at, *(None,) * 7, str(error))
 
 
-def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, keep_payload: bool = True, max_bytes: int | None = None) -> DataFrame:
     """A row for each record of ``archive, content``; ``error`` says what breaks a record that is not valid.
 
+    Records of any length are read unless ``max_bytes`` is given; a longer one is then a row with an error. Null and empty
+    contents have no records, a null archive name stays null, and other columns are ignored.
+
     A broken record leaves the others readable; after a broken frame the archive's rest
     is one row with an error. A revisit has its original's digest and length, no payload.
     """
@@ -291,7 +301,7 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
                     continue
                 rows: list[tuple] = []
                 size = 0
-                for row in _read_one(archive, memoryview(content.as_buffer()), keep_payload):
+                for row in _read_one(archive, memoryview(content.as_buffer()), keep_payload, max_bytes):
                     rows.append(row)
                     size += len(row[8] or b"")
                     if len(rows) >= 1000 or size > 4 << 20:
