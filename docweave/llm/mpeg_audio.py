@@ -64,14 +64,21 @@ def read_header(four: bytes) -> Header | None:
     return Header(version, layer, not four[1] & 1, kbps, rate, mono, size, samples, side, {1: allocation, 2: -1, 3: side}[layer])
 
 
-@lru_cache(1 << 12)
+def _crc_of(byte: int) -> int:
+    crc = byte << 8
+    for _ in range(8):
+        crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return crc
+
+
+_CRC = [_crc_of(byte) for byte in range(256)]
+
+
 def crc16(data: bytes) -> int:
     """The frame checksum: polynomial 0x8005, from 0xFFFF, over the header's last two bytes and what follows it."""
     crc = 0xFFFF
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+        crc = (crc << 8 & 0xFFFF) ^ _CRC[crc >> 8 ^ byte]
     return crc
 
 
@@ -161,7 +168,7 @@ def _read_table(frame: bytes, header: Header, out: Audio) -> bool:
             out.table_bytes, at = int.from_bytes(frame[at : at + 4]), at + 4
         if flags & 4 and out.table_bytes:
             out.seek = [b * out.table_bytes // 256 for b in frame[at : at + 100]]
-    elif frame[36:40] == b"VBRI":
+    elif frame[36:40] == b"VBRI" and len(frame) >= 62:
         out.table_bytes, out.table_frames = struct.unpack_from(">II", frame, 46)
         entries, scale, width, _ = struct.unpack_from(">HHHH", frame, 54)
         place = len(frame)
@@ -175,16 +182,25 @@ def _read_table(frame: bytes, header: Header, out: Audio) -> bool:
     return True
 
 
+def _checksum_holds(data: bytes, pos: int, header: Header) -> bool:
+    return int.from_bytes(data[pos + 4 : pos + 6]) == crc16(data[pos + 2 : pos + 4] + data[pos + 6 : pos + 6 + header.guarded])
+
+
+def _like(data: bytes, pos: int, last: bytes) -> bool:
+    """Whether a header is of the kind of the last frame's: version, layer, protection, sampling rate, channels."""
+    return data[pos + 1] == last[1] and (data[pos + 2] ^ last[2]) & 0x0C == 0 and (data[pos + 3] ^ last[3]) & 0xC0 == 0
+
+
 def parse(data: bytes) -> Audio:
-    """Walk a stream's frames. Where no frame begins, the next place is taken at which a
-    frame stands that another one, or the end of the audio, follows. What looks like a tag at the
-    end is audio if such a frame reaches into it."""
+    """Walk a stream's frames. A frame is one that another one, or the end of the audio, follows; after a
+    frame also one that foreign bytes follow, if it is of the same kind and its checksum, where it has one, holds.
+    Elsewhere bytes are passed over. What looks like a tag at the end is audio if such a frame reaches into it."""
     out = Audio()
     pos = 0
     while data[pos : pos + 3] == b"ID3" and pos + 10 <= len(data):
         pos = _read_id3v2(data, pos, out.tags)
     end, tail = _read_tail(data, pos)
-    in_step = False
+    last = None  # the header of the frame that ends here
     while pos + 4 <= len(data):
         header = read_header(data[pos : pos + 4])
         after = pos + header.size if header else 0
@@ -194,18 +210,19 @@ def parse(data: bytes) -> Audio:
                 end, tail = begin, found
         if pos + 4 > end:
             break
-        if not header or after > end or not (in_step or after == end or read_header(data[after : after + 4])):
+        sound = header and after <= end
+        if sound and after != end and not read_header(data[after : after + 4]):
+            sound = last and _like(data, pos, last) and not (header.protected and header.guarded >= 0 and not _checksum_holds(data, pos, header))
+        if not sound:
             following = data.find(b"\xff", pos + 1, end)
             following = end if following < 0 else following
             out.skipped += following - pos
-            pos, in_step = following, False
+            pos, last = following, None
             continue
-        first, in_step = not (out.offsets or out.table), True
-        guarded = header.guarded
-        if header.protected and guarded >= 0:
+        first, last = not (out.offsets or out.table), data[pos : pos + 4]
+        if header.protected and header.guarded >= 0:
             out.checked += 1
-            held = int.from_bytes(data[pos + 4 : pos + 6])
-            out.broken += crc16(data[pos + 2 : pos + 4] + data[pos + 6 : pos + 6 + guarded]) != held
+            out.broken += not _checksum_holds(data, pos, header)
         if not (first and _read_table(data[pos:after], header, out)):
             out.offsets.append(pos)
             out.sizes.append(header.size)
@@ -224,11 +241,12 @@ ROOM = {k: 144 * k * 1000 // 32000 - 23 for k in KBPS["1", 3]}
 LENGTH_TAG = "payload_bytes"
 
 
-@lru_cache(64)
-def _opening(kbps: int, protected: bool) -> bytes:
-    """Header, checksum and empty side information of a mono layer III frame at 32 kHz."""
+@lru_cache(1024)
+def _opening(kbps: int, protected: bool, number: int = 0) -> bytes:
+    """Header, checksum and side information of a silent mono layer III frame at 32 kHz; the side information's
+    five private bits count the frames."""
     head = bytes((0xFF, 0xFA if protected else 0xFB, KBPS["1", 3].index(kbps) + 1 << 4 | RATE_AT << 2, MONO))
-    side = bytes(17)
+    side = bytes((0, number % 32 << 2)) + bytes(15)
     return head + (crc16(head[2:] + side).to_bytes(2) if protected else b"") + side
 
 
@@ -240,10 +258,10 @@ def store(payload: bytes) -> bytes:
     """
     full, largest = 320, ROOM[320]
     whole, rest = divmod(len(payload), largest)
-    frames = [_opening(full, True) + payload[i * largest : (i + 1) * largest] for i in range(whole)]
+    frames = [_opening(full, True, i % 32) + payload[i * largest : (i + 1) * largest] for i in range(whole)]
     if rest:
         kbps = next(k for k in KBPS["1", 3] if ROOM[k] >= rest)
-        frames.append(_opening(kbps, True) + payload[whole * largest :] + bytes(ROOM[kbps] - rest))
+        frames.append(_opening(kbps, True, whole % 32) + payload[whole * largest :] + bytes(ROOM[kbps] - rest))
     text = b"\x03" + f"{LENGTH_TAG}\0{len(payload)}".encode()
     syncsafe = lambda n: bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
     tag = b"TXXX" + syncsafe(len(text)) + b"\0\0" + text
@@ -286,7 +304,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 FRAME_COLUMNS = (
-    "frames long, samples long, sample_rate int, duration double, frame_offsets array<long>, skipped_bytes long, "
+    "frames long, samples long, sample_rate int, duration double, duration_numerator long, duration_denominator long, frame_offsets array<long>, skipped_bytes long, "
     "crc_checked long, crc_broken long, vbr_table string, vbr_frames long, vbr_offsets array<long>, tags map<string,string>"
 )
 
@@ -294,7 +312,7 @@ FRAME_COLUMNS = (
 def read_audio(media: DataFrame) -> DataFrame:
     """``doc_id`` and what the stream in ``media`` holds, for any MPEG-1, 2 or 2.5 stream of layers I to III.
 
-    Durations are exact sums of samples over rates, given as the nearest double;
+    Durations are exact sums of samples over rates, given as a fraction and as the nearest double;
     ``frame_offsets`` are bytes from the start. Null or foreign bytes: no frames. A stream of several
     rates has no ``sample_rate``. Layer II checksums, which need its allocation tables, are not verified.
     """
@@ -305,21 +323,21 @@ def read_audio(media: DataFrame) -> DataFrame:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 a = parse(data or b"")
                 rate = next(iter(a.rates)) if len(a.rates) == 1 else None
-                rows.append((doc_id, len(a.offsets), a.samples, rate, float(a.duration), a.offsets, a.skipped, a.checked, a.broken, a.table, a.table_frames, a.seek, list(a.tags.items())))
+                rows.append((doc_id, len(a.offsets), a.samples, rate, float(a.duration), a.duration.numerator, a.duration.denominator, a.offsets, a.skipped, a.checked, a.broken, a.table, a.table_frames, a.seek, list(a.tags.items())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], names=NAMES)
 
     return media.select("doc_id", "media").mapInArrow(read, f"doc_id long, {FRAME_COLUMNS}")
 
 
 _LONGS = pa.list_(pa.int64())
-ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), _LONGS, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _LONGS, pa.map_(pa.string(), pa.string())]
+ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), _LONGS, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _LONGS, pa.map_(pa.string(), pa.string())]
 NAMES = ["doc_id", *[c.split()[0] for c in FRAME_COLUMNS.split(", ")]]
 
 
 def read_back(media: DataFrame) -> DataFrame:
     """The stored payloads' digests and a summary of each stream, of what ``store_texts`` wrote."""
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64()}
-    kinds |= {"media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "duration": pa.float64()}
+    kinds |= {"media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "duration": pa.float64(), "frame_offsets": _LONGS}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,10 +350,10 @@ def read_back(media: DataFrame) -> DataFrame:
                     f"mpeg1-layer3 frames={len(audio.offsets)} samples={audio.samples} seconds={audio.duration} "
                     f"crc={audio.checked - audio.broken}/{audio.checked} {audio.table}={audio.table_frames} offsets={seek}"
                 )
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, float(audio.duration)))
+                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, float(audio.duration), audio.offsets))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration double"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration double, frame_offsets array<long>"
     return media.mapInArrow(read, schema)
 
 
