@@ -112,11 +112,13 @@ class Sketches:
 def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each pair of sets the digests only in the first and only in the second, from sketches of growing size.
 
+    Sizes change until peeling ends; each places the digests anew, so that no two share their cells at every size.
     A pair starts at the least size that can hold the difference of the two sets' sizes.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, "u8"),) * 2] * len(pairs)
     left, cells = list(range(len(pairs))), CELLS
-    for attempt in range(40):
+    attempt = 0
+    while left:
         largest = max((len(a) + len(b) for a, b in (pairs[i] for i in left)), default=0)
         now = [i for i in left if cells >= abs(len(pairs[i][0]) - len(pairs[i][1])) or cells >= 8 * largest]
         if now:
@@ -130,11 +132,8 @@ def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.nda
                     out[i] = (keys[signs > 0], keys[signs < 0])
             done = {i for at, i in enumerate(now) if not stuck[at]}
             left = [i for i in left if i not in done]
-        if not left:
-            return out
-        cells = cells * GROWTH if cells < 8 * largest else cells + 3 + attempt  # in the end the same size, other cells
-    for i in left:  # digests that share their cells at every size
-        out[i] = (np.setdiff1d(*pairs[i]), np.setdiff1d(*pairs[i][::-1]))
+        cells = cells * GROWTH if cells < 8 * largest else cells + 3 + attempt  # in the end about the same size, but other cells
+        attempt += 1
     return out
 
 
