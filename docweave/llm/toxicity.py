@@ -73,6 +73,10 @@ class Model:
         odds = self.embeddings[flat] @ (self.weights[1] - self.weights[0])
         return np.add.reduceat(odds, np.cumsum(sizes) - sizes) / sizes
 
+    def digest(self) -> bytes:
+        """What tells models apart."""
+        return xxhash.xxh3_128_digest(b"".join(x.tobytes() for x in (self.embeddings, self.weights, self.biases)))
+
     @property
     def bias(self) -> float:
         return float(self.biases[1] - self.biases[0])
@@ -185,7 +189,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-_ODDS: dict[int, dict[str, float]] = {}
+_ODDS: dict[bytes, dict[str, float]] = {}
+
+
+def _odds_of(model: Model) -> dict[str, float]:
+    """The words' odds that this Python worker knows of a model; those of any other model are dropped."""
+    key = model.digest()
+    if key not in _ODDS:
+        _ODDS.clear()
+        _ODDS[key] = {}
+    return _ODDS[key]
 
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
@@ -195,7 +208,7 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        known = _ODDS.setdefault(id(model), {})
+        known = _odds_of(model)
         for texts in batches:
             out = np.empty(len(texts))
             for at in range(0, len(texts), 256):
