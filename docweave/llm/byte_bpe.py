@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .work import table
 
-#: Distinct pre-tokens in each of the two generations that a worker keeps.
-CACHE = 300_000
+#: Distinct pre-tokens in each of the two generations that a worker keeps, and the characters of the longest that is kept.
+CACHE, CACHE_PIECE = 300_000, 64
 
 
 class PerfectHash:
@@ -146,7 +146,8 @@ class ByteBpe:
             whole = self.lookup(raw)
             ids = [whole] if whole >= 0 else self.merge(raw)
             found = (array("I", ids).tobytes(), ",".join(map(str, ids)))
-        self.cache[piece] = found
+        if len(piece) <= CACHE_PIECE:
+            self.cache[piece] = found
         return found
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
