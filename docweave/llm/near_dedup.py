@@ -36,7 +36,7 @@ def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's five-word shingles; of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone, and the six white-space characters
     if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), seed=len(words))], "u8") if words else np.zeros(0, "u8")
+        return np.array([xxhash.xxh3_64_intdigest(b"\0".join([b"%d" % len(words), *words]))], "u8") if words else np.zeros(0, "u8")
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
     n = len(words) - WORDS + 1
     out = np.zeros(n, "u8")
@@ -213,7 +213,12 @@ def find(docs: DataFrame, ws: Workspace) -> DataFrame:
     roots = ws.save(roots.filter("root is not null or n_rows > 1").withColumn("root", F.coalesce("root", "cid")), "roots")
     groups = ws.save(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_sets"), F.min("set_key").alias("group_key")), "groups")
     members = ws.save(join_groups(roots, groups, "root", "n_sets").select("set_key", "n_rows", "component_id", "group_key"), "members")
-    out = join_groups(signed.select("row", "n_shingles", "set_key"), members, "set_key", "n_rows")
+    rows = signed.select("row", "n_shingles", "set_key")
+    out = join_groups(rows.filter("set_key is not null"), members, "set_key", "n_rows")
+    blank = rows.filter("set_key is null")  # linked with nothing; as one key they would meet in one task
+    for column, kind in members.drop("set_key").dtypes:
+        blank = blank.withColumn(column, F.lit(None).cast(kind))
+    out = out.unionByName(blank)
     out = out.withColumn("component_id", F.when(F.col("group_key").isNotNull(), F.col("component_id")).otherwise(doc_id))
     kept = doc_id.eqNullSafe(F.col("component_id")).alias("kept")
     return out.select("row", "n_shingles", "component_id", kept, F.coalesce("group_key", "set_key").alias("group_key"))
