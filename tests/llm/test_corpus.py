@@ -17,7 +17,7 @@ from .conftest import SCHEMA, edge_rows, invented
 def pages(spark):
     big, other = "<p>" + invented(5, 400), "<p>é" + invented(6, 400)
     rows = [(1, "http://a/1", big), (2, "http://a/2\r\nX: y", big), (9, None, big), (3, "http://ä/ü?q=1", other), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "small")]
-    rows += [(None, "u", big), (None, "n", "n" * 1200), (9, "again", big)] + [(100 + k, "u", invented(k, 300)) for k in range(40)]
+    rows += [(200 + k, "u", "small") for k in range(30)] + [(None, "u", big), (None, "n", "n" * 1200), (9, "again", big)] + [(100 + k, "u", invented(k, 300)) for k in range(40)]
     return spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, payload string, digest string").repartition(3)
 
 
@@ -57,6 +57,8 @@ def test_warc_rejects_what_is_broken(spark):
     archives = [("bad", b"".join(map(plain, [*bad, records[1]]))), ("cut", data[:-3]), ("none", b"hello"), ("null", None), ("empty", b"")]
     rows = warc.read_archives(spark.createDataFrame(archives, "archive string, content binary")).collect()
     assert [r.error is None for r in rows if r.archive == "bad"] == [False] * len(bad) + [True]
+    few = warc.read_archives(spark.createDataFrame([("long", b"".join(map(plain, records[:3])))], "archive string, content binary"), max_bytes=len(records[1]) - 1).collect()
+    assert [r.error is None for r in few] == [len(r) < len(records[1]) for r in records[:3]]
     assert [r.error is None for r in rows if r.archive == "cut"] == [True] * 39 + [False]
     assert [r.error is None for r in rows if r.archive == "none"] == [False] and not [r for r in rows if r.archive in ("null", "empty")]
 
@@ -214,6 +216,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert model.word_odds(["snarkbitters"])[0] > 10 * abs(np.median(model.word_odds(invented(12345, 200).split())))
 
 
+def test_scores_by_hand(spark):
+    rows, labels = toxic_rows(200)
+    model = toxicity.train([t for _, t in rows], [y for _, y in labels])
+    got = spark.createDataFrame(rows[:30], "doc_id long, text string").select(toxicity.scorer(spark, model)(F.col("text")).alias("s")).collect()
+    for (_, text), row in zip(rows, got, strict=False):
+        words, odds = text.lower().split(), []
+        for at in range(0, len(words), toxicity.PASSAGE):
+            vectors = [model.embeddings[toxicity.grams_of(w)].astype("f8").mean(0) for w in words[at : at + toxicity.PASSAGE]]
+            odds.append(float(np.mean(vectors, 0) @ (model.weights[1] - model.weights[0]).astype("f8")) + model.bias)
+        lean = np.exp(toxicity.SHARP * np.array(odds))
+        assert row.s == pytest.approx(1 / (1 + np.exp(-(lean * odds).sum() / lean.sum())), abs=1e-4)
+    other = toxicity.Model(model.embeddings * 0, model.weights, model.biases)
+    assert toxicity._odds_of(model) is toxicity._odds_of(model) and toxicity._odds_of(other) == {} and len(toxicity._ODDS) == 1
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (3, None), (7, 1)], "doc_id long, toxic int")
     rows = toxicity.score_documents(edge, labels).collect()

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -61,8 +62,19 @@ def test_words_encode_as_whole_texts(library, monkeypatch):
     encoder = WordEncoder(WORD)
     texts = ["".join(rng.choice("abAB .,'’é²<|>\n\x1c 日ßİſ1") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     texts += ["x<|endoftext|>y <|startoftext|>", "don't DON'T they'll", "É É", "word.word ...word,, %%%a"]
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    for k in range(0, len(texts), 100):
+        ends, ids = encoder.encode(pa.array(texts[k : k + 100]))
+        assert np.diff(ends).tolist() == encoder.counts(pa.array(texts[k : k + 100])).tolist()
+        for text, a, b in zip(texts[k : k + 100], ends[:-1], ends[1:], strict=True):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_caches_keep_no_long_words(library):
+    encoder, text = WordEncoder(WORD), "日本語のとても長い文" * 200 + " short"
+    assert encoder.encode(pa.array([text]))[1].tolist() == library.encode(text, add_special_tokens=False).ids
+    codec = byte_bpe.ByteBpe.read(MULTI, public_tokenizers.PATTERN)
+    codec.encode("x" * 500)
+    assert max(map(len, [*encoder.words, *encoder.stems, *codec.cache])) <= 64
 
 
 def test_packing():
@@ -123,9 +135,41 @@ def test_mpeg_round_trip(edge, none, ws):
     pad = lambda b: b + bytes(-len(b) % 64 if b else 64)
     want = [(i, len(t.encode()), len(p := pad(t.encode())), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for i, t in TEXTS]
     assert many((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == many(want)
+    media = {r.doc_id: bytes(r.media) for r in ws.save(mpeg_audio.store_texts(edge.filter("doc_id > 6")), "again").collect()}
+    for r in got:
+        if r.doc_id in media:
+            data, audio = media[r.doc_id], mpeg_audio.parse(media[r.doc_id])
+            assert (r.media_bytes, r.media_sha256, r.frame_offsets) == (len(data), hashlib.sha256(data).hexdigest(), audio.offsets)
+            frames = -(-r.payload_bytes // mpeg_audio.ROOM[320])
+            assert r.feature.startswith(f"mpeg1-layer3 frames={frames} samples={frames * 1152} ") and f"crc={frames}/{frames} Xing={frames}" in r.feature
     assert mpeg_audio.read_back(ws.save(mpeg_audio.store_texts(none), "n")).count() == 0
 
 
+def test_checksum_by_hand():
+    rng = random.Random(4)
+    for _ in range(50):
+        data, crc = rng.randbytes(rng.randint(0, 40)), 0xFFFF
+        for byte in data:
+            for k in range(7, -1, -1):
+                crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ (byte >> k & 1) else 0)
+        assert mpeg_audio.crc16(data) == crc
+
+
+def test_mpeg_any_bytes():
+    rng = random.Random(6)
+    whole = mpeg_audio.store(rng.randbytes(6000))
+    vbri = bytes((0xFF, 0xFB, 0x14, 0xC0)).ljust(36, b"\0") + b"VBRI"
+    for data in [vbri, vbri + b"\0" * 9, vbri.ljust(144, b"\xff"), b"ID3", b"ID3\x04\0\0\x7f\x7f\x7f\x7f", b"TAG".ljust(128, b"x"), b"APETAGEX" + b"\xff" * 24]:
+        mpeg_audio.parse(data)
+    for _ in range(400):
+        data = bytearray(whole[rng.randrange(200) : rng.randrange(len(whole))])
+        for _ in range(rng.randint(0, 30)):
+            if data:
+                data[rng.randrange(len(data))] = rng.choice([0, 255, 0xFB, rng.randrange(256)])
+        audio = mpeg_audio.parse(bytes(data) + rng.choice([b"", b"TAG".ljust(128, b"\0"), rng.randbytes(50)]))
+        assert sum(audio.sizes) + audio.skipped <= len(data) + 128 and audio.offsets == sorted(audio.offsets)
+
+
 def test_mpeg_parsing(spark):
     data = mpeg_audio.store(b"abc" * 3000)
     audio = mpeg_audio.parse(data)
@@ -221,26 +265,62 @@ def test_elias_fano():
         assert (coded.successor(x, np.zeros(400, "i8"), np.full(400, n)) == np.searchsorted(values, x)).all()
 
 
-def test_lm_scores(edge, none, ws, spark, monkeypatch):
-    monkeypatch.setattr(lm_scores, "BLOCK_TOKENS", 1000)
-    monkeypatch.setattr(lm_scores, "SHARD_TOKENS", 5000)
-    got = lm_scores.score_documents(edge, ws).collect()
+def lm_by_hand(rows):
+    """Scores of (doc_id, text) rows from plain counts of one, two and three words."""
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    ones, twos, contexts = Counter(), Counter(), Counter()
-    sequences = [(i, [*t.encode().lower().split(), 0]) for i, t in TEXTS]
+    ones, pairs, triples, before = Counter(), Counter(), Counter(), Counter()
+    sequences = [(i, [("begin",), ("begin",), *t.encode().lower().split(), ("end",)]) for i, t in rows]
     for i, s in sequences:
         if not out(i):
-            ones.update(s)
-            twos.update(zip([1, *s], s, strict=False))
-            contexts.update([1, *s[:-1]])
-    n, v, mu = sum(ones.values()), len(ones), lm_scores.MU
-    p = lambda w: (ones[w] + 1) / (n + v + 1)
-    want = []
+            ones.update(s[2:])
+            pairs.update(zip(s[1:], s[2:], strict=False))
+            before.update(s[1:-1])
+            triples.update(zip(s, s[1:], s[2:], strict=False))
+            pairs[("begin",), ("begin",)] += 1
+    n, v, (mu2, mu3) = sum(ones.values()), len(ones), lm_scores.MU
+    p1 = lambda w: (ones[w] + 1) / (n + v + 1)
+    p2 = lambda b, w: (pairs[b, w] + mu2 * p1(w)) / (before[b] + mu2)
+    p3 = lambda a, b, w: (triples[a, b, w] + mu3 * p2(b, w)) / (pairs[a, b] + mu3)
     for i, s in sequences:
-        base = sum(math.log10(p(w)) for w in s)
-        score = sum(math.log10((twos[c, w] + mu * p(w)) / (contexts[c] + mu)) for c, w in zip([1, *s], s, strict=False))
-        want.append((i, out(i), len(s), sum(ones[w] > 0 for w in s), n, base, score))
+        w = s[2:]
+        yield i, out(i), len(w), sum(ones[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), sum(math.log10(p3(*x)) for x in zip(s, s[1:], w, strict=False))
+
+
+@pytest.mark.parametrize(("block", "shard"), [(1000, 5000), (2_000_000, 4_000_000), (50, 40)])
+def test_lm_scores(none, ws, spark, monkeypatch, block, shard):
+    monkeypatch.setattr(lm_scores, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(lm_scores, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(lm_scores, "SHARD_WORDS", shard)
+    rng = random.Random(5)
+    rows = [(i, t) for i, t in TEXTS if shard > 40 or len(t) < 5000]
+    rows += [(i, " ".join(rng.choice(["of the", "enc", "END", "begin", "a", "b", invented(i, 1)]) for _ in range(rng.randint(0, 40)))) for i in range(100, 180)]
+    got = lm_scores.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ws).collect()
     key = lambda r: (-1 if r[0] is None else r[0], r[2], r[5])
-    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+    for a, b in zip(sorted(got, key=key), sorted(lm_by_hand(rows), key=key), strict=True):
         assert tuple(a[:5]) == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6], rel=0.01)
     assert lm_scores.score_documents(none, type(ws)(spark, "n")).count() == 0
+
+
+def test_trie():
+    rng = np.random.default_rng(1)
+    triples, n = np.unique(rng.integers(4, 40, (4000, 3)), axis=0, return_counts=True)
+    pairs, pair = np.unique(triples[:, :2], axis=0, return_inverse=True)
+    total = np.bincount(pair, n).astype("i8")
+    total_a = np.bincount(pairs[:, 0], total)[pairs[:, 0]].astype("i8")
+    trie = ngram_trie.Trie(np.frombuffer(ngram_trie.Trie.build(pairs[:, 0], pairs[:, 1], total_a, total, pair, triples[:, 2], n, 50, (9.0, 3.0)), "u1"))
+    ask = np.array([(a, b, c) for a in range(50) for b in range(50) for c in range(0, 50, 7)])
+    known = {tuple(t): k for t, k in zip(triples.tolist(), n.tolist(), strict=True)}
+    held = {tuple(t): (x, y) for t, x, y in zip(pairs.tolist(), total.tolist(), total_a.tolist(), strict=True)}
+    node = trie.find_pairs(ask[:, 0], ask[:, 1])
+    third = trie.find_thirds(node, ask[:, 2])
+    p2, weight, p3 = (book[trie.codes(codes, at)] for book, codes, at in ((trie.p2_book, trie.p2, node), (trie.weight_book, trie.weights, node), (trie.p3_book, trie.p3, third)))
+    for i, (a, b, c) in enumerate(ask.tolist()):
+        assert (node[i] >= 0) == ((a, b) in held) and (third[i] >= 0) == ((a, b, c) in known)
+        if (a, b) in held:
+            x, y = held[a, b]
+            assert p2[i] == pytest.approx(math.log10(x / (y + 9)), abs=0.01) and weight[i] == pytest.approx(math.log10(3 / (x + 3)), abs=0.01)
+        if (a, b, c) in known:
+            assert p3[i] == pytest.approx(math.log10(known[a, b, c] / (x + 3)), abs=0.01)
+    empty = np.zeros(0, "i8")
+    none = ngram_trie.Trie(np.frombuffer(ngram_trie.Trie.build(*[empty] * 7, 5, (9.0, 3.0)), "u1"))
+    assert none.find_pairs(np.array([1]), np.array([2])).tolist() == [-1] and none.find_thirds(np.array([-1]), np.array([2])).tolist() == [-1]
