@@ -192,7 +192,12 @@ def mix(docs: DataFrame, ws: Workspace, weights: int = 3, cap: float = 3.0) -> D
 
 
 def repeat_rows(docs: DataFrame, ws: Workspace, weights: int = 3, cap: float = 3.0) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it: not at all, once or up to ``cap`` times."""
+    """The rows of ``docs``, all columns, each as often as the mix takes it: not at all, once or up to ``cap`` times.
+
+    Rows meet their copies in a shuffle at any size: one copy number for each row would not stay small enough to broadcast.
+    Rows that share id, source and size divide their copies among them. Null texts and texts without words are taken
+    as often as the rounding says; an empty table gives an empty result; columns keep their names, whatever they are.
+    """
     keys = ["doc_id", "source", "size"]
     mixed = mix(docs, ws, weights, cap).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("n_rows"))
     mixed = ws.save(mixed, "copies")
@@ -202,7 +207,7 @@ def repeat_rows(docs: DataFrame, ws: Workspace, weights: int = 3, cap: float = 3
     if not mixed.filter("n_rows > 1").isEmpty():  # rows that share all three divide the copies among them
         nth = F.row_number().over(Window.partitionBy(*inner).orderBy(F.xxhash64("row.text")))
     rows = rows.withColumn("nth", nth)
-    met = rows.join(own, inner[0].eqNullSafe(F.col("k0")) & inner[1].eqNullSafe(F.col("k1")) & (inner[2] == F.col("k2")))
+    met = rows.join(own.hint("merge"), inner[0].eqNullSafe(F.col("k0")) & inner[1].eqNullSafe(F.col("k1")) & (inner[2] == F.col("k2")))
     times = F.floor(F.col("copies") / F.col("n_rows")) + F.when(F.col("nth") <= F.col("copies") % F.col("n_rows"), 1).otherwise(0)
     return met.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")
 
