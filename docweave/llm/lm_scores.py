@@ -26,7 +26,7 @@ from .words import pack_columns, slices, split_words, unpack_columns
 from .work import BROADCAST_ROWS, Workspace, table
 
 #: Tokens of a block, about; all tokens for which there is one trie shard; words of blocks for which there is one shard of the vocabulary.
-BLOCK_TOKENS, SHARD_TOKENS, SHARD_WORDS = 2_000_000, 4_000_000, 2_000_000
+BLOCK_TOKENS, SHARD_TOKENS, SHARD_WORDS = 1_000_000, 2_000_000, 1_000_000
 #: Weight of the next lower order in a context of one word and of two, in tokens.
 MU = (200.0, 20.0)
 # Numbers that are no words: in a block's own list of words, and in all. What training texts lack is UNKNOWN.
