@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .word_encoder import Library, worker_encoder
+from .words import slices
 from .work import Workspace, table
 
 MAGIC, VERSION = b"DWPK", 1
@@ -126,14 +127,14 @@ def encode_shards(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """``part, first_id, n_docs, n_ids, content``: shards in ascending doc_id order by (part, first_id).
 
     ``first_id`` counts within the part. Rows without a doc_id come first, rows with
-    one doc_id in the order of a hash of their texts. A null text is empty: the end id alone.
+    one doc_id in the order of a hash of their texts. A null or empty text is the end id alone, a very long
+    one a shard of its own; an empty table gives no shards; other columns are ignored, whatever their names.
     """
     shard_ids = SHARD_IDS
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
         bits = bits_for(max(encoder.library.size, end_id + 1))
-        end = np.array([end_id], "<u4").tobytes()
         part, first, held, doc_ids, ids = TaskContext.get().partitionId(), 0, 0, [], []
 
         def close() -> pa.RecordBatch:
@@ -142,20 +143,24 @@ def encode_shards(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             return pa.RecordBatch.from_pydict(row, schema=SCHEMA)
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                doc_ids.append(doc_id)
-                ids.append(np.frombuffer(packed + end, "<u4"))
-                held += len(ids[-1])
-                if held >= shard_ids:
-                    yield close()
-                    first, held, doc_ids, ids = first + held, 0, [], []
+            for some in slices(batch):
+                ends, flat = encoder.encode(some.column("text"))
+                flat = np.insert(flat, ends[1:], end_id)
+                ends = ends + np.arange(len(ends))
+                for doc_id, a, b in zip(some.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    doc_ids.append(doc_id)
+                    ids.append(flat[a:b])
+                    held += b - a
+                    if held >= shard_ids:
+                        yield close()
+                        first, held, doc_ids, ids = first + held, 0, [], []
         if ids:
             yield close()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.mapInArrow(shards, "part int, first_id long, n_docs long, n_ids long, content binary")
 
 

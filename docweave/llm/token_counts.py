@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .word_encoder import worker_encoder
+from .words import slices
 from .work import table
 
 
@@ -19,19 +20,17 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     those of the library for the whole text, without begin, end or other added
     ids, truncation or padding. Batches hold about the same number of bytes, and a
     long text is cut only at white space that the tokenizer drops, where no token
-    reaches over the cut. A null text counts as empty; repeated rows and null
-    ids keep a row each; other columns are ignored.
+    reaches over the cut; for a tokenizer that keeps white space it is not split at all. A null text counts
+    as empty; repeated rows and null ids keep a row each; an empty table gives an empty result; other columns
+    are ignored, whatever their names.
     """
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            counts = [len(ids) // 4 for ids in encoder.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())],
-                names=["doc_id", "n_bytes", "n_tokens"],
-            )
+            for some in slices(batch):
+                counts = pa.array(encoder.counts(some.column("text")), pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("n_bytes"), counts], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))

@@ -56,12 +56,12 @@ def test_token_counts_of_other_tokenizers(edge, name):
 
 
 def test_words_encode_as_whole_texts(library, monkeypatch):
-    monkeypatch.setattr(word_encoder, "CACHE_WORDS", 50)
-    monkeypatch.setattr(word_encoder, "CACHE_STEMS", 50)
+    monkeypatch.setattr(word_encoder, "CACHE_PIECES", 50)
+    monkeypatch.setattr(word_encoder, "WORDS_TOGETHER", 3)
     rng = random.Random(3)
     encoder = WordEncoder(WORD)
     texts = ["".join(rng.choice("abAB .,'’é²<|>\n\x1c 日ßİſ1") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    texts += ["x<|endoftext|>y <|startoftext|>", "don't DON'T they'll", "É É", "word.word ...word,, %%%a"]
+    texts += ["x<|endoftext|>y <|startoftext|>", "don't DON'T they'll", "É É", "word.word ...word,, %%%a", "ÀÉß.. ÑANDÚ, straßE! µ ª aª ÿ÷ Ÿ x\n"]
     for k in range(0, len(texts), 100):
         ends, ids = encoder.encode(pa.array(texts[k : k + 100]))
         assert np.diff(ends).tolist() == encoder.counts(pa.array(texts[k : k + 100])).tolist()
@@ -74,7 +74,7 @@ def test_caches_keep_no_long_words(library):
     assert encoder.encode(pa.array([text]))[1].tolist() == library.encode(text, add_special_tokens=False).ids
     codec = byte_bpe.ByteBpe.read(MULTI, public_tokenizers.PATTERN)
     codec.encode("x" * 500)
-    assert max(map(len, [*encoder.words, *encoder.stems, *codec.cache])) <= 64
+    assert max(map(len, [*encoder.known, *codec.cache])) <= 64
 
 
 def test_packing():
