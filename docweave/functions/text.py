@@ -109,8 +109,21 @@ def extension(path: Column) -> Column:
 
 
 def field(text: Column, label: str, value: str = r"[^\n]+?") -> Column:
-    """What follows ``label:`` on the first line that has it; null where none has."""
-    return F.nullif(F.regexp_extract(text, rf"(?im)^[ \t]*{label}[ \t]*:[ \t]*({value})[ \t]*$", 1), F.lit(""))
+    """What follows ``label``, with or without a colon, at the start of a line, or ``label:`` within one; null where nothing does.
+    The value reaches to the line's end."""
+    return F.nullif(F.regexp_extract(text, rf"(?im)(?:^[ \t]*{label}\b[ \t]*:?|(?<=\s){label}[ \t]*:)[ \t]*({value})[ \t\r]*$", 1), F.lit(""))
+
+
+#: Legal suffixes as texts write them after a company's name.
+_SUFFIX = "|".join(s.upper() + "|" + s.capitalize() for s in LEGAL_SUFFIXES if s not in ("company", "spa", "sa", "ag", "co")) + "|AG|SA|Co|GmbH|SpA|Sarl|PLC|LLP|LLC"
+_NAME = rf"(?<![\p{{L}}\p{{N}}])((?:\p{{Lu}}[\p{{L}}\p{{N}}'’.-]*[ ](?:(?:&|and|of|the)[ ])?){{1,5}}(?:{_SUFFIX})\.?)(?![\p{{L}}\p{{N}}])"
+_LEAD = r"^(?:(?:The|And|Our|At|In|For|With|From|To|By|Of|Dear|Between|This|That|We|As|On|If)\s+)+(?=\S+\s)"
+
+
+def company_names(text: Column) -> Column:
+    """Distinct names in running text that end in a legal suffix, without words that only begin a sentence."""
+    names = F.transform(F.regexp_extract_all(text, F.lit(_NAME), 1), lambda n: F.regexp_replace(n, _LEAD, ""))
+    return F.array_distinct(F.filter(F.transform(names, collapse_spaces), lambda n: n.contains(" ") & ~n.rlike("(?i)limited to")))
 
 
 def money(text: Column) -> Column:

@@ -22,30 +22,41 @@ def prefix_of(number: Column) -> Column:
     return F.substring_index(number, "-", 1)
 
 
-def type_of(number: Column) -> Column:
+def type_of(number: Column, types: dict[str, str] = TYPE_OF_PREFIX) -> Column:
     """The document type that a number's prefix names, or null."""
     out = F.lit(None).cast("string")
-    for prefix, name in TYPE_OF_PREFIX.items():
+    for prefix, name in types.items():
         out = F.when(prefix_of(number) == prefix, name).otherwise(out)
     return out
 
 
-def references(text: Column) -> Column:
+def references(text: Column, types: dict[str, str] = TYPE_OF_PREFIX) -> Column:
     """Distinct document numbers in a text whose prefix is known, in order; specifications and standards are not references."""
-    known = [p for p in TYPE_OF_PREFIX if p not in NOT_REFERENCED]
+    known = [p for p in types if p not in NOT_REFERENCED]
     return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(NUMBER), 1), lambda n: prefix_of(n).isin(*known)))
 
 
-def product_codes(text: Column) -> Column:
+def product_codes(text: Column, types: dict[str, str] = TYPE_OF_PREFIX) -> Column:
     """Distinct product codes: short numbers whose prefix names no document."""
-    other = [*TYPE_OF_PREFIX, *NO_DOCUMENT]
+    other = [*types, *NO_DOCUMENT]
     return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(CODE), 1), lambda n: ~prefix_of(n).isin(*other)))
 
 
+#: Labels that teach the type of the number after them.
+LABELS = {
+    "invoice": "Invoice", "quote": "Quote|Quotation", "purchase_order": "Purchase Order|PO", "delivery_note": "Delivery Note", "credit_note": "Credit Note", "order": "Order", "contract": "Contract",
+    "drawing": "Drawing", "specification": "Specification", "datasheet": "Datasheet",
+}
+
+
+def labelled(label: str) -> str:
+    """The pattern of a number that follows a label such as ``Invoice``, with or without ``No`` and a colon."""
+    return rf"(?<![\p{{L}}\p{{N}}])(?i:{label})(?:\s+(?i:no|number|nr)\.?|\s*#)?\s*[:#]?\s*([A-Z]{{2,5}}(?:-\d{{2,}})+)"
+
+
 def own_number(text: Column, label: str) -> Column:
-    """The number that follows a label such as ``Invoice``, with or without ``No`` and a colon; null where there is none."""
-    found = F.regexp_extract(text, rf"(?i:\b{label})(?:\s+(?i:no|number|nr)\.?|\s*#)?\s*[:#]?\s*([A-Z]{{2,5}}(?:-\d{{2,}})+)", 1)
-    return F.nullif(found, F.lit(""))
+    """The first number that a label is followed by; null where there is none."""
+    return F.nullif(F.regexp_extract(text, labelled(label), 1), F.lit(""))
 
 
 #: Templates that a labelled number or line recognises: document type, the label of its number, and labels of people's roles.
