@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,11 +24,23 @@ def collapse_spaces(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(BLANK))
 
 
+def _accented() -> tuple[str, str]:
+    """Letters of the Latin blocks up to U+024F and U+1E00 to U+1EFF that are a plain letter with marks, and those letters; then marks alone."""
+    letters = [chr(c) for c in (*range(0x100, 0x250), *range(0x1E00, 0x1F00))]
+    parts = [(x, "".join(y for y in unicodedata.normalize("NFD", x) if not unicodedata.category(y).startswith("M"))) for x in letters]
+    plain = [(x, y) for x, y in parts if len(y) == 1 and x != y]
+    return "".join(x for x, _ in plain) + "".join(map(chr, range(0x300, 0x370))), "".join(y for _, y in plain)
+
+
+_EXTENDED = _accented()
+
+
 def plain_letters(text: Column) -> Column:
     """German umlauts spelled out, then accents dropped."""
     out = text
     for marked, plain in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue")):
         out = F.replace(out, F.lit(marked), F.lit(plain))
+    out = F.translate(out, *_EXTENDED)
     return F.translate(out, "àáâãåçèéêëìíîïñòóôõùúûýÿÀÁÂÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÙÚÛÝ", "aaaaaceeeeiiiinoooouuuyyAAAAACEEEEIIIINOOOOUUUY")
 
 

@@ -13,9 +13,8 @@ from ..schema import TYPE_RANK
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """``node, other, rel, dir, weight, derived``: each relation from both of its ends."""
-    rest = ["rel", "weight", "derived"]
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), *rest, F.lit("out").alias("dir"))
-    return out.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), *rest, F.lit("in").alias("dir")))
+    end = lambda node, other, name: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), "rel", F.lit(name).alias("dir"), "weight", "derived")
+    return edges.select(F.inline(F.array(end("src", "dst", "out"), end("dst", "src", "in")))).select("node", "other", "rel", "weight", "derived", "dir")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -208,7 +207,7 @@ def shortest_paths(start: int, goal: int, edges: DataFrame, avoid: list[int] | N
     for nodes in useful if found else []:
         paths = paths.join(steps, "node").join(nodes.withColumnRenamed("node", "other"), "other", "left_semi")
         paths = paths.select(F.concat("path", F.array("other")).alias("path"), F.concat("relations", F.array("step")).alias("relations"), F.col("other").alias("node"))
-        paths = paths.orderBy("path", "relations").limit(limit) if nodes is useful[-1] else paths
+        paths = paths.orderBy("path", "relations").limit(limit)  # each leads to the goal, so no more of a level is needed
     return paths.select("path", "relations", F.lit(found or None).cast("int").alias("hops"))
 
 

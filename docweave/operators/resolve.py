@@ -89,11 +89,6 @@ def people(mentions: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("own_key", guess, F.concat(F.col("name"), F.lit("|?"))).alias("key"), method.alias("method"))
 
 
-def assign_ids(keys: DataFrame, etype: str) -> DataFrame:
-    """``etype, key, id``: ids that ascend with the key."""
-    return keys.select(F.lit(etype).alias("etype"), "key").filter("key is not null").distinct().orderBy("key").withColumn("id", F.monotonically_increasing_id())
-
-
 def title_only_projects(mentions: DataFrame, min_files: int = 2) -> DataFrame:
     """``title, customer, n_files``: titles without a job id that enough files of one customer use."""
     rows = mentions.filter("etype = 'project'").filter(F.col("attrs")["job_id"].isNull())

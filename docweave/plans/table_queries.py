@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions import names
 from ..functions import text as t
-from ..operators import files, relate, resolve
+from ..operators import extract, files, relate, resolve
+from ..tables import Tables, ranked
 from .star import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,37 +94,45 @@ def references_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("target"))
 
 
+def _order_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as mentions of their customer, with price and priority as attributes."""
+    attrs = F.create_map(F.lit("total"), F.col("o_totalprice").cast("string"), F.lit("priority"), F.col("o_orderpriority"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("entity_id"), attrs.alias("attrs"))
+
+
 @query("""SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_values, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS conflict_values
     FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1""")
 def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("v"))
-    return found.filter(F.size("v") > 1).select("o_custkey", F.size("v").cast("long").alias("n_values"), F.array_join("v", "|").alias("conflict_values"))
+    found = resolve.merged_attributes(_order_mentions(spark, sf_dir), ["priority"], ("priority",)).withColumn("v", F.col("conflicts")["priority"]).filter("v is not null")
+    return found.select(F.col("entity_id").alias("o_custkey"), F.size("v").cast("long").alias("n_values"), F.array_join("v", "|").alias("conflict_values"))
 
 
 @query("SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS total, arg_min(o_orderpriority, o_orderkey) AS priority FROM orders GROUP BY ALL")
 def first_value_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_totalprice", "o_orderkey").alias("total"), F.min_by("o_orderpriority", "o_orderkey").alias("priority"))
+    found = resolve.merged_attributes(_order_mentions(spark, sf_dir), ["total", "priority"], ("priority",))
+    return found.select(F.col("entity_id").alias("o_custkey"), F.col("total").cast("double").alias("total"), "priority")
 
 
 @query("""WITH c AS (SELECT p_brand, p_name, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY ALL)
-    SELECT p_brand, p_name AS name, n FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, first_id) = 1""")
+    SELECT p_brand, p_name || ' ' || p_brand AS name, CAST(sum(n) OVER (PARTITION BY p_brand) AS BIGINT) AS n FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY c.n DESC, first_id) = 1""")
 def product_modal_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = read(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id"))
-    best = F.max_by("p_name", F.struct("n", -F.col("first_id")))
-    return counted.groupBy("p_brand").agg(best.alias("name"), F.max("n").alias("n"))
+    attrs = F.create_map(F.lit("code"), F.col("p_brand"), F.lit("description"), F.col("p_name"))
+    mentions = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("product").alias("etype"), F.col("p_name").alias("surface"), attrs.alias("attrs"))
+    return resolve.products(mentions).select(F.col("key").alias("p_brand"), "name", "n")
 
 
-@query(r"""WITH k AS (SELECT trim(regexp_replace(lower(left(text, 12)), '[^a-z0-9]+', ' ', 'g')) AS title, conv_id FROM conversations)
+@query(r"""WITH k AS (SELECT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title, conv_id FROM conversations)
     SELECT title, count(DISTINCT conv_id) AS n_files FROM k WHERE title <> '' GROUP BY title HAVING count(DISTINCT conv_id) >= 2""")
 def title_groups_min_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = read(spark, sf_dir, "conversations").select(t.title_key(F.substring("text", 1, 12)).alias("title"), "conv_id")
-    return keyed.filter("title != ''").groupBy("title").agg(F.countDistinct("conv_id").alias("n_files")).filter("n_files >= 2")
+    attrs = F.lit(None).cast("map<string,string>")
+    mentions = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.lit("project").alias("etype"), F.col("text").alias("surface"), attrs.alias("attrs"))
+    return resolve.title_only_projects(mentions).select("title", "n_files")
 
 
 @query("""WITH k AS (SELECT trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', ' ', 'g')) AS title, page_id FROM pages)
     SELECT title, count(DISTINCT page_id) AS n_files FROM k WHERE title <> '' GROUP BY title HAVING count(DISTINCT page_id) >= 2""")
 def page_title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole titles that several pages have; ``title_groups_min_files`` groups the first characters of turns, as its SQL does."""
+    """Titles that several pages have."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     attrs = F.create_map(F.lit("title"), title)
     mentions = read(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.lit("project").alias("etype"), title.alias("surface"), attrs.alias("attrs"))
@@ -132,11 +141,7 @@ def page_title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS id FROM conversations""")
 def ids_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    per = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
-    before = per.select("conv_id", (F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    own = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("own", own).join(before, "conv_id").select("conv_id", "turn", "role", (F.coalesce("before", F.lit(0)) + F.col("own")).alias("id"))
+    return ranked(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), Tables(spark), "ids", F.col("conv_id"), F.col("turn"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents")
@@ -147,3 +152,62 @@ def collapse_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z]+', ' ', 'g')) AS key FROM supplier")
 def person_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select("s_suppkey", t.person_key(F.col("s_name")).alias("key"))
+
+
+def _values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(columns: str, rows: list[tuple]) -> str:
+    """Expected rows as SQL."""
+    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS {'DOUBLE' if isinstance(v, float) else 'BIGINT'})"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+# Scores and methods that the matching rules give these names.
+COMPANIES = [
+    ("Castlemead Log.", "Castlemead Logistics", 0.95, "abbreviation"), ("Falcon Aero Components", "Falcon Aerospace Components", 0.967, "abbreviation"), ("Sterling Pharmaceuticals", "Sterling Pharma", 0.925, "expansion"),
+    ("Kingsly Textiles", "Kingsley Textiles", 0.925, "typo"), ("Blenhiem Foods", "Blenheim Foods Group", 0.885, "truncation+typo"), ("Witmore Dairy", "Whitmore Dairy Products", 0.885, "truncation+typo"),
+    ("Redwood Timber", "Redwood Timber & Joinery", 0.96, "truncation"), ("Whitmore Dairy Products", "Whitmore Dairy", 0.973, "truncation"), ("ACME Corp", "Acme Corporation", 1.0, "normalized"),
+    ("Acme Robotics", "Acme", None, None), ("Redwood Joinery", "Redwood Timber", None, None), ("Redwood Timber Supplies", "Redwood Timber & Joinery", None, None), ("---", "Acme", None, None), ("", "", None, None),
+]
+DISTANCES = [("kitten", "sitting", 3), ("blenhiem", "blenheim", 1), ("ca", "abc", 3), ("", "abc", 3), ("same", "same", 0)]
+RATIOS = [("abcd", "abcd", 100.0), ("abc", "axc", 400 / 6), ("", "", 100.0), ("abc", "", 0.0), ("shrink wrap", "shrink wraps", 2200 / 23)]
+KEYS = [("The Acme Tools Co. Ltd", "acme tools"), ("Müller & Söhne GmbH", "mueller soehne"), ("Ltd", "ltd"), ("Castle of Glass Inc.", "castle glass"), ("---", ""), ("AG", "ag")]
+AMOUNTS = [("£1,234.50", 1234.5, "GBP"), ("1.234,50 €", 1234.5, "EUR"), ("USD 12", 12.0, "USD"), ("$3,344.00", 3344.0, "USD"), ("12,5 EUR", 12.5, "EUR"), ("no amount", None, None)]
+NUMBERS = [("Invoice No: INV-8034", "Invoice", "INV-8034"), ("Quotation QUO-12-34 of", "Quotation", "QUO-12-34"), ("Invoice HR-1042", "Invoice", "HR-1042"), ("invoice # PO-77", "Invoice", "PO-77"), ("INV-8034", "Invoice", None)]
+
+
+@query(_sql_values("mention, candidate, score, method", COMPANIES))
+def company_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _values(spark, "mention string, candidate string, score double, method string", COMPANIES).select("mention", "candidate")
+    return rows.withColumn("m", names.company_match("mention", "candidate", F.lit(False))).select("mention", "candidate", "m.score", "m.method")
+
+
+@query(_sql_values("a, b, d", DISTANCES))
+def osa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distance = F.pandas_udf(lambda a, b: a.combine(b, names.edit_distance), "long")
+    return _values(spark, "a string, b string, d long", DISTANCES).select("a", "b", distance("a", "b").alias("d"))
+
+
+@query(_sql_values("a, b, r", RATIOS))
+def lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratio = F.pandas_udf(lambda a, b: a.combine(b, names.ratio), "double")
+    return _values(spark, "a string, b string, r double", RATIOS).select("a", "b", ratio("a", "b").alias("r"))
+
+
+@query(_sql_values("name, key", KEYS))
+def company_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _values(spark, "name string, key string", KEYS).select("name", t.company_key(F.col("name")).alias("key"))
+
+
+@query(_sql_values("text, amount, currency", AMOUNTS))
+def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _values(spark, "text string, amount double, currency string", AMOUNTS).select("text", t.money(F.col("text")).alias("amount"), t.currency(F.col("text")).alias("currency"))
+
+
+@query(_sql_values("text, number", [(a, c) for a, _, c in NUMBERS]))
+def doc_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _values(spark, "text string, label string, number string", NUMBERS).select("text", "label")
+    found = F.coalesce(*[F.when(F.col("label") == label, extract.own_number(F.col("text"), label)) for label in ("Invoice", "Quotation")])
+    return rows.select("text", found.alias("number"))

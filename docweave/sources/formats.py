@@ -58,7 +58,7 @@ def sniff(data: bytes, path: str) -> str:
         return _zip_kind(data)
     if data.startswith(b"\x89PNG"):
         return "png"
-    if data.startswith(b"\xff\xd8\xff"):
+    if data.startswith(b"\xff\xd8"):
         return "jpg"
     if data.startswith(b"{\\rtf"):
         return "rtf"
@@ -79,19 +79,39 @@ def sniff(data: bytes, path: str) -> str:
     return "text"
 
 
-def members(data: bytes, kind: str, path: str) -> Iterator[tuple[str, bytes]]:
-    """Paths and bytes of what a container holds: files of an archive, attachments of an e-mail."""
+def _member_name(item: zipfile.ZipInfo) -> str:
+    """A member's name: UTF-8 where it is that, flagged or not, else the archive's own code page."""
+    if item.flag_bits & 0x800:
+        return item.filename
+    try:
+        return item.filename.encode("cp437").decode("utf-8")
+    except UnicodeError:
+        return item.filename
+
+
+def members(data: bytes, kind: str, path: str) -> Iterator[tuple[str, bytes | Exception]]:
+    """Paths and bytes of what a container holds: files of an archive, attachments of an e-mail. A member that can't be read, being
+    damaged, encrypted or malformed, comes with the error in place of its bytes; the others still come."""
     if kind == "zip":
         archive = zipfile.ZipFile(io.BytesIO(data))
         for item in archive.infolist():
-            if not item.is_dir() and "__MACOSX" not in item.filename:
-                yield f"{path}::{item.filename}", archive.read(item)
+            name = _member_name(item)
+            if not item.is_dir() and "__MACOSX" not in name:
+                try:
+                    yield f"{path}::{name}", archive.read(item)
+                except Exception as error:  # noqa: BLE001 as many kinds as there are ways to break an archive
+                    yield f"{path}::{name}", error
     elif kind == "eml":
-        for part in email.message_from_bytes(data, policy=email.policy.default).walk():
-            name = part.get_filename()
-            if not part.is_multipart() and (name or part.get_content_disposition() == "attachment"):
-                if body := part.get_payload(decode=True):
-                    yield f"{path}::{name or 'attachment.bin'}", body
+        for n, part in enumerate(email.message_from_bytes(data, policy=email.policy.default).walk()):
+            try:
+                name = part.get_filename()
+                attached = not part.is_multipart() and (name or part.get_content_disposition() == "attachment")
+                body = part.get_payload(decode=True) if attached else None
+            except Exception as error:  # noqa: BLE001 headers of any form
+                yield f"{path}::part-{n}", error
+                continue
+            if body:
+                yield f"{path}::{name or 'attachment.bin'}", body
 
 
 def decode(data: bytes) -> str:

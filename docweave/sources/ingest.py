@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,28 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import files as ops
+from ..tables import Tables, ranked
 from . import formats
 
 JUNK = (".DS_Store", "Thumbs.db", "desktop.ini")
 COLUMNS = "path string, parent string, top string, nth long, sha256 string, size long, ext string, kind string, status string, text_source string, text string, error string"
 
 
+#: Containers within containers that are opened.
+MAX_DEPTH = 16
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """``path, content`` of the files below a folder; paths are relative to it."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    relative = F.regexp_replace("path", rf"^.*?/{base}/", "")
+    """``path, content`` of the files below a folder; paths are relative to it, whatever its name."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(re.sub(r"([\[\]{}*?\\])", r"\\\1", root))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    relative = F.col("path").substr(F.lit(len(base.rstrip("/")) + 2), F.length("path"))
     return found.select(relative.alias("path"), "content").filter(~F.element_at(F.split("path", "/"), -1).isin(*JUNK))
 
 
-def _expand(path: str, data: bytes, parent: str | None, cap: int | None) -> Iterator[tuple]:
+def _expand(path: str, data: bytes | Exception, parent: str | None, cap: int | None, seen: set[str], depth: int = 0) -> Iterator[tuple]:
+    if path in seen:  # a second member of that name is neither kept nor opened
+        return
+    seen.add(path)
+    if isinstance(data, Exception):
+        yield (path, parent, None, None, formats.extension(path), "corrupt", "corrupt", None, None, str(data)[:500])
+        return
     kind = formats.sniff(data, path)
     skip = path.rsplit("/", 1)[-1].startswith("~$") or kind in formats.IGNORED_KINDS
     status, text, error = ("skipped", None, None) if skip else formats.read(data, kind, cap)
     yield (path, parent, hashlib.sha256(data).hexdigest(), len(data), formats.extension(path), kind, status, "native" if text else None, text, error)
-    if not skip:
+    if not skip and depth < MAX_DEPTH:
         for name, body in formats.members(data, kind, path):
-            yield from _expand(name, body, path, cap)
+            yield from _expand(name, body, path, cap, seen, depth + 1)
 
 
 def expand(found: DataFrame, text_cap: int | None = None) -> DataFrame:
@@ -42,29 +55,27 @@ def expand(found: DataFrame, text_cap: int | None = None) -> DataFrame:
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         for frame in frames:
             for top, data in zip(frame["path"], frame["content"], strict=True):
-                rows = [(p, parent, top, n, *rest) for n, (p, parent, *rest) in enumerate(_expand(top, bytes(data), None, text_cap))]
+                rows = [(p, parent, top, n, *rest) for n, (p, parent, *rest) in enumerate(_expand(top, bytes(data), None, text_cap, set()))]
                 yield pd.DataFrame(rows, columns=names)
 
     return found.mapInPandas(run, COLUMNS)
 
 
-def ingest(spark: SparkSession, root: str, patterns: list[str] | None = None, skip_directories: list[str] | None = None, text_cap: int | None = None) -> DataFrame:
-    """The files table: ids ascend with path and order, members have their container's folder context,
+def ingest(spark: SparkSession, root: str, patterns: list[str] | None = None, skip_directories: list[str] | None = None, text_cap: int | None = None, tables: Tables | None = None) -> DataFrame:
+    """The files table: ids, from 1 without gaps, ascend with path and order, members have their container's folder context,
     copies point to the first file of the same content, skipped directories are marked.
 
-    Of two members with one path the first is kept. Texts are whole, or cut to ``text_cap`` characters
+    Of two members with one path the first is kept. What can't be opened is a row of kind corrupt. The rows are written once, so that
+    every reader of the table sees the same ids. Texts are whole, or cut to ``text_cap`` characters
     (the reference keeps ``formats.TEXT_CAP``).
     """
-    rows = expand(scan(spark, root), text_cap).withColumn("once", F.row_number().over(_same_path())).filter("once = 1").drop("once")
-    ordered = rows.orderBy("top", "nth").withColumn("id", F.monotonically_increasing_id())
+    tables = tables or Tables(spark)
+    rows = tables.save(expand(scan(spark, root), text_cap), "expanded")
+    ids = ranked(rows.select("path", "parent", "top", "nth"), tables, "file-ids", F.col("top"), F.col("nth"))
+    parents = ids.select(F.col("path").alias("parent"), F.col("id").alias("parent_id"))
+    ordered = rows.drop("parent", "nth").join(ids.select("path", "id", "parent"), "path").join(parents, "parent", "left")
     if skip_directories:
         ordered = ordered.withColumn("status", F.when(ops.in_directories(F.col("top"), skip_directories), "skipped").otherwise(F.col("status")))
     context = ops.folder_context(F.col("top"), patterns or [])
     named = ordered.withColumns({"area": context["area"], "folder_company": context["company"], "folder_job": context["job"], "folder_job_id": context["job_id"], "folder_job_title": context["title"], "folder_category": context["category"]})
     return ops.mark_duplicates(named)
-
-
-def _same_path():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("path").orderBy("top", "nth")

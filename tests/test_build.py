@@ -53,7 +53,7 @@ def test_relations(graph):
 
 def test_companies(spark):
     known = ["Castlemead Logistics", "Blenheim Foods Group", "Redwood Timber & Joinery", "Falcon Aerospace Components", "Acme", "Castle Ltd", "---", "日本"]
-    spelled = [("Castlemead Log.", 0), ("Blenhiem Foods", 1), ("Redwood Timber", 2), ("Falcon Aero Components", 3), ("Acme Robotics", None), ("Castle Limited", 5), ("Red Wood Timber and Joinery", 2), ("castlemeadlogistics.com", 0), ("FAC", 3)]
+    spelled = [("Castlemead Log.", 0), ("Blenhiem Foods", 1), ("Redwood Timber", 2), ("Falcon Aero Components", 3), ("Acme Robotics", 4), ("Castle Limited", 5), ("Red Wood Timber and Joinery", 2), ("castlemeadlogistics.com", 0), ("FAC", 3)]
     rows = [(n, n, "company", x, "folder", {}) for n, x in enumerate(known)]
     rows += [(100 + n, n, "company", x, "email_domain" if "." in x and " " not in x else "bill_to", {"domain": x} if x.endswith(".com") else {}) for n, (x, _) in enumerate(spelled)]
     mentions = spark.createDataFrame(rows, "id long, file_id long, etype string, surface string, role string, attrs map<string,string>")
@@ -66,13 +66,13 @@ def test_companies(spark):
 
 
 def test_leading_words_and_adjudication(spark):
-    rows = [(1, 1, "company", "Harbor Robotics Inc", "bill_to", None), (2, 1, "company", "Contact Harbor Robotics Inc", "free_text", None), (3, 2, "company", "Kestrel Foods", "bill_to", None), (4, 2, "company", "Kestrel Foods One Two Three Four", "bill_to", None)]
+    rows = [(1, 1, "company", "Harbor Robotics Inc", "bill_to", None), (2, 1, "company", "Contact Harbor Robotics Inc", "free_text", None), (3, 2, "company", "Whitmorton", "bill_to", None), (4, 2, "company", "Whitmartan", "bill_to", None)]
     mentions = spark.createDataFrame(rows, "id long, file_id long, etype string, surface string, role string, attrs map<string,string>")
     of = {r.surface: r for r in companies.companies(mentions, Tables(spark))[0].collect()}
     assert of["Contact Harbor Robotics Inc"].company == of["Harbor Robotics Inc"].company and of["Contact Harbor Robotics Inc"].method.startswith("leading_word+")
-    assert of["Kestrel Foods One Two Three Four"].company != of["Kestrel Foods"].company
+    assert of["Whitmartan"].company != of["Whitmorton"].company
     agreed = {r.surface: r for r in companies.companies(mentions, Tables(spark), adjudicate=lambda pairs: pairs)[0].collect()}
-    assert agreed["Kestrel Foods One Two Three Four"].company == agreed["Kestrel Foods"].company and agreed["Kestrel Foods One Two Three Four"].method.startswith("adjudicated:")
+    assert agreed["Whitmartan"].company == agreed["Whitmorton"].company and agreed["Whitmartan"].method.startswith("adjudicated:")
 
 
 def test_owner(spark):

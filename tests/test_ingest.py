@@ -96,3 +96,33 @@ def test_arriving(spark, tmp_path):
     query = arriving(spark, str(root)).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("arrived").count() == 1
+
+
+def test_broken_members_do_not_end_the_job(spark, tmp_path):
+    whole = zipped(a="first", b="second")
+    at = whole.rindex(b"second")
+    folder = tmp_path / "in (1) [x]+"
+    folder.mkdir()
+    (folder / "bad.zip").write_bytes(whole[:at] + b"sEcond" + whole[at + 6 :])
+    (folder / "odd.eml").write_bytes(MAIL.replace(b'filename="n.txt"', b"filename*=utf-8''%ff%fe;;="))
+    nested = zipped(x="deep")
+    for _ in range(30):
+        nested = zipped(n=nested)
+    (folder / "deep.zip").write_bytes(nested)
+    rows = ingest.ingest(spark, str(folder)).orderBy("id").collect()
+    got = {r.path: r for r in rows}
+    assert got["bad.zip::a"].text == "first" and got["bad.zip::b"].status == "corrupt" and "odd.eml" in got
+    assert [r.id for r in rows] == list(range(1, len(rows) + 1)) and [r.path for r in rows][:3] == ["bad.zip", "bad.zip::a", "bad.zip::b"]
+    assert got["bad.zip::a"].parent_id == got["bad.zip"].id and max(r.path.count("::") for r in rows) == ingest.MAX_DEPTH
+
+
+def test_member_names_and_repeated_members():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("a.txt", "one")
+        archive.writestr("a.txt", "two")
+    found = list(ingest._expand("z.zip", out.getvalue(), None, None, set()))
+    assert [(r[0], r[8]) for r in found] == [("z.zip", None), ("z.zip::a.txt", "one")]
+    named = zipfile.ZipInfo("caf├⌐.txt")  # the bytes of an UTF-8 name read as CP437
+    named.flag_bits = 0
+    assert formats._member_name(named) == "café.txt"
