@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave import build
+from docweave.graph_api import Graph
 from docweave.operators import companies, owner
 from docweave.operators import files as ops
 from docweave.tables import Tables, ranked, roots
@@ -88,3 +89,26 @@ def test_ranks_and_roots(spark):
     assert [(r.a, r.id) for r in got.orderBy("a").collect()] == [(i, i + 1) for i in range(50)]
     chain = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(101, 100)], "node long, parent long")
     assert {r.node: r.root for r in roots(chain, Tables(spark), "c").collect()} == {**dict.fromkeys(range(1, 40), 0), 101: 100}
+
+
+def test_api(spark, graph):
+    api = Graph(spark, graph.root)
+    ids = {r.name: r.id for r in api.entities.collect()}
+    acme, invoice = ids["Acme Corporation"], ids["INV-8034"]
+    stats = {(r.part, r.kind): r.n for r in api.stats().collect()}
+    assert stats["entities", "company"] == 2 and stats["files", "ok"] == 4 and stats["methods", "document:orphan"] == 1
+    page = api.search(text="acme").collect()
+    assert [r.name for r in page][:1] == ["Acme Corporation"] and page[0].subtitle == "customer" and page[0].total == len(page)
+    card = api.entity(acme)
+    assert {r.alias for r in card["aliases"].collect()} == {"Acme Corporation", "ACME Corp", "acmecorp.com"} and card["sources"].count() >= 3
+    drawn = api.neighbourhood(acme, limit=3)
+    assert drawn["nodes"].count() == 3 and drawn["hidden"].count() > 0 and api.neighbourhood()["nodes"].count() == 2
+    issued = api.edges.filter((F.col("src") == invoice) & (F.col("rel") == "ISSUED_TO")).first().id
+    assert api.explain_relation(issued)["files"].count() == 2
+    bought = api.explain_relation(api.edges.filter("rel = 'PURCHASED_OR_QUOTED'").first().id)
+    assert [r.key for r in bought["via"].collect()] == ["INV-8034"] and bought["relation"].first().rule
+    assert api.connection(ids["Sam Jones"], acme).first().hops >= 2 and api.connection(acme, acme).count() == 0
+    assert {r.alias for r in api.spellings("acme corp").collect()} >= {"ACME Corp"} and api.file(1)["mentions"].count() > 5
+    assert api.related(acme, "issued_to").count() == 1
+    assert [r.name for r in api.preset("customers").collect()] == ["Acme Corporation"] and api.preset("owner").first().reason == "given"
+    assert {r.etype: r.n for r in api.preset("entities").collect()}["company"] == 2 and api.preset("people").count() >= 2
