@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,14 +97,49 @@ def searchable_aliases(names: DataFrame, entities: DataFrame, owner_key: str | N
 _BETWEEN = r"(?<![\p{L}\p{N}_])|(?![\p{L}\p{N}_])"
 
 
+#: Aliases, and their bytes, that are sent to every task.
+LOOKUP_NAMES, LOOKUP_BYTES = 100_000, 8 << 20
+
+
+def _looked_up(texts: DataFrame, names: list[tuple[str, int]], longest: bool) -> DataFrame:
+    """Occurrences of a bounded list of aliases, a batch of texts at a time."""
+    tokens = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]", regex.DOTALL)
+    inner = regex.compile(r"[\p{L}\p{N}_]{2}")
+    by_first: dict[str, list[tuple[str, int]]] = {}
+    for alias, entity_id in names:
+        if alias:
+            by_first.setdefault(tokens.match(alias)[0], []).append((alias, entity_id))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for file_id, text in zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for place, token in enumerate(tokens.finditer(text or "")):
+                    found = by_first.get(token[0])
+                    if found is None:
+                        continue
+                    at = token.start()
+                    hits = [(file_id, e, a, place) for a, e in found if text.startswith(a, at) and not inner.match(text, at + len(a) - 1)]
+                    most = max((len(h[2]) for h in hits), default=0)
+                    rows += [h for h in hits if not longest or len(h[2]) == most]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int32()), strict=True)], names=["file_id", "entity_id", "alias", "start"])
+
+    return texts.select(F.col("file_id").cast("long"), "text").mapInArrow(run, "file_id long, entity_id long, alias string, start int")
+
+
 def gazetteer_mentions(texts: DataFrame, names: DataFrame, longest: bool = True) -> DataFrame:
     """``file_id, entity_id, alias, start`` for each whole-word, case-sensitive occurrence of an alias in
     ``file_id, text``. Of occurrences that begin at one place the longest is reported, for every entity with that
     alias (``searchable_aliases`` gives unique ones); without ``longest``, all are.
 
-    A text's runs of one to three tokens are looked up among the aliases' first tokens in an equi-join; only
-    where they meet is the whole alias compared. No pattern of all aliases and no pair of every text and alias is made.
+    Aliases counted as few are sent to the tasks, which look each token of a text up among the aliases' first tokens and compare the
+    alias in place. More aliases meet the texts in an equi-join of their first one to three tokens; only where they meet is the whole
+    alias compared. No pattern of all aliases and no pair of every text and alias is made.
     """
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("alias")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= LOOKUP_NAMES and size["bytes"] <= LOOKUP_BYTES:
+        return _looked_up(texts, [tuple(r) for r in names.select("alias", F.col("entity_id").cast("long")).distinct().collect()], longest)
     words = lambda c: F.filter(F.split(c, _BETWEEN), lambda x: x != "")
     keyed = names.select("alias", "entity_id", words(F.col("alias")).alias("own")).withColumn("n", F.size("own")).filter("n > 0")
     keyed = keyed.select("alias", "entity_id", "n", F.array_join(F.slice("own", 1, 3), "").alias("head"), F.least("n", F.lit(3)).alias("k"))
