@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, table_queries
+from . import extract_queries, graph_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (graph_queries, table_queries)
+_MODULES = (graph_queries, table_queries, extract_queries)
 
 
 def queries() -> dict[str, Query]:

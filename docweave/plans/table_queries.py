@@ -158,7 +158,7 @@ def _values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _sql_values(columns: str, rows: list[tuple]) -> str:
+def sql_values(columns: str, rows: list[tuple]) -> str:
     """Expected rows as SQL."""
     cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS {'DOUBLE' if isinstance(v, float) else 'BIGINT'})"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
@@ -178,35 +178,35 @@ AMOUNTS = [("£1,234.50", 1234.5, "GBP"), ("1.234,50 €", 1234.5, "EUR"), ("USD
 NUMBERS = [("Invoice No: INV-8034", "Invoice", "INV-8034"), ("Quotation QUO-12-34 of", "Quotation", "QUO-12-34"), ("Invoice HR-1042", "Invoice", "HR-1042"), ("invoice # PO-77", "Invoice", "PO-77"), ("INV-8034", "Invoice", None)]
 
 
-@query(_sql_values("mention, candidate, score, method", COMPANIES))
+@query(sql_values("mention, candidate, score, method", COMPANIES))
 def company_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _values(spark, "mention string, candidate string, score double, method string", COMPANIES).select("mention", "candidate")
     return rows.withColumn("m", names.company_match("mention", "candidate", F.lit(False))).select("mention", "candidate", "m.score", "m.method")
 
 
-@query(_sql_values("a, b, d", DISTANCES))
+@query(sql_values("a, b, d", DISTANCES))
 def osa(spark: SparkSession, sf_dir: str) -> DataFrame:
     distance = F.pandas_udf(lambda a, b: a.combine(b, names.edit_distance), "long")
     return _values(spark, "a string, b string, d long", DISTANCES).select("a", "b", distance("a", "b").alias("d"))
 
 
-@query(_sql_values("a, b, r", RATIOS))
+@query(sql_values("a, b, r", RATIOS))
 def lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = F.pandas_udf(lambda a, b: a.combine(b, names.ratio), "double")
     return _values(spark, "a string, b string, r double", RATIOS).select("a", "b", ratio("a", "b").alias("r"))
 
 
-@query(_sql_values("name, key", KEYS))
+@query(sql_values("name, key", KEYS))
 def company_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, "name string, key string", KEYS).select("name", t.company_key(F.col("name")).alias("key"))
 
 
-@query(_sql_values("text, amount, currency", AMOUNTS))
+@query(sql_values("text, amount, currency", AMOUNTS))
 def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, "text string, amount double, currency string", AMOUNTS).select("text", t.money(F.col("text")).alias("amount"), t.currency(F.col("text")).alias("currency"))
 
 
-@query(_sql_values("text, number", [(a, c) for a, _, c in NUMBERS]))
+@query(sql_values("text, number", [(a, c) for a, _, c in NUMBERS]))
 def doc_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _values(spark, "text string, label string, number string", NUMBERS).select("text", "label")
     found = F.coalesce(*[F.when(F.col("label") == label, extract.own_number(F.col("text"), label)) for label in ("Invoice", "Quotation")])
