@@ -180,7 +180,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, with_ids: bool = True
 
     ``path`` is a file of ranks as tiktoken reads it. A null or empty text has no ids:
     ``n_tokens`` 0 and the digest of nothing. The decoded digest is that of the bytes
-    to which the ids decode. Repeated rows and null ids keep a row each.
+    to which the ids decode. Repeated rows and null ids keep a row each; texts of any length are
+    encoded whole; an empty table gives an empty result; other columns are ignored, whatever their names.
+
+    Look-ups reach the perfect hash for every pre-token that the worker's cache lacks, so for each distinct one first.
     """
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 

@@ -187,7 +187,8 @@ def compare_with_next(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     Next is by descending doc_id, null ids last, rows of one id by a hash of their
     texts; the first follows the last, and an only row follows itself. A null text counts as
-    empty. Tasks hold one range of ids each, in order; only each range's last row has to
+    empty; a text of any length is fingerprinted whole; equal rows have equal fingerprints. An empty table gives an empty
+    result; other columns are ignored, whatever their names. Tasks hold one range of ids each, in order; only each range's last row has to
     wait for the next range's first, which a join of one row for each range brings.
     """
     kinds = _OUT | {"part": pa.int32(), "kind": pa.string(), "text": pa.string()}

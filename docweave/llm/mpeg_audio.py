@@ -288,7 +288,8 @@ def payload_of(data: bytes, audio: Audio) -> bytes:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each text's UTF-8 bytes (null: none), zeros up to a positive
-    multiple of 64, as an MPEG stream. Repeated rows and null ids keep a row each."""
+    multiple of 64, as an MPEG stream of any length. Repeated rows and null ids keep a row each, equal texts have equal
+    streams; an empty table gives an empty result; other columns are ignored, whatever their names."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -180,7 +180,9 @@ def find(docs: DataFrame, ws: Workspace) -> DataFrame:
     A pair that is never compared is in one component already, so components are those of all links.
 
     Rows without words, or with a null text, are linked with nothing. Rows without a doc_id link like
-    others; a component of such rows alone has a null id. Rows of equal ids are judged by their own texts.
+    others; a component of such rows alone has a null id. Rows of equal ids are judged by their own texts; equal rows
+    are one class. Texts of any length are shingled whole. An empty table gives an empty result; all columns are carried in
+    one struct, so none of their names can clash.
     """
     signed = ws.save(sign(docs), "signed")
     doc_id = F.col("row.doc_id").cast("long")

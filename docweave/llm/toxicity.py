@@ -136,6 +136,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     params = [table_, model.weights, model.biases]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     spread = lambda at, values, of, n: np.stack([np.bincount(at, values[:, k][of], n) for k in range(values.shape[1])], 1)
+    odds, lean = np.zeros(len(sizes)), np.repeat(1 / docs, docs)  # what no training says
     for step in range(1, EPOCHS + 1):
         table_, w, b = params
         vectors = np.stack([np.add.reduceat(table_[:, k][gram_at], gram_starts) for k in range(DIM)], 1) / gram_sizes[:, None]
@@ -237,8 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    A null or empty text gets the score of a text without words. Repeated rows get equal scores; rows
-    without an id are scored, never learned from. Without labels of both kinds nothing is toxic.
+    A null or empty text gets the score of a text without words; a very long one is scored whole, passage by passage. Repeated
+    rows and ties get equal scores; rows without an id are scored, never learned from. Without labels of both kinds nothing is
+    toxic. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     score = scorer(docs.sparkSession, fit(docs, labels))
     doc_id = F.col("doc_id").cast("long")

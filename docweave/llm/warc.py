@@ -216,7 +216,8 @@ def with_revisits(pages: DataFrame, ws: Workspace) -> DataFrame:
     """``page_id, url, payload, refers_to``: of equal payloads of 1000 bytes or more, the largest page_id's is kept.
 
     Rows that share that page_id are all kept. A row without a page_id revisits like any other;
-    where no copy has one, none revisits. A null html is an empty payload.
+    where no copy has one, none revisits. A null html is an empty payload, a very long one a payload like others, a null url an
+    unknown target. An empty table gives no archives; other columns are ignored, whatever their names.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))

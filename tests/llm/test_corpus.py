@@ -231,6 +231,25 @@ def test_scores_by_hand(spark):
     assert toxicity._odds_of(model) is toxicity._odds_of(model) and toxicity._odds_of(other) == {} and len(toxicity._ODDS) == 1
 
 
+def test_no_training_at_all(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 0)
+    rows, labels = toxic_rows(40)
+    assert np.isfinite(toxicity.train([t for _, t in rows], [y for _, y in labels]).bias)
+
+
+def test_pipeline_stages_on_edge_rows(spark, edge, none, tmp_path):
+    spark.createDataFrame([(1, 0), (2, 1), (11, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, docs in (("edge", edge), ("none", none)):
+        sizes = [docs.count()]
+        for stage, make in corpus_pipeline.STAGES:
+            out = make(spark, docs, str(tmp_path))
+            assert stage == "byte_bpe" or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / name / stage))
+            docs = spark.read.parquet(str(tmp_path / name / stage))
+            sizes.append(docs.count())
+        assert sizes[0] >= sizes[1] >= sizes[2] and sizes[3] == sizes[4] and (name == "edge" or not any(sizes))
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (3, None), (7, 1)], "doc_id long, toxic int")
     rows = toxicity.score_documents(edge, labels).collect()
