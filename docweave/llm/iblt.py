@@ -109,13 +109,14 @@ class Sketches:
         return [base64.b64encode(row.tobytes()).decode() for row in raw]
 
 
-def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pair of sets the digests only in the first and only in the second, from sketches of growing size.
+def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each pair of sets the digests only in the first, those only in the second, and the cells of the sketches
+    that gave them, which grow until peeling ends.
 
     Sizes change until peeling ends; each places the digests anew, so that no two share their cells at every size.
     A pair starts at the least size that can hold the difference of the two sets' sizes.
     """
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, "u8"),) * 2] * len(pairs)
+    out: list[tuple[np.ndarray, np.ndarray, int]] = [(np.zeros(0, "u8"), np.zeros(0, "u8"), 0)] * len(pairs)
     left, cells = list(range(len(pairs))), CELLS
     attempt = 0
     while left:
@@ -129,7 +130,7 @@ def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.nda
             for at, i in enumerate(now):
                 if not stuck[at]:
                     keys, signs = key[bounds[at] : bounds[at + 1]], sign[bounds[at] : bounds[at + 1]]
-                    out[i] = (keys[signs > 0], keys[signs < 0])
+                    out[i] = (keys[signs > 0], keys[signs < 0], cells // 3 * 3)
             done = {i for at, i in enumerate(now) if not stuck[at]}
             left = [i for i in left if i not in done]
         cells = cells * GROWTH if cells < 8 * largest else cells + 3 + attempt  # in the end about the same size, but other cells
@@ -137,12 +138,12 @@ def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.nda
     return out
 
 
-def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
-    """Shared digests over all digests, from what peeling recovers; 1 for two empty texts."""
+def likenesses(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int]]:
+    """Shared digests over all digests, from what peeling recovers, 1 for two empty texts; and the sketches' cells."""
     out = []
-    for (a, _), (mine, theirs) in zip(pairs, differences(pairs), strict=True):
+    for (a, _), (mine, theirs, cells) in zip(pairs, differences(pairs), strict=True):
         union = len(a) + len(theirs)
-        out.append((len(a) - len(mine)) / union if union else 1.0)
+        out.append(((len(a) - len(mine)) / union if union else 1.0, cells))
     return out
 
 
@@ -154,7 +155,8 @@ def edit(text: str, following: str) -> str:
 
 _OUT = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string()}
 _OUT |= {"edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT |= {"edited_cells": pa.int64(), "next_cells": pa.int64()}
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_cells long, next_cells long"
 
 
 #: Paragraphs, about, that are sketched together.
@@ -172,8 +174,7 @@ def _rows(triples: list[tuple[int | None, str, np.ndarray, str, np.ndarray]]) ->
         [len(t[1]) for t in triples],
         [hashlib.sha256(e.encode("utf-8")).hexdigest() for e in edited],
         *prints,
-        near[: len(triples)],
-        near[len(triples) :],
+        *([n[part] for n in half] for part in (0, 1) for half in (near[: len(triples)], near[len(triples) :])),
     )
     return list(zip(*columns, strict=True))
 
@@ -185,6 +186,9 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 def compare_with_next(docs: DataFrame, ws: Workspace) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to it and to the next document.
 
+    ``edited_cells`` and ``next_cells`` are the sizes of the sketches that gave the likenesses: ``CELLS`` where the returned
+    fingerprints themselves do, more where a difference is too large for them and the sketches were built again.
+
     Next is by descending doc_id, null ids last, rows of one id by a hash of their
     texts; the first follows the last, and an only row follows itself. A null text counts as
     empty; a text of any length is fingerprinted whole; equal rows have equal fingerprints. An empty table gives an empty
@@ -199,7 +203,7 @@ def compare_with_next(docs: DataFrame, ws: Workspace) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 digests = paragraph_digests(text)
                 if held is None:
-                    yield _batch([(None,) * 7 + (part, "head", text)], kinds)
+                    yield _batch([(None,) * len(_OUT) + (part, "head", text)], kinds)
                 else:
                     triples.append((*held, text, digests))
                     size += len(held[2]) + len(digests)
@@ -210,7 +214,7 @@ def compare_with_next(docs: DataFrame, ws: Workspace) -> DataFrame:
         if triples:
             yield _batch([row + (part, "done", None) for row in _rows(triples)], kinds)
         if held is not None:
-            yield _batch([(held[0], *(None,) * 6, part, "last", held[1])], kinds)
+            yield _batch([(held[0], *(None,) * (len(_OUT) - 1), part, "last", held[1])], kinds)
 
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = slim.repartitionByRange(F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc(), F.xxhash64("text"))

@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import Tokenizer
 
 from docweave.llm import byte_bpe, iblt, lm_scores, mpeg_audio, ngram_trie, packed_ids, token_counts, word_encoder
@@ -217,23 +218,36 @@ def test_mpeg_text_with_tag_at_the_end(spark, ws):
     assert sorted((r.doc_id, r.payload_sha256) for r in got) == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts)
 
 
+def plain_pieces(text):
+    """A text's paragraphs as they are: lines, longer ones cut after words whose digest is a multiple of eight, or after 32 words."""
+    out = set()
+    for line in text.split("\n"):
+        words, piece = line.split(), []
+        for word in words:
+            piece.append(word)
+            if len(words) > 8 and (len(piece) == 32 or xxhash.xxh3_64_intdigest(word) % 8 == 0):
+                out.add(" ".join(piece))
+                piece = []
+        if piece:
+            out.add(" ".join(piece))
+    return out
+
+
 def test_fingerprints(edge, none, ws, spark):
     got = iblt.compare_with_next(edge, ws).collect()
     assert len(got) == len(TEXTS) and iblt.compare_with_next(none, type(ws)(spark, "n")).count() == 0
-    known = sorted((r for r in got if r.doc_id not in (3, None)), key=lambda r: -r.doc_id)
-    order = sorted((x for x in TEXTS if x[0] is not None), key=lambda x: -x[0])
-    texts = dict(order)
+    keyed = edge.selectExpr("doc_id", "coalesce(text, '') text", "xxhash64(coalesce(text, '')) h").collect()
+    order = sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
     jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    cells = lambda t: set(iblt.paragraph_digests(t).tolist())
-    for row in known:
-        at = max(k for k, (i, _) in enumerate(order) if i == row.doc_id)
-        if at + 1 == len(order):
-            continue  # rows without an id follow
-        following = order[at + 1][1]
-        changed = iblt.edit(texts[row.doc_id], following)
-        assert (row.n_chars, row.edited_sha256) == (len(texts[row.doc_id]), hashlib.sha256(changed.encode()).hexdigest())
-        assert row.near_edited == pytest.approx(jaccard(cells(texts[row.doc_id]), cells(changed)))
-        assert row.near_next == pytest.approx(jaccard(cells(texts[row.doc_id]), cells(following)))
+    want = []
+    for row, following in zip(order, order[1:] + order[:1], strict=True):  # rows without an id, and the last, too
+        changed = row.text[: len(row.text) - len(row.text) // 3] + following.text[: len(row.text) // 3]
+        own, after = plain_pieces(row.text), plain_pieces(following.text)
+        likeness = [round(jaccard(own, x), 9) for x in (plain_pieces(changed), after)]
+        want.append((row.doc_id, len(row.text), hashlib.sha256(changed.encode()).hexdigest(), *likeness))
+    assert many((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == many(want)
+    assert all(r.edited_cells >= iblt.CELLS and r.next_cells >= iblt.CELLS for r in got)
+    assert all(r.edited_cells == iblt.CELLS for r in got if r.fingerprint == r.edited_fingerprint and r.near_edited == 1)
     assert len({r.fingerprint for r in got if r.doc_id in (1, 3)}) == 1
 
 
@@ -243,7 +257,7 @@ def test_peeling_recovers_differences():
     for n in (0, 1, 3, 50, 3000):
         shared, a, b = (rng.integers(0, 1 << 63, n, dtype="u8") for _ in range(3))
         pairs.append((np.unique(np.concatenate([shared, a])), np.unique(np.concatenate([shared, b[: n // 2]]))))
-    for (a, b), (mine, theirs) in zip(pairs, iblt.differences(pairs), strict=True):
+    for (a, b), (mine, theirs, _) in zip(pairs, iblt.differences(pairs), strict=True):
         assert set(mine) == set(a) - set(b) and set(theirs) == set(b) - set(a)
 
 
@@ -251,7 +265,7 @@ def test_fingerprints_realign_after_an_edit():
     words = invented(4, 2000).split()
     digests = lambda x: iblt.paragraph_digests(" ".join(x))
     for near in (["inserted", *words], words[1:], [*words[:700], "inserted", *words[700:1500], *words[1501:]]):
-        assert iblt.likenesses([(digests(words), digests(near))])[0] > 0.9
+        assert iblt.likenesses([(digests(words), digests(near))])[0][0] > 0.9
     assert len(digests(["same"] * 1000)) < 5 and len(digests(words)) > 2000 / 16
 
 
