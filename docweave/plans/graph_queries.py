@@ -88,7 +88,7 @@ RANKED = """n AS (SELECT node AS center, other AS id, max(weight) AS weight FROM
     placed AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY type_rank, weight DESC, id) AS place FROM ranked)"""
 
 
-@query(f"WITH {star.SQL}, {RANKED} SELECT center, id, etype, weight, CAST(type_rank AS INTEGER) AS type_rank, place FROM placed WHERE place <= 5 AND center % 10 = 1")
+@query(f"WITH {star.SQL}, {RANKED} SELECT center, id, etype, weight, CAST(type_rank AS INTEGER) AS type_rank, place FROM placed WHERE place <= 5 AND center IN (SELECT id FROM entities WHERE etype = 'company')")
 def neighbours_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five first neighbours of every company."""
     nodes = star.entities(spark, sf_dir)
