@@ -54,21 +54,29 @@ def resolve_stage(mentions: DataFrame, facts: DataFrame, tables: Tables, owner:
     decided = tables.save(decided, "company-mentions")
     by_surface = _surface_map(spelled)
 
-    # Projects: by job id; others by title within a customer, then by a title that only one project has.
+    # Projects: by job id; others by title, or the most similar one, within a customer, then by the file's folder, then
+    # by a title that only one project has.
     project = mentions.filter("etype = 'project'").withColumn("customer", F.col("attrs")["customer"]).join(by_surface.withColumnRenamed("surface", "customer"), "customer", "left")
     project = project.select("id", "file_id", "role", "surface", "attrs", "company", F.col("attrs")["job_id"].alias("job"), t.title_key(F.coalesce(F.col("attrs")["title"], F.col("surface"))).alias("title"))
     known = resolve.projects(mentions).join(project.filter("job is not null").groupBy(F.col("job").alias("key")).agg(F.min_by("company", F.when(F.col("company").isNotNull(), F.col("id"))).alias("company"), F.max(F.when(F.col("role") == "folder", "1")).alias("folder")), "key", "left")
     known = tables.save(known.withColumn("title_key", t.title_key(F.coalesce("title", "key"))), "projects")
     in_company = known.filter("company is not null").groupBy(F.col("title_key").alias("title"), "company").agg(F.min("key").alias("by_company"), F.count("*").alias("n")).filter("n = 1").drop("n")
     alone = known.groupBy(F.col("title_key").alias("title")).agg(F.min("key").alias("by_title"), F.count("*").alias("n")).filter("n = 1").drop("n")
-    placed = project.join(in_company, ["title", "company"], "left").join(alone, "title", "left")
+    open_titles = project.filter("job is null").select("title").join(known.select(F.col("title_key").alias("title")), "title", "left_anti")
+    close = tables.save(resolve.similar_titles(open_titles, known.select(F.col("title_key").alias("title"))).select("title", "known"), "similar-titles")
+    at_folder = project.filter("role = 'folder' and job is not null").groupBy("file_id").agg(F.min("job").alias("key")).join(known.select("key", "title_key", F.col("company").alias("folder_company")), "key")
+    at_folder = at_folder.select("file_id", F.col("key").alias("folder_job"), F.col("title_key").alias("folder_title"), "folder_company")
+    asked = project.join(close, "title", "left").withColumns({"own_title": F.col("title"), "title": F.coalesce("known", "title")}).join(at_folder, "file_id", "left")
+    placed = asked.join(in_company, ["title", "company"], "left").join(alone, "title", "left")
+    in_folder = F.when(F.col("folder_title") == F.col("title"), F.col("folder_job"))
+    placed = placed.withColumn("by_folder", in_folder).withColumn("by_both", F.when(F.col("company") == F.col("folder_company"), in_folder)).withColumn("title", F.col("own_title"))
     titled = known.filter("folder = '1'").isEmpty()
-    users = project.filter("job is null and title != ''").groupBy("title", "company").agg(F.countDistinct("file_id").alias("users"))
-    placed = placed.join(users, placed["title"].eqNullSafe(users["title"]) & placed["company"].eqNullSafe(users["company"]), "left").drop(users["title"]).drop(users["company"])
-    group = F.when(F.lit(titled) & (F.col("users") >= 2) & F.col("by_title").isNull(), F.concat(F.lit("title:"), "title", F.lit("|"), F.coalesce(F.col("company").cast("string"), F.lit(""))))
-    project_key = F.coalesce("job", "by_company", "by_title", group)
-    method = F.when(F.col("job").isNotNull(), "job_id").when(F.col("by_company").isNotNull(), "title+company").when(F.col("by_title").isNotNull(), "unique_title").when(group.isNotNull(), "title_only").otherwise("unresolved")
-    score = F.when(F.col("job").isNotNull(), F.when(F.col("role") == "folder", 1.0).otherwise(0.95)).when(F.col("by_company").isNotNull(), 0.9).when(F.col("by_title").isNotNull(), 0.75).otherwise(0.6)
+    users = project.filter("job is null and title != ''").groupBy(F.col("title").alias("used_title"), F.col("company").alias("used_by")).agg(F.countDistinct("file_id").alias("users"))
+    placed = placed.join(users, F.col("title").eqNullSafe(F.col("used_title")) & F.col("company").eqNullSafe(F.col("used_by")), "left")
+    group = F.when(F.lit(titled) & (F.col("users") >= 2) & F.coalesce("by_folder", "by_title").isNull(), F.concat(F.lit("title:"), "title", F.lit("|"), F.coalesce(F.col("company").cast("string"), F.lit(""))))
+    project_key = F.coalesce("job", "by_company", "by_both", "by_folder", "by_title", group)
+    method = F.when(F.col("job").isNotNull(), "job_id").when(F.col("by_company").isNotNull(), "title+company").when(F.col("by_both").isNotNull(), "title+company+folder").when(F.col("by_folder").isNotNull(), "title+folder").when(F.col("by_title").isNotNull(), "unique_title").when(group.isNotNull(), "title_only").otherwise("unresolved")
+    score = F.when(F.col("job").isNotNull(), F.when(F.col("role") == "folder", 1.0).otherwise(0.95)).when(F.coalesce("by_company", "by_both").isNotNull(), 0.9).when(F.coalesce("by_folder", "by_title").isNotNull(), 0.75).when(group.isNotNull(), 0.6).otherwise(0.0)
     placed = tables.save(placed.select("id", project_key.alias("key"), method.alias("method"), score.alias("score"), F.col("surface"), F.col("company")), "project-mentions")
 
     # People: their organisation is the company that they are said to work for.
@@ -76,10 +84,14 @@ def resolve_stage(mentions: DataFrame, facts: DataFrame, tables: Tables, owner:
     employer = works.join(decided.select(F.col("id").alias("company_mention"), "company"), "company_mention").filter("company is not null").groupBy("id").agg(F.min("company").alias("employer"))
     person = mentions.filter("etype = 'person'").join(employer, "id", "left").withColumn("org", F.when(F.col("employer").isNotNull(), F.concat(F.lit("company "), F.col("employer").cast("string"))))
     person = person.withColumn("attrs", F.map_concat(F.map_filter(F.coalesce("attrs", F.create_map().cast("map<string,string>")), lambda k, _: k != "organisation"), F.map_filter(F.create_map(F.lit("organisation"), F.col("org")), lambda _, v: v.isNotNull())))
-    people = tables.save(resolve.people(person.select(mentions.columns)).withColumn("score", F.when(F.col("method") == "unique_name", 0.8).otherwise(1.0)), "person-mentions")
+    owned = None if owner is None else named.filter("role = 'owner'").select("company").first()
+    as_organisation = F.concat(F.lit("company "), F.col("company").cast("string"))
+    folders = mentions.filter("etype = 'company' and role = 'folder'").select("id", "file_id").join(decided.filter("company is not null").select("id", as_organisation.alias("organisation")), "id")
+    people = resolve.people(person.select(mentions.columns), folders, f"company {owned['company']}" if owned else None)
+    trust = F.when(F.col("method") == "unique_name", 0.8).when(F.col("method") == "name+context", 0.7).otherwise(1.0)
+    people = tables.save(people.withColumn("score", trust), "person-mentions")
 
     # Documents: by number; one that several counterparties use by number and counterparty.
-    owned = None if owner is None else named.filter("role = 'owner'").select("company").first()
     ends = facts.join(decided.filter("company is not null").select(F.col("id").alias("dst"), F.col("company").alias("dst_company")), "dst", "left").join(decided.filter("company is not null").select(F.col("id").alias("src"), F.col("company").alias("src_company")), "src", "left")
     stated = ends.select("id", "rel", F.when(F.col("rel") == "PARTY_TO", F.col("src_company")).otherwise(F.col("src")).alias("src"), F.when(F.col("rel") == "PARTY_TO", F.col("dst")).otherwise(F.col("dst_company")).alias("dst")).filter("src is not null and dst is not null")
     parties = resolve.counterparties(stated, owned["company"] if owned else None)

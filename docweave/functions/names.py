@@ -160,5 +160,10 @@ def company_match(mention: Column | str, candidate: Column | str, truncated: Col
     return F.pandas_udf(_match_batches, "score double, method string")(mention, candidate, truncated)
 
 
+def lcs_ratio(a: Column | str, b: Column | str) -> Column:
+    """``ratio`` of two columns."""
+    return F.pandas_udf(lambda x, y: x.combine(y, ratio), "double")(a, b)
+
+
 def is_generic(domain: Column) -> Column:
     return F.lower(domain).isin(*GENERIC_DOMAINS)

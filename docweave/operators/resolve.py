@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from ..functions.names import lcs_ratio
 
 
 def products(mentions: DataFrame) -> DataFrame:
@@ -64,15 +65,17 @@ def merged_attributes(mentions: DataFrame, names: list[str], conflicting: tuple[
     return merged.withColumn("conflicts", pairs).drop(*[f"all_{n}" for n in listed])
 
 
-def people(mentions: DataFrame) -> DataFrame:
+def people(mentions: DataFrame, folders: DataFrame | None = None, owner: str | None = None) -> DataFrame:
     """``id, key, method`` for each person mention (``attrs``: email, organisation).
 
     A mention with an e-mail address belongs to that address; one with an organisation to (name, organisation), and
     to an address that the same name and organisation have. One with neither belongs to the only person of
-    its name, by exact or folded name, or by initial and surname; otherwise it stays by itself.
+    its name, else of its folded name, else, where it is an initial and a surname, of those. Of several such
+    people it belongs to the only one at its file's ``folders`` organisation (``file_id, organisation``) or, if none is
+    there, to the only one at the ``owner``. Otherwise it stays by itself.
     """
     rows = mentions.filter("etype = 'person'").select(
-        "id", t.person_key(F.col("surface")).alias("name"), t.person_key_folded(F.col("surface")).alias("folded"), t.person_initial_form(F.col("surface")).alias("initial"),
+        "id", "file_id", t.person_key(F.col("surface")).alias("name"), t.person_key_folded(F.col("surface")).alias("folded"), t.person_initial_form(F.col("surface")).alias("initial"),
         F.lower(F.col("attrs")["email"]).alias("email"), t.company_key(F.col("attrs")["organisation"]).alias("org"),
     )
     by_org = rows.filter("org is not null and email is not null").groupBy("folded", "org").agg(F.min("email").alias("known"))
@@ -80,13 +83,56 @@ def people(mentions: DataFrame) -> DataFrame:
     keyed = F.coalesce("email", "known", F.when(F.col("org").isNotNull(), F.concat_ws("|", "folded", "org")))
     rows = rows.withColumn("own_key", keyed)
     sure = rows.filter("own_key is not null")
-    out = rows
+    # Only the mentions that have neither look for people, each among those of its name.
+    seekers = rows.filter("own_key is null").select("id", "file_id", "name", "folded", F.when(F.col("name").rlike("^[a-z] [a-z]+$"), F.col("initial")).alias("initial"))
+    here = F.lit(None).cast("string")
+    if folders is not None:
+        at = folders.groupBy("file_id").agg(F.min(t.company_key(F.col("organisation"))).alias("here"))
+        seekers, here = seekers.join(at, "file_id", "left"), F.col("here")
+    seekers = seekers.withColumn("here", here)
+    owned = t.company_key(F.lit(owner).cast("string"))
+    guess = single = F.lit(None).cast("string")
+    level = F.lit(False)  # whether an earlier, better form of the name has found anyone
     for column in ("name", "folded", "initial"):
-        only = sure.groupBy(column).agg(F.min("own_key").alias(f"by_{column}"), F.countDistinct("own_key").alias("n")).filter("n = 1").drop("n")
-        out = out.join(only, column, "left")
-    guess = F.coalesce("by_name", "by_folded", "by_initial")
-    method = F.when(F.col("email").isNotNull(), "email").when(F.col("org").isNotNull(), "name+organisation").when(guess.isNotNull(), "unique_name").otherwise("new_unattributed")
-    return out.select("id", F.coalesce("own_key", guess, F.concat(F.col("name"), F.lit("|?"))).alias("key"), method.alias("method"))
+        at_owner = F.when(F.col("org") == owned, F.col("own_key"))
+        found = sure.groupBy(column).agg(F.min("own_key").alias(f"any_{column}"), F.countDistinct("own_key").alias(f"n_{column}"), F.min(at_owner).alias(f"owner_{column}"), F.countDistinct(at_owner).alias(f"m_{column}"))
+        local = sure.filter("org is not null").groupBy(column, F.col("org").alias("here")).agg(F.min("own_key").alias(f"local_{column}"), F.countDistinct("own_key").alias(f"l_{column}"))
+        seekers = seekers.join(found, column, "left").join(local, [column, "here"], "left")
+        near = F.when(F.col(f"l_{column}").isNotNull(), F.when(F.col(f"l_{column}") == 1, F.col(f"local_{column}"))).when(F.col(f"m_{column}") == 1, F.col(f"owner_{column}"))
+        guess = F.when(level, guess).otherwise(F.when(F.col(f"n_{column}") == 1, F.col(f"any_{column}")).otherwise(near))
+        single = F.when(level, single).otherwise(F.when(F.col(f"n_{column}") == 1, F.lit("unique_name")).otherwise(F.lit("name+context")))
+        level = level | F.col(f"n_{column}").isNotNull()
+    seekers = seekers.select("id", F.coalesce(guess, F.concat(F.col("name"), F.lit("|?"))).alias("key"), F.when(guess.isNotNull(), single).otherwise("new_unattributed").alias("method"))
+    return sure.select("id", F.col("own_key").alias("key"), F.when(F.col("email").isNotNull(), "email").otherwise("name+organisation").alias("method")).unionByName(seekers)
+
+
+#: Titles are the same project's from this ratio on, a fixed value.
+SIMILAR_TITLE = 90
+
+
+def similar_titles(titles: DataFrame, known: DataFrame) -> DataFrame:
+    """``title, known, ratio``: for each distinct title the most similar known one, of several the greatest, where the
+    longest common subsequence makes up ``SIMILAR_TITLE`` percent of both.
+
+    Two such texts of a and b letters differ by at most (a + b) / 10 insertions and deletions, and b by at most 2/9 of its
+    letters. Each spoils one piece at most of a known title cut into one piece more, so one piece is in the other
+    title unchanged and no further from its place: pairs meet on pieces, of one to five letters, and are then scored.
+    """
+    size = F.length("known")
+    pieces = F.floor(size * 2 / 9).cast("int") + 1
+    cut = lambda i: F.floor(i * size / pieces).cast("int")
+    post = known.select(F.col("title").alias("known")).filter("known != ''").distinct()
+    post = post.select("known", F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(cut(i).alias("at"), F.substring(F.col("known"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))).alias("p"))
+    starts = lambda n: F.when((F.length("title") == 1) if n == 1 else (F.length("title") >= n), F.sequence(F.lit(0), F.length("title") - n)).otherwise(F.array().cast("array<int>"))
+    piece = lambda n: lambda i: F.struct(i.alias("at"), F.substring(F.col("title"), i + 1, F.lit(n)).alias("piece"))
+    parts = [F.transform(starts(n), piece(n)) for n in range(1, 6)]
+    # Pieces of one letter come from titles of one letter alone.
+    probe = titles.select("title").filter("title != ''").distinct().select("title", F.explode(F.concat(*parts)).alias("q"))
+    most = (F.length("title") + F.length("known")) / 10
+    met = probe.join(post, (F.col("p.piece") == F.col("q.piece")) & (F.abs(F.col("p.at") - F.col("q.at")) <= most) & (F.abs(F.length("title") - F.length("known")) <= most))
+    scored = met.select("title", "known").distinct().withColumn("ratio", lcs_ratio(F.col("title"), F.col("known"))).filter(F.col("ratio") >= SIMILAR_TITLE)
+    best = F.max(F.struct("ratio", "known")).alias("best")
+    return scored.groupBy("title").agg(best).select("title", "best.known", "best.ratio")
 
 
 def title_only_projects(mentions: DataFrame, min_files: int = 2) -> DataFrame:

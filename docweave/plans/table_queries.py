@@ -192,8 +192,7 @@ def osa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_values("a, b, r", RATIOS))
 def lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = F.pandas_udf(lambda a, b: a.combine(b, names.ratio), "double")
-    return _values(spark, "a string, b string, r double", RATIOS).select("a", "b", ratio("a", "b").alias("r"))
+    return _values(spark, "a string, b string, r double", RATIOS).select("a", "b", names.lcs_ratio("a", "b").alias("r"))
 
 
 @query(sql_values("name, key", KEYS))

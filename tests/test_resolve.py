@@ -1,6 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
+from docweave import build
+from docweave.functions import names
 from docweave.operators import extract, resolve
+from docweave.tables import Tables
 
 MENTIONS = "id long, file_id long, etype string, surface string, role string, attrs map<string,string>, entity_id long"
 
@@ -60,3 +65,66 @@ def test_merged_attributes(spark):
     rows = mentions(spark, (1, "document", "a", "self", {"total": "5", "date": "x"}, 7), (2, "document", "a", "self", {"total": "6", "date": "x"}, 7))
     row = resolve.merged_attributes(rows, ["total", "date"]).first()
     assert (row.total, row.date, row.conflicts) == ("5", "x", {"total": ["5", "6"]})
+
+
+def test_people_in_context(spark):
+    rows = mentions(
+        spark,
+        (1, "person", "Rachel Bianchi", "a", {"organisation": "X"}, None),
+        (2, "person", "Rachel Bianchi", "a", {"organisation": "Y"}, None),
+        (3, "person", "Rachel Bianchi", "a", {"organisation": "Own"}, None),
+        (4, "person", "Rachel Bianchi", "a", None, None),  # in a folder of Y
+        (5, "person", "R. Bianchi", "a", None, None),  # in no folder: the owner's
+        (6, "person", "Robert Bianchi", "a", None, None),  # a full name is no initial
+        (7, "person", "Ann Lee", "a", {"organisation": "X"}, None),
+        (8, "person", "A. Lee", "a", None, None),
+        (4, "person", None, "a", None, None),
+    )
+    folders = spark.createDataFrame([(4, "Y Ltd"), (8, "Y Ltd")], "file_id long, organisation string")
+    got = {r.id: (r.key, r.method) for r in resolve.people(rows, folders, "Own").collect()}
+    assert got[4] == ("rachel bianchi|y", "name+context") and got[5] == ("rachel bianchi|own", "name+context")
+    assert got[6] == ("robert bianchi|?", "new_unattributed") and got[8] == ("ann lee|x", "unique_name") and got[9][1] == "new_unattributed"
+    assert len(got) == 9
+    alone = {r.id: r.method for r in resolve.people(rows).collect()}
+    assert alone[4] == alone[5] == "new_unattributed"
+
+
+def test_similar_titles(spark):
+    draw = random.Random(3)
+    known = ["".join(draw.choice("abc ") for _ in range(draw.randint(1, 40))).strip() or "a" for _ in range(60)] + ["shrink wrap retrofit", "shrink wrap retrofits"]
+    titles = ["a", "ab", "shrnk wrap retrofit", "shrink wrap retrofitt", "nothing like it", ""]
+    for k in known:
+        letters = list(k)
+        for _ in range(draw.randint(0, 1 + len(k) // 8)):
+            at = draw.randrange(len(letters) + 1)
+            letters[at : at + draw.randint(0, 1)] = draw.choice(["", "x", "a"])
+        titles.append("".join(letters))
+    want = {}
+    for x in filter(None, titles):
+        best = max(((names.ratio(x, k), k) for k in known), default=(0, ""))
+        if best[0] >= 90:
+            want[x] = (best[1], best[0])
+    of = lambda values: spark.createDataFrame([(v,) for v in values], "title string")
+    assert {r.title: (r.known, r.ratio) for r in resolve.similar_titles(of([*titles, None]), of([*known, None, ""])).collect()} == want and len(want) > 30
+    assert resolve.similar_titles(of(titles), of([])).isEmpty()
+
+
+def test_projects_by_title_and_folder(spark):
+    project = lambda file, title, role, **attrs: (file, "project", title, role, {"title": title} | attrs)
+    rows = [
+        *[(n, "company", f"{c} Robotics Ltd", "folder", {}) for n, c in ((1, "Acme"), (2, "Borel"), (3, "Acme"), (4, "Acme"))],
+        project(1, "Clean Room Cell", "folder", job_id="J1", customer="Acme Robotics Ltd"),
+        project(2, "Clean Room Cell", "folder", job_id="J2", customer="Borel Robotics Ltd"),
+        project(3, "Clean Room Cell", "folder", job_id="J3", customer="Acme Robotics Ltd"),
+        project(4, "Conveyor Upgrade", "folder", job_id="J4", customer="Acme Robotics Ltd"),
+        project(2, "Clean Room Cel", "field", customer="Borel Robotics Ltd"),
+        project(3, "Clean Room Cell", "field", customer="Acme Robotics Ltd"),
+        project(3, "Clean Room Cell", "field"),
+        project(9, "Conveyer Upgrade", "field"),
+        project(9, "Clean Room Cell", "field"),
+    ]
+    made = spark.createDataFrame([(n, *r[:4], r[4], 1.0) for n, r in enumerate(rows, 1)], "id long, file_id long, etype string, surface string, role string, attrs map<string,string>, confidence double")
+    facts = spark.createDataFrame([], "id long, file_id long, src long, rel string, dst long")
+    resolved, _ = build.resolve_stage(made, facts, Tables(spark))
+    got = {r.id: (r.method, r.confidence) for r in resolved.collect() if r.etype == "project" and r.role == "field"}
+    assert got == {9: ("title+company", 0.9), 10: ("title+company+folder", 0.9), 11: ("title+folder", 0.75), 12: ("unique_title", 0.75), 13: ("unresolved", 0.0)}
