@@ -173,6 +173,15 @@ COMPANIES = [
 ]
 DISTANCES = [("kitten", "sitting", 3), ("blenhiem", "blenheim", 1), ("ca", "abc", 3), ("", "abc", 3), ("same", "same", 0)]
 RATIOS = [("abcd", "abcd", 100.0), ("abc", "axc", 400 / 6), ("", "", 100.0), ("abc", "", 0.0), ("shrink wrap", "shrink wraps", 2200 / 23)]
+KNOWN_TITLES = ["shrink wrap retrofit", "shrink wrap retrofits", "clean room cell", "line 1", "line 2"]
+TITLES = [("shrnk wrap retrofit", "shrink wrap retrofit", 3800 / 39), ("clean room cel", "clean room cell", 2800 / 29), ("shrink wrap retrofit", "shrink wrap retrofit", 100.0), ("line 12", "line 2", 1200 / 13)]
+#: File, name, e-mail and organisation of people; the key and method that they get, files 4 and 8 being in Bayview's folder.
+PEOPLE = [
+    (1, "José Müller", "J@x.com", "Kestrel Ltd", "j@x.com", "email"), (2, "Jose Mueller", None, "Kestrel", "j@x.com", "name+organisation"), (3, "J. Müller", None, None, "j@x.com", "unique_name"),
+    (1, "Rachel Bianchi", None, "Kestrel Ltd", "rachel bianchi|kestrel", "name+organisation"), (2, "Rachel Bianchi", None, "Bayview", "rachel bianchi|bayview", "name+organisation"),
+    (3, "Rachel Bianchi", None, "Meridian", "rachel bianchi|meridian", "name+organisation"), (4, "Rachel Bianchi", None, None, "rachel bianchi|bayview", "name+context"),
+    (5, "R. Bianchi", None, None, "rachel bianchi|meridian", "name+context"), (6, "Robert Bianchi", None, None, "robert bianchi|?", "new_unattributed"),
+]
 KEYS = [("The Acme Tools Co. Ltd", "acme tools"), ("Müller & Söhne GmbH", "mueller soehne"), ("Ltd", "ltd"), ("Castle of Glass Inc.", "castle glass"), ("---", ""), ("AG", "ag")]
 AMOUNTS = [("£1,234.50", 1234.5, "GBP"), ("1.234,50 €", 1234.5, "EUR"), ("USD 12", 12.0, "USD"), ("$3,344.00", 3344.0, "USD"), ("12,5 EUR", 12.5, "EUR"), ("no amount", None, None)]
 NUMBERS = [("Invoice No: INV-8034", "Invoice", "INV-8034"), ("Quotation QUO-12-34 of", "Quotation", "QUO-12-34"), ("Invoice HR-1042", "Invoice", "HR-1042"), ("invoice # PO-77", "Invoice", "PO-77"), ("INV-8034", "Invoice", None)]
@@ -195,6 +204,20 @@ def lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, "a string, b string, r double", RATIOS).select("a", "b", names.lcs_ratio("a", "b").alias("r"))
 
 
+@query(sql_values("title, known, ratio", TITLES))
+def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _values(spark, "title string, known string, ratio double", TITLES).select("title")
+    asked = asked.unionByName(_values(spark, "title string", [("clean cell",), ("",), (None,)]))
+    return resolve.similar_titles(asked, _values(spark, "title string", [(k,) for k in KNOWN_TITLES]))
+
+
+@query(sql_values("id, key, method", [(n, r[4], r[5]) for n, r in enumerate(PEOPLE, 1)]))
+def people_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(n, r[0], "person", r[1], {k: v for k, v in (("email", r[2]), ("organisation", r[3])) if v}) for n, r in enumerate(PEOPLE, 1)]
+    mentions = _values(spark, "id long, file_id long, etype string, surface string, attrs map<string,string>", rows)
+    return resolve.people(mentions, _values(spark, "file_id long, organisation string", [(4, "Bayview Ltd"), (8, "Bayview Ltd")]), "Meridian Ltd")
+
+
 @query(sql_values("name, key", KEYS))
 def company_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, "name string, key string", KEYS).select("name", t.company_key(F.col("name")).alias("key"))
