@@ -25,6 +25,8 @@ WORDS = 5
 SIMILARITY = 75  # percent
 #: A pair at 75 % agrees in 48 of 64 coordinates on average, in fewer than 30 less than once in a million times.
 COORDINATES, MATCHES = 64, 30
+#: Sets with one rare shingle that one task compares with the others that have it; more are spread over several.
+SETS_A_PART = 2000
 
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 1 << 63, COORDINATES, dtype="u8")[:, None]
@@ -118,8 +120,8 @@ def texts_of(cids: DataFrame, signed: DataFrame, classes: DataFrame, ws: Workspa
 
 
 def rarest_shingles(sets: DataFrame, signed: DataFrame, classes: DataFrame, ws: Workspace) -> DataFrame:
-    """``shingle, cid, n_shingles, place, root`` of ``sets`` (``cid, n_shingles, root``): each set's rarest
-    quarter, with a shingle's place among the set's own, the rarest being the first.
+    """``shingle, cid, n_shingles, place, root, n_sets`` of ``sets`` (``cid, n_shingles, root``): each set's rarest
+    quarter, with a shingle's place among the set's own, the rarest being the first, and the number of sets that have it.
 
     Similar sets share three quarters of either, so one at least of any order's first quarter and one more.
     Shingles of one set alone come first in the order and are left out.
@@ -140,7 +142,7 @@ def rarest_shingles(sets: DataFrame, signed: DataFrame, classes: DataFrame, ws:
     length = F.col("n_shingles") - F.ceil(F.col("n_shingles") * SIMILARITY / 100) + 1
     place = F.col("at") + F.col("n_shingles") - F.col("common")
     prefix = ranked.filter(place <= length)
-    out = ws.save(prefix.select("shingle", "cid", "n_shingles", place.alias("place"), "root"), "rare")
+    out = ws.save(prefix.select("shingle", "cid", "n_shingles", place.alias("place"), "root", "n_sets"), "rare")
     ws.drop("open-shingles", "open-shared", "open-texts")
     return out
 
@@ -201,10 +203,13 @@ def find(docs: DataFrame, ws: Workspace) -> DataFrame:
     open_lists = ws.save(open_lists.select("coord", "n_posts"), "open")
     left = ws.save(join_groups(placed, open_lists, "coord", "n_posts").filter("n_posts is not null").select("coord", "cid", "n_shingles", "root"), "left")
     rare = rarest_shingles(left.select("cid", "n_shingles", "root").distinct(), signed, classes, ws)
-    x, y = rare.toDF("shingle", "x", "n_x", "place_x", "root_x"), rare.toDF("shingle", "y", "n_y", "place_y", "root_y")
+    # A passage that very many sets share is one key: one side of such a key goes to several tasks, the other to each of them.
+    parts = F.ceil(F.col("n_sets") / SETS_A_PART).cast("int")
+    x = rare.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")).drop("n_sets").toDF("shingle", "x", "n_x", "place_x", "root_x", "part")
+    y = rare.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n_sets").toDF("shingle", "y", "n_y", "place_y", "root_y", "part_y")
     share = F.ceil((F.col("n_x") + F.col("n_y")) * SIMILARITY / (100 + SIMILARITY))  # what similar sets of these sizes have in common
     near = (F.col("place_x") <= F.col("n_x") - share + 1) & (F.col("place_y") <= F.col("n_y") - share + 1)
-    crossing = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("root_x") < F.col("root_y")) & sizes_fit("n_x", "n_y") & near)
+    crossing = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("part") == F.col("part_y")) & (F.col("root_x") < F.col("root_y")) & sizes_fit("n_x", "n_y") & near)
     crossing = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     crossing = ws.save(crossing.join(star, ["a", "b"], "left_anti"), "crossing")
     ws.drop("star-texts", "heads", "postings", "placed")

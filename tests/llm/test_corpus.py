@@ -155,6 +155,7 @@ def test_near_dedup_is_all_pairs(spark, ws, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr("docweave.llm.work.BROADCAST_ROWS", 0)
         monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(near_dedup, "SETS_A_PART", 2)
     rows = copies(25)
     got = near_dedup.find(spark.createDataFrame(rows, "doc_id long, text string"), ws).select("row.doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(tuple(r[:3]) for r in got) == sorted(brute_components(rows))
