@@ -131,11 +131,19 @@ def read_dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict | N
         raise WarcError("the dictionary frame is cut short")
     raw = bytes(data[8:end])
     magic = int.from_bytes(raw[:4], "little")
-    if magic == ZSTD_MAGIC:
-        raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-    elif magic != DICTIONARY_MAGIC:
-        raise WarcError("the dictionary frame holds no dictionary")
-    return zstandard.ZstdCompressionDict(raw), end
+    try:
+        if magic == ZSTD_MAGIC:
+            packer = zstandard.ZstdDecompressor().decompressobj()
+            raw = packer.decompress(raw)
+            if not packer.eof:
+                raise WarcError("the dictionary's frame is cut short")
+        if int.from_bytes(raw[:4], "little") != DICTIONARY_MAGIC:
+            raise WarcError("the dictionary frame holds no dictionary")
+        dictionary = zstandard.ZstdCompressionDict(raw)
+        zstandard.ZstdDecompressor(dict_data=dictionary).decompress(zstandard.ZstdCompressor().compress(b""))  # loads it
+    except zstandard.ZstdError as error:
+        raise WarcError(f"the dictionary does not decode: {error}") from error
+    return dictionary, end
 
 
 def frames(data: memoryview, max_bytes: int | None = None) -> Iterator[tuple[int, bytes | None]]:
@@ -143,8 +151,11 @@ def frames(data: memoryview, max_bytes: int | None = None) -> Iterator[tuple[int
     dictionary, at = read_dictionary(data)
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary)
     while at < len(data):
-        if int.from_bytes(data[at : at + 4], "little") in SKIPPABLE:
-            at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        if len(data) - at >= 4 and int.from_bytes(data[at : at + 4], "little") in SKIPPABLE:
+            end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+            if end > len(data):
+                raise WarcError(f"the skippable frame at {at} is cut short")
+            at = end
             continue
         end = frame_end(data, at)
         try:
@@ -161,6 +172,7 @@ def frames(data: memoryview, max_bytes: int | None = None) -> Iterator[tuple[int
         at = end
 
 
+_NUMBER = re.compile("[0-9]{1,18}").fullmatch
 _LINE = re.compile(rb"([!#$%&'*+\-.^_`|~0-9A-Za-z]+):[ \t]*(.*?)[ \t]*\Z", re.S)
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
@@ -189,7 +201,7 @@ def parse_record(content: bytes) -> tuple[dict[str, str], dict[str, str], bytes,
     headers = _headers(content[:cut].split(b"\r\n")[1:])
     if missing := [k for k in REQUIRED if k not in headers]:
         raise WarcError(f"headers are missing: {', '.join(missing)}")
-    if not headers["content-length"].isdigit():
+    if not _NUMBER(headers["content-length"]):
         raise WarcError("Content-Length is no number")
     length = int(headers["content-length"])
     block = content[cut + 4 : cut + 4 + length]
@@ -260,8 +272,14 @@ READ_SCHEMA = "archive string, offset long, record_type string, record_id string
 
 def _plain_digest(header: str | None) -> str | None:
     """A sha1 header as lower-case hex; other algorithms as they are."""
-    if header and header.startswith("sha1:") and len(header) == 37:
-        return base64.b32decode(header[5:]).hex()
+    if header and header.startswith("sha1:"):
+        try:
+            digest = base64.b32decode(header[5:])
+        except ValueError:
+            digest = b""
+        if len(digest) != 20:
+            raise WarcError("the payload's digest is no base32 of 20 bytes")
+        return digest.hex()
     return header
 
 
@@ -273,14 +291,16 @@ def _read_one(archive: str, data: memoryview, keep_payload: bool, max_bytes: int
                 if content is None:
                     raise WarcError(f"the record is longer than {max_bytes} bytes")
                 headers, http, _, payload = parse_record(content)
+                revisit = headers["warc-type"] == "revisit"
+                digest = _plain_digest(headers.get("warc-payload-digest")) if revisit else hashlib.sha1(payload).hexdigest()
+                length = http.get("content-length") if revisit else str(len(payload))
+                if length is not None and not _NUMBER(length):
+                    raise WarcError("the HTTP length is no number")
             except WarcError as error:
                 yield (archive, at, *(None,) * 7, str(error))
                 continue
-            revisit = headers["warc-type"] == "revisit"
-            length = http.get("content-length", "") if revisit else str(len(payload))
-            digest = _plain_digest(headers.get("warc-payload-digest")) if revisit else hashlib.sha1(payload).hexdigest()
             ids = [headers.get(k, "").strip("<>") or None for k in ("warc-record-id", "warc-target-uri", "warc-refers-to")]
-            yield (archive, at, headers["warc-type"], *ids, int(length) if length.isdigit() else None, digest, payload if keep_payload and not revisit else None, None)
+            yield (archive, at, headers["warc-type"], *ids, None if length is None else int(length), digest, payload if keep_payload and not revisit else None, None)
     except WarcError as error:  # the archive can't be followed further
         yield (archive, at, *(None,) * 7, str(error))
 
@@ -314,6 +334,12 @@ def read_archives(archives: DataFrame, keep_payload: bool = True, max_bytes: int
     return archives.select("archive", "content").mapInArrow(read, READ_SCHEMA)
 
 
+def unresolved_revisits(records: DataFrame) -> DataFrame:
+    """Revisits among ``records`` (as ``read_archives`` gives them) whose original is no response among them."""
+    responses = records.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id")).distinct()
+    return records.filter("record_type = 'revisit'").join(responses, "refers_to_id", "left_anti")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
     page = lambda c: F.when(F.col(c).startswith(ID), F.expr(f"try_cast(substring({c}, {len(ID) + 1}) as long)"))

@@ -63,6 +63,40 @@ def test_warc_rejects_what_is_broken(spark):
     assert [r.error is None for r in rows if r.archive == "none"] == [False] and not [r for r in rows if r.archive in ("null", "empty")]
 
 
+def test_warc_survives_broken_archives(spark):
+    writer = warc.ArchiveWriter()
+    for i in range(40):
+        writer.add(warc.page_record(i, "u", invented(i, 300).encode(), "2020-01-01T00:00:00Z"))
+    data = writer.close()
+    size = int.from_bytes(data[4:8], "little")
+    frame = lambda raw: data[:4] + len(raw).to_bytes(4, "little") + raw
+    plain = zstandard.ZstdCompressor().compress
+    page = warc.page_record(1, "u", b"x" * 1200, "2020-01-01T00:00:00Z")
+    revisit = warc.page_record(2, "u", b"x" * 1200, "2020-01-01T00:00:00Z", 1)
+    digest = revisit[revisit.index(b"sha1:") + 5 :][:32]
+    length = b"Content-Length: %d" % len(page[page.index(b"\r\n\r\n") + 4 : -4])
+    assert length in page
+    alone = {
+        "damaged dictionary": frame(data[8:40] + bytes(b ^ 255 for b in data[40:60]) + data[60 : 8 + size]) + data[8 + size :],
+        "cut dictionary": frame(data[8 : 8 + size // 2]) + data[8 + size :],
+        "garbage dictionary": frame((0xEC30A437).to_bytes(4, "little") + b"garbage" * 50) + data[8 + size :],
+        "no dictionary": frame(b"hello there") + data[8 + size :],
+        "packed garbage": frame(plain(b"hello there")) + data[8 + size :],
+        "square": plain(page.replace(length, "Content-Length: ²".encode())),
+        "no base32": plain(revisit.replace(digest, b"1" * 32)),
+        "short digest": plain(revisit.replace(digest, digest[:16])),
+    }
+    after = {"cut skippable": plain(page) + data[:4] + (100).to_bytes(4, "little") + b"short", "cut skippable header": plain(page) + data[:6], "three bytes": plain(page) + data[:3]}
+    rows = warc.read_archives(spark.createDataFrame([*alone.items(), *after.items()], "archive string, content binary")).collect()
+    for name in alone:
+        assert [r.error is None for r in rows if r.archive == name] == [False], name
+    for name in after:
+        assert [r.error is None for r in rows if r.archive == name] == [True, False], name
+    kept = warc.read_archives(spark.createDataFrame([("a", plain(page) + plain(revisit)), ("b", plain(revisit.replace(b"page:1>", b"page:7>")))], "archive string, content binary"))
+    assert kept.filter("error is not null").count() == 0
+    assert [(r.archive, r.refers_to_id) for r in warc.unresolved_revisits(kept).collect()] == [("b", "urn:x-page:7")]
+
+
 def test_mixing(spark, ws, none):
     rng = random.Random(4)
     rows = [(i, invented(i, rng.randint(0, 60)), None if i % 50 == 0 else f"s{min(int(rng.expovariate(0.7)), 6)}") for i in range(1500)]
