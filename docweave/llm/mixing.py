@@ -153,14 +153,15 @@ def _pair(last: bool):
 
 
 def mix(docs: DataFrame, ws: Workspace, weights: int = 3, cap: float = 3.0) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` of every row of ``docs``.
+    """``doc_id, size, source_size, target, taken, source, copies`` of every row of ``docs``.
 
     A null text has size 0; a document of size 0 takes no words. The draws come from hashes
-    of ids and sizes, so reruns agree; repeated rows and null ids are documents of their own. An
-    empty table gives an empty result.
+    of ids and sizes, so reruns agree; repeated rows and null ids are documents of their own. Rows without words
+    need no partner and are spread over all buckets, rows without an id by their texts. An
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("salt"))
     sizes = ws.save(slim.withColumn("key", key), "sizes")
     targets = source_targets(sizes, ws, weights, cap)
     n = targets.agg(F.sum("n_rows")).first()[0] or 0
@@ -170,7 +171,8 @@ def mix(docs: DataFrame, ws: Workspace, weights: int = 3, cap: float = 3.0) -> D
     rows = (
         rows.withColumn("whole", F.floor(copies + 1e-9).cast("long"))
         .withColumn("share", F.greatest(F.lit(0.0), copies - F.col("whole")))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(buckets)))
+        .withColumn("bucket", F.pmod(F.when(F.col("size") == 0, F.monotonically_increasing_id()).otherwise(F.xxhash64(F.lit(SEED), "doc_id", "size", "salt")), F.lit(buckets)))
+        .drop("salt")
         .withColumn("extra", F.lit(None).cast("long"))
     )
     settled, level = [], 0
@@ -188,7 +190,7 @@ def mix(docs: DataFrame, ws: Workspace, weights: int = 3, cap: float = 3.0) -> D
     for more in settled[1:]:
         out = out.unionByName(more)
     out = out.withColumn("copies", F.col("whole") + F.col("extra")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def repeat_rows(docs: DataFrame, ws: Workspace, weights: int = 3, cap: float = 3.0) -> DataFrame:
