@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .work import table
 
 #: Distinct pre-tokens in each of the two generations that a worker keeps, and the characters of the longest that is kept.
-CACHE, CACHE_PIECE = 300_000, 64
+CACHE, CACHE_PIECE = 100_000, 64
 
 
 class PerfectHash:
