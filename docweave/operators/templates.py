@@ -170,7 +170,7 @@ def business(s: Settings) -> Column:
     in_name, _ = file_number(F.col("stem"), s.types)
     key = F.coalesce(number, in_name)
     block = _until(_after(lines, "(?i)^BILL TO"), "(?i)^(?:attn|description)")
-    company, address = _at(block, 1), _none(F.array_join(F.slice(block, 2, 50), ", "))
+    company, address = _at(block, 1), _none(F.array_join(F.slice(block, 2, F.greatest(F.size(block), F.lit(1))), ", "))
     job, customer = t.field(text, "Job", ".+?"), F.coalesce(company, F.col("folder_company"))
     described = F.regexp_extract_all(text, F.lit(_ITEM), 1)
     code = lambda d: F.try_element_at(x.product_codes(d, s.types), F.lit(1))
@@ -272,7 +272,7 @@ def letter(s: Settings) -> Column:
     number = F.when(F.lower(F.col("stem")).startswith("letter"), _first(F.col("stem"), r"(\d+)"))
     key = F.concat(F.lit("LETTER-"), number)
     job = F.coalesce(_first(subject, "^[^·]*·(.*)$"), _first(text, r"(?:regarding|progress with|schedule for|concerning)\s+([A-Z][\w&\- ]+?)[,.]"))
-    recipient = link("company", _at(block, 1), "letter_recipient", "ADDRESSED_TO", address=_none(F.array_join(F.slice(block, 2, 50), ", ")))
+    recipient = link("company", _at(block, 1), "letter_recipient", "ADDRESSED_TO", address=_none(F.array_join(F.slice(block, 2, F.greatest(F.size(block), F.lit(1))), ", ")))
     employer = (lambda o: F.when(o["next"].contains(s.owner.split(" ")[0]), F.lit(s.owner))) if s.owner else (lambda o: F.lit(None).cast("string"))
     signed = F.transform(sign_offs(lines), lambda o: link("person", o["name"], "signatory", "AUTHORED", False, org=employer(o), org_role="implied_owner", job_title=_none(F.substring_index(o["next"], ",", 1))))
     named = found("letter", key, F.coalesce(key, F.col("stem")), [recipient, _job(job, customer=F.col("folder_company"))], [signed], date=F.try_element_at(lines, F.greatest(dated, F.lit(1))), subject=subject)
@@ -313,13 +313,29 @@ def by_name(s: Settings) -> Column:
     return F.when(~F.col("blank") | (F.col("status") == "needs_ocr"), named)
 
 
-def free_text(s: Settings) -> Column:
-    """Links that plain text gives: people at its closing lines, companies with a legal suffix, labelled numbers."""
-    signed = F.transform(sign_offs(F.col("lines")), lambda o: link("person", o["name"], "free_text", "MENTIONS", confidence=0.6, org=_at(t.company_names(F.coalesce(o["next"], F.lit(""))), 1), org_role="free_text"))
-    named = F.transform(t.company_names(F.col("text")), lambda n: link("company", n, "free_text", "MENTIONS", confidence=0.6))
+def free_text(s: Settings, text: Column, lines: Column) -> Column:
+    """Links that plain text gives: people in address lines and signature blocks, companies with a legal suffix, labelled numbers.
+
+    A signature block is a closing line, a name, and up to three lines, of which the first with a company says organisation and job title.
+    """
+    mail = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
+    heads = F.array_join(F.regexp_extract_all(text, F.lit(r"(?m)^(?:From|To|Cc):[ \t]*(.+)$"), 1), ", ")
+    written = F.transform(addresses(heads), lambda a: link("person", a["name"], "free_text", "MENTIONS", confidence=0.6, email=a["email"]))
+
+    def signature(place: Column) -> Column:
+        block = F.slice(lines, place + 2, F.lit(3))
+        stated = F.try_element_at(F.filter(block, lambda v: F.size(t.company_names(v)) > 0), F.lit(1))
+        title = F.when(F.instr(stated, ",") > 1, _none(F.substring_index(stated, ",", 1)))
+        email = _first(F.array_join(block, "\n"), f"({mail})")
+        return link("person", F.try_element_at(lines, place + 1), "free_text", "MENTIONS", confidence=0.6, org=_at(t.company_names(F.coalesce(stated, F.lit(""))), 1), org_role="free_text", email=F.lower(email), job_title=title)
+
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.coalesce(F.try_element_at(lines, i), F.lit("")).rlike(SIGN_OFF))
+    named = F.transform(t.company_names(text), lambda n: link("company", n, "free_text", "MENTIONS", confidence=0.6))
     if s.owner:
         named = F.filter(named, lambda k: F.lower(k["surface"]) != s.owner.lower())
-    return F.concat(signed, named)
+    numbers = F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(x.labelled(label)), 1), lambda n, kind=kind: F.struct(n.alias("number"), F.lit(kind).alias("kind"))) for kind, label in x.LABELS.items()])))
+    labelled = F.transform(numbers, lambda n: link("document", n["number"], "free_text", "MENTIONS", confidence=0.6, key=n["number"], doc_type=n["kind"]))
+    return F.concat(written, F.transform(places, signature), named, labelled)
 
 
 def learned_types(files: DataFrame, types: dict[str, str] | None = None) -> dict[str, str]:
@@ -366,9 +382,15 @@ def extract_files(files: DataFrame, settings: Settings | None = None, templates:
     _, company = file_number(F.col("stem"), s.types)
     code = F.try_element_at(x.product_codes(F.col("stem"), s.types), F.lit(1))
     named = [link("company", company, "filename", "ISSUED_TO", confidence=0.7, truncated="1"), link("product", code, "filename", "DESCRIBES", confidence=0.8, code=code)]
-    refs = F.transform(F.filter(x.references(F.col("text"), s.types), lambda n: n != key), lambda n: link("document", n, "reference", "REFERENCES", confidence=0.9, key=n, doc_type=x.type_of(n, s.types)))
-    jobs = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(s.job_id), 0)), lambda j: link("project", j, "reference", "HAS_DOCUMENT", False, confidence=0.9, job_id=j)) if s.job_id else F.array().cast(f"array<{LINK}>")
-    plain = F.when(~F.col("known") | F.col("doc.doc_type").isin("letter", "meeting_notes", "email"), free_text(s)).otherwise(F.array().cast(f"array<{LINK}>"))
+    # Of a mail only subject and body are read as text: its headers are the template's.
+    is_mail = F.coalesce(F.col("doc.doc_type") == "email", F.lit(False))
+    at_body = F.instr("text", "\n\n")
+    body = F.when(at_body > 0, F.expr("substr(text, instr(text, '\\n\\n') + 2)")).otherwise("")
+    rows = _once(rows, said=F.when(is_mail, F.concat_ws("\n", F.col("doc.attrs")["subject"], body)).otherwise(F.col("text")), plain_text=F.when(is_mail, body).otherwise(F.col("text")))
+    rows = _once(rows, plain_lines=t.lines(F.col("plain_text")))
+    refs = F.transform(F.filter(x.references(F.col("said"), s.types), lambda n: n != key), lambda n: link("document", n, "reference", "REFERENCES", confidence=0.9, key=n, doc_type=x.type_of(n, s.types)))
+    jobs = F.transform(F.array_distinct(F.regexp_extract_all("said", F.lit(s.job_id), 0)), lambda j: link("project", j, "reference", "HAS_DOCUMENT", False, confidence=0.9, job_id=j)) if s.job_id else F.array().cast(f"array<{LINK}>")
+    plain = F.when(~F.col("known") | F.col("doc.doc_type").isin("letter", "meeting_notes", "email"), F.filter(free_text(s, F.col("plain_text"), F.col("plain_lines")), lambda k: ~((k["etype"] == "document") & (k["surface"] == key)))).otherwise(F.array().cast(f"array<{LINK}>"))
     none = F.array().cast(f"array<{LINK}>")
     rows = _once(rows, stated=F.filter(F.concat(F.coalesce("doc.links", none), F.array(*named), refs, jobs), lambda k: k["surface"].isNotNull()), plain=plain)
     linked = F.transform("stated", lambda k: F.struct(k["etype"], F.lower(k["surface"])))
@@ -403,24 +425,37 @@ def extract_files(files: DataFrame, settings: Settings | None = None, templates:
     owns = F.when(project.isNotNull() & F.col("folder_company").isNotNull(), make(folder, F.lit("HAS_PROJECT"), job))
     rows = _once(rows, edges=F.array_distinct(F.filter(F.concat(F.array(owns), between, F.array(filed)), lambda e: e.isNotNull() & e["rel"].isNotNull())))
     at = lambda c: F.array_position("places", c) - 1
+    empty = F.create_map().cast("map<string,string>")
+
+    def merged(place: Column) -> Column:
+        """The mentions of one place as one, with all their attributes; of different values of one attribute the last stays."""
+        same = F.filter("all", lambda _, i: F.get("keys", i) == place)
+        attrs = F.aggregate(same, empty, lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.coalesce(F.map_contains_key(m["attrs"], k), F.lit(False))), F.coalesce(m["attrs"], empty)))
+        return F.get(same, 0).withField("attrs", F.when(F.exists(same, lambda m: m["attrs"].isNotNull()), attrs))
+
     return rows.select(
         "file_id",
-        F.transform("places", lambda p: F.get("all", F.array_position("keys", p).cast("int") - 1)).alias("mentions"),
+        F.transform("places", merged).alias("mentions"),
         F.transform("edges", lambda e: F.struct(at(e["src"]).alias("src"), e["rel"].alias("rel"), at(e["dst"]).alias("dst"))).alias("facts"),
     )
 
 
+def _place(column: str) -> Column:
+    """A place within a file; more than ids have room for end the job, as they would run into the next file's."""
+    return F.when(F.col(column) < (1 << FILE_BITS) - 1, F.col(column)).otherwise(F.raise_error(F.lit(f"a file has more than 2^{FILE_BITS} mentions or facts")).cast("int"))
+
+
 def mention_rows(extracted: DataFrame) -> DataFrame:
     """``id, file_id, pos, etype, surface, role, attrs, confidence``; ids ascend with file and place."""
     rows = extracted.select("file_id", F.posexplode("mentions").alias("pos", "m"))
-    return rows.select((F.col("file_id") * (1 << FILE_BITS) + F.col("pos")).alias("id"), "file_id", "pos", "m.*")
+    return rows.select((F.col("file_id") * (1 << FILE_BITS) + _place("pos")).alias("id"), "file_id", "pos", "m.*")
 
 
 def fact_rows(extracted: DataFrame) -> DataFrame:
     """``id, file_id, src, rel, dst`` between mentions; a fact from a mention to itself is none."""
     rows = extracted.select("file_id", F.posexplode("facts").alias("pos", "f")).filter("f.src >= 0 and f.dst >= 0 and f.src != f.dst")
     base = F.col("file_id") * (1 << FILE_BITS)
-    return rows.select((base + F.col("pos")).alias("id"), "file_id", (base + F.col("f.src")).alias("src"), "f.rel", (base + F.col("f.dst")).alias("dst"))
+    return rows.select((base + _place("pos")).alias("id"), "file_id", (base + F.col("f.src")).alias("src"), "f.rel", (base + F.col("f.dst")).alias("dst"))
 
 
 def attachments(files: DataFrame, mentions: DataFrame) -> DataFrame:
