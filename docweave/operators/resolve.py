@@ -110,27 +110,57 @@ def people(mentions: DataFrame, folders: DataFrame | None = None, owner: str | N
 SIMILAR_TITLE = 90
 
 
+def _cuts(size: int) -> list[int]:
+    """Ends of the pieces that a known title of ``size`` letters is cut into, one more than letters can differ."""
+    pieces = size * 2 // 9 + 1
+    return [i * size // pieces for i in range(pieces + 1)]
+
+
+def title_posts(known: str) -> list[str]:
+    cuts = _cuts(len(known))
+    return [f"{len(known)}/{j}/{known[cuts[j] : cuts[j + 1]]}" for j in range(len(cuts) - 1)]
+
+
+def title_probes(title: str) -> list[str]:
+    """Keys of all known titles that can be similar: for each length, each piece at each shift that leaves enough letters alike."""
+    n, out = len(title), set()
+    for size in range(max(1, -(-9 * n // 11)), 11 * n // 9 + 1):
+        most = (n + size) // 10
+        if abs(n - size) > most:
+            continue
+        cuts = _cuts(size)
+        for j in range(len(cuts) - 1):
+            for at in range(max(0, cuts[j] - most), min(n - (cuts[j + 1] - cuts[j]), cuts[j] + most) + 1):
+                shift = at - cuts[j]
+                if abs(shift) + abs(n - size - shift) <= most:
+                    out.add(f"{size}/{j}/{title[at : at + cuts[j + 1] - cuts[j]]}")
+    return sorted(out)
+
+
+def title_pairs(titles: DataFrame, known: DataFrame) -> DataFrame:
+    """``title, known``: the pairs that can be similar enough.
+
+    Two texts of a and b letters that are similar differ by at most (a + b) / 10 insertions and deletions. Each spoils one piece at
+    most of a known title cut into one piece more, so one piece is in the other title unchanged; it is shifted by as much as the letters before
+    it allow, while those after it still make up the difference of lengths. Length, piece and its number are one key of an equi-join. Pairs
+    whose letters, in any order, differ too often are left out.
+    """
+    keys = lambda f: F.pandas_udf(lambda s: s.map(f), "array<string>")
+    post = known.select(F.col("title").alias("known")).filter("known != ''").distinct().select("known", F.explode(keys(title_posts)("known")).alias("key"))
+    probe = titles.select("title").filter("title != ''").distinct().select("title", F.explode(keys(title_probes)("title")).alias("key"))
+    met = probe.join(post, "key").select("title", "known").distinct()
+    letters = lambda c: F.split(c, "")
+    differ = F.aggregate(
+        F.array_distinct(F.concat(letters("title"), letters("known"))), F.lit(0),
+        lambda n, x: n + F.abs(F.size(F.filter(letters("title"), lambda y: y == x)) - F.size(F.filter(letters("known"), lambda y: y == x))),
+    )
+    return met.filter(differ * 10 <= F.length("title") + F.length("known"))
+
+
 def similar_titles(titles: DataFrame, known: DataFrame) -> DataFrame:
     """``title, known, ratio``: for each distinct title the most similar known one, of several the greatest, where the
-    longest common subsequence makes up ``SIMILAR_TITLE`` percent of both.
-
-    Two such texts of a and b letters differ by at most (a + b) / 10 insertions and deletions, and b by at most 2/9 of its
-    letters. Each spoils one piece at most of a known title cut into one piece more, so one piece is in the other
-    title unchanged and no further from its place: pairs meet on pieces, of one to five letters, and are then scored.
-    """
-    size = F.length("known")
-    pieces = F.floor(size * 2 / 9).cast("int") + 1
-    cut = lambda i: F.floor(i * size / pieces).cast("int")
-    post = known.select(F.col("title").alias("known")).filter("known != ''").distinct()
-    post = post.select("known", F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(cut(i).alias("at"), F.substring(F.col("known"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))).alias("p"))
-    starts = lambda n: F.when((F.length("title") == 1) if n == 1 else (F.length("title") >= n), F.sequence(F.lit(0), F.length("title") - n)).otherwise(F.array().cast("array<int>"))
-    piece = lambda n: lambda i: F.struct(i.alias("at"), F.substring(F.col("title"), i + 1, F.lit(n)).alias("piece"))
-    parts = [F.transform(starts(n), piece(n)) for n in range(1, 6)]
-    # Pieces of one letter come from titles of one letter alone.
-    probe = titles.select("title").filter("title != ''").distinct().select("title", F.explode(F.concat(*parts)).alias("q"))
-    most = (F.length("title") + F.length("known")) / 10
-    met = probe.join(post, (F.col("p.piece") == F.col("q.piece")) & (F.abs(F.col("p.at") - F.col("q.at")) <= most) & (F.abs(F.length("title") - F.length("known")) <= most))
-    scored = met.select("title", "known").distinct().withColumn("ratio", lcs_ratio(F.col("title"), F.col("known"))).filter(F.col("ratio") >= SIMILAR_TITLE)
+    longest common subsequence makes up ``SIMILAR_TITLE`` percent of both."""
+    scored = title_pairs(titles, known).withColumn("ratio", lcs_ratio(F.col("title"), F.col("known"))).filter(F.col("ratio") >= SIMILAR_TITLE)
     best = F.max(F.struct("ratio", "known")).alias("best")
     return scored.groupBy("title").agg(best).select("title", "best.known", "best.ratio")
 

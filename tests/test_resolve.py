@@ -109,6 +109,17 @@ def test_similar_titles(spark):
     assert resolve.similar_titles(of(titles), of([])).isEmpty()
 
 
+def test_few_titles_are_scored(spark):
+    """Titles of a small vocabulary: few pairs more than those that are similar."""
+    draw = random.Random(8)
+    words = ["wrap", "line", "cell", "room", "press", "frame", "guard", "drive", "clean", "upper", "north", "belt"]
+    made = lambda n: sorted({" ".join(draw.choice(words) for _ in range(draw.randint(2, 7))) for _ in range(n)})
+    titles, known = made(300), made(300)
+    of = lambda values: spark.createDataFrame([(v,) for v in values], "title string")
+    pairs = {(r.title, r.known) for r in resolve.title_pairs(of(titles), of(known)).collect()}
+    assert {(a, b) for a in titles for b in known if names.ratio(a, b) >= 90} <= pairs and len(pairs) < 0.005 * len(titles) * len(known)
+
+
 def test_projects_by_title_and_folder(spark):
     project = lambda file, title, role, **attrs: (file, "project", title, role, {"title": title} | attrs)
     rows = [
