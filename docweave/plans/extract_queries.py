@@ -1,167 +1,138 @@
-"""Queries of extraction and company resolution over a few files of each kind, with what they must find."""
+"""Extraction and company resolution over the driver's tables: rows laid out as files, and names in many spellings."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import companies, templates
+from ..functions import names
+from ..operators import companies, resolve, templates
 from ..operators import files as ops
 from ..tables import Tables
-from .table_queries import sql_values
+from .star import read
 
 Query = Callable[[SparkSession, str], DataFrame]
-SETTINGS = templates.Settings(job_id=r"JOB-\d{4}-\d{4}", owner="Meridian Packaging Systems Ltd")
-PATTERNS = [r"Customers/{company}/{job_id:JOB-\d{4}-\d{4}} {title}/**", "Customers/{company}/**"]
-
-#: Path, kind and text of files.
-FILES = [
-    ('Customers/Acme Corporation/JOB-2023-0003 Shrink Wrap Retrofit/Invoices/INV-8034_Acme Corporation.pdf', 'pdf', 'Meridian Packaging Systems Ltd\nINVOICE\nNo: INV-8034\nDate: 11 Mar 2024\nJob: Shrink Wrap Retrofit\nQuote Ref: QUO-9999\nBILL TO:\nACME Corp\n240 Priory Lane\nWolverhampton\nAttn: Thomas Bianchi\nDescription Qty Unit Unit Price Line Total\nCase Sealer CS-110 1 unit £3,344.00 £3,344.00\nSubtotal: £3,344.00\nTOTAL: £3,344.00\n'),
-    ('Admin/Mail/re_schedule.eml', 'eml', 'From: Sam Jones <sam.jones@gmail.com>\nTo: Thomas Bianchi <thomas.bianchi@acmecorp.com>, "Lee, Ann" <ann.lee@acmecorp.com>\nSubject: RE: Shrink Wrap Retrofit — schedule update\n\nHi Thomas, the invoice INV-8034 is attached.\n'),
-    ('Customers/Acme Corporation/Scans/INV-8099_Acme Corporation.png', 'png', None),
-    ('Engineering/Datasheets/GB-40_Datasheet.pdf', 'pdf', None),
-    ('Admin/Notes/QUO-5238.txt', 'text', 'Follow-up on QUO-5238 and DN-6041.'),
-    ('a/c.vcf', 'vcf', 'BEGIN:VCARD\nFN:Ann Lee\nORG:Acme Ltd\nEMAIL:Ann@acme.com\nTEL:1'),
-    ('a/e.ics', 'ics', 'SUMMARY:Site visit – Wrap Line (Acme Ltd)\nUID:7'),
-    ('a/d.pdf', 'pdf', 'Drawing No: DWG-4889\nTitle: Frame\nRev: B\nCustomer: Acme Ltd\nJob: Wrap Line\nDrawn By: Ann Lee'),
-    ('a/k.pdf', 'pdf', 'Certificate No: CAL-12\nTechnician: Bob Ray\nResult: Pass'),
-    ('a/s.pdf', 'pdf', 'CS-110 · Datasheet\nDoc No: DS-1'),
-    ('a/m.pdf', 'pdf', 'CS-110-2\nOperating Manual\n1 Jan 2020'),
-    ('a/t.pdf', 'pdf', 'SAFETY AT WORK\nThis is to certify that\nAnn Lee\nTraining Provider: Safe Ltd\nExpiry: 1 Jan 2030'),
-    ('a/i.pdf', 'pdf', 'Body\nISO 9001\nWe certify that\nAcme Ltd\nCertificate No: ISO-9001\nCertification Body: Cert Co'),
-    ('a/Letter_17.docx', 'docx', 'Meridian\n3 Mar 2024\nAcme Ltd\nLane 1\nRe: News · Wrap Line\nDear Ann,\nText.\nYours sincerely,\nBob Ray\nManager, Meridian'),
-    ('a/Contract_X.docx', 'docx', 'Supply Contract\nBetween Acme Ltd and Best Ltd\nRelating to: Wrap Line'),
-    ('a/Q1_News.docx', 'docx', 'Internal Report\nDate: 1 Jan 2024 Author: Ann Lee'),
-    ('a/v.docx', 'docx', 'Visit\nPrepared by Ann Lee on 1 Jan 2024'),
-    ('a/n.txt', 'text', 'Weekly\nAttendees: Ann Lee, Bob Ray and Cy Dee'),
-    ('a/price_2024.xlsx', 'xlsx', 'Item | Price\nCase Sealer CS-110 | 5\nnone | 6'),
-    ('a/o.pdf', 'pdf', 'INVOICE\nNo: INV-1\nBILL TO\nAcme Ltd\nDescription\nSealer CS-110\n2\nunit\n£5.00\n£10.00\nTOTAL:\n£10.00'),
-    ('a/shot.png', 'png', 'JOB-2023-0003 open\nJOB-2023-0004 done'),
-    ('a/x.txt', 'text', 'We met Best Tools Ltd today.\nKind regards,\nAnn Lee\nSales, Harbor Robotics Inc'),
-]
-
-#: What they state: file, subject, relation, object.
-FACTS = [
-    (1, 'Acme Corporation', 'HAS_PROJECT', 'Shrink Wrap Retrofit'), (1, 'INV-8034', 'ISSUED_TO', 'ACME Corp'),
-    (1, 'Thomas Bianchi', 'WORKS_FOR', 'ACME Corp'), (1, 'INV-8034', 'ATTENTION_OF', 'Thomas Bianchi'),
-    (1, 'Shrink Wrap Retrofit', 'HAS_DOCUMENT', 'INV-8034'), (1, 'INV-8034', 'REFERENCES', 'QUO-9999'),
-    (1, 'INV-8034', 'LISTS_PRODUCT', 'Case Sealer CS-110'), (1, 'INV-8034', 'ISSUED_TO', 'Acme Corporation'),
-    (1, 'Shrink Wrap Retrofit', 'HAS_DOCUMENT', 'INV-8034'), (2, 'Shrink Wrap Retrofit', 'HAS_DOCUMENT', 'RE: Shrink Wrap Retrofit — schedule update'),
-    (2, 'Sam Jones', 'WORKS_FOR', 'gmail.com'), (2, 'Sam Jones', 'SENT', 'RE: Shrink Wrap Retrofit — schedule update'),
-    (2, 'Thomas Bianchi', 'WORKS_FOR', 'acmecorp.com'), (2, 'Thomas Bianchi', 'RECEIVED', 'RE: Shrink Wrap Retrofit — schedule update'),
-    (2, 'RE: Shrink Wrap Retrofit — schedule update', 'REFERENCES', 'INV-8034'), (3, 'INV-8099', 'ISSUED_TO', 'Acme Corporation'),
-    (3, 'INV-8099', 'FILED_UNDER', 'Acme Corporation'), (4, 'GB-40_Datasheet', 'DESCRIBES', 'GB-40'),
-    (5, 'QUO-5238', 'REFERENCES', 'DN-6041'), (6, 'Ann Lee', 'WORKS_FOR', 'Acme Ltd'),
-    (6, 'Contact card: Ann Lee', 'DESCRIBES', 'Ann Lee'), (7, 'Site visit – Wrap Line (Acme Ltd)', 'ADDRESSED_TO', 'Acme Ltd'),
-    (7, 'Wrap Line', 'HAS_DOCUMENT', 'Site visit – Wrap Line (Acme Ltd)'), (8, 'Frame', 'ISSUED_TO', 'Acme Ltd'),
-    (8, 'Wrap Line', 'HAS_DOCUMENT', 'Frame'), (8, 'Ann Lee', 'WORKS_FOR', 'Meridian Packaging Systems Ltd'),
-    (8, 'Ann Lee', 'AUTHORED', 'Frame'), (9, 'Bob Ray', 'WORKS_FOR', 'Meridian Packaging Systems Ltd'),
-    (9, 'Bob Ray', 'AUTHORED', 'CAL-12'), (10, 'CS-110 Datasheet (DS-1)', 'DESCRIBES', 'CS-110'),
-    (11, 'CS-110-2 Operating Manual', 'DESCRIBES', 'CS-110'), (12, 'Ann Lee', 'HOLDS', 'Safety At Work – Ann Lee'),
-    (12, 'Safety At Work – Ann Lee', 'ISSUED_BY', 'Safe Ltd'), (13, 'Acme Ltd', 'HOLDS', 'ISO 9001 certificate (ISO-9001)'),
-    (13, 'ISO 9001 certificate (ISO-9001)', 'ISSUED_BY', 'Cert Co'), (14, 'LETTER-17', 'ADDRESSED_TO', 'Acme Ltd'),
-    (14, 'Wrap Line', 'HAS_DOCUMENT', 'LETTER-17'), (14, 'Bob Ray', 'WORKS_FOR', 'Meridian Packaging Systems Ltd'),
-    (14, 'Bob Ray', 'AUTHORED', 'LETTER-17'), (15, 'Acme Ltd', 'PARTY_TO', 'Supply Contract (X)'),
-    (15, 'Best Ltd', 'PARTY_TO', 'Supply Contract (X)'), (15, 'Wrap Line', 'HAS_DOCUMENT', 'Supply Contract (X)'),
-    (16, 'Ann Lee', 'WORKS_FOR', 'Meridian Packaging Systems Ltd'), (16, 'Ann Lee', 'AUTHORED', 'Q1 News'),
-    (17, 'Ann Lee', 'WORKS_FOR', 'Meridian Packaging Systems Ltd'), (17, 'Ann Lee', 'AUTHORED', 'Visit'),
-    (18, 'Ann Lee', 'ATTENDED', 'Weekly'), (18, 'Bob Ray', 'ATTENDED', 'Weekly'),
-    (18, 'Cy Dee', 'ATTENDED', 'Weekly'), (19, 'price 2024', 'LISTS_PRODUCT', 'Case Sealer CS-110'),
-    (20, 'INV-1', 'ISSUED_TO', 'Acme Ltd'), (20, 'INV-1', 'LISTS_PRODUCT', 'Sealer CS-110'),
-    (21, 'JOB-2023-0003', 'HAS_DOCUMENT', 'shot'), (21, 'JOB-2023-0004', 'HAS_DOCUMENT', 'shot'),
-    (21, 'JOB-2023-0003', 'HAS_DOCUMENT', 'shot'), (21, 'JOB-2023-0004', 'HAS_DOCUMENT', 'shot'),
-    (22, 'Ann Lee', 'WORKS_FOR', 'Harbor Robotics Inc'), (22, 'x', 'MENTIONS', 'Ann Lee'),
-    (22, 'x', 'MENTIONS', 'Best Tools Ltd'), (22, 'x', 'MENTIONS', 'Harbor Robotics Inc'),
-]
-
-#: File, place, type, spelling, role and confidence of their mentions.
-MENTIONS = [
-    (1, 0, 'company', 'Acme Corporation', 'folder', 1.0), (1, 1, 'project', 'Shrink Wrap Retrofit', 'folder', 1.0),
-    (1, 2, 'document', 'INV-8034', 'self', 1.0), (1, 3, 'company', 'ACME Corp', 'bill_to', 1.0),
-    (1, 4, 'person', 'Thomas Bianchi', 'attn', 1.0), (1, 5, 'project', 'Shrink Wrap Retrofit', 'doc_job_field', 0.9),
-    (1, 6, 'document', 'QUO-9999', 'reference', 1.0), (1, 7, 'product', 'Case Sealer CS-110', 'line_item', 1.0),
-    (1, 8, 'company', 'Acme Corporation', 'filename', 0.7), (2, 0, 'document', 'RE: Shrink Wrap Retrofit — schedule update', 'self', 1.0),
-    (2, 1, 'project', 'Shrink Wrap Retrofit', 'email_subject', 0.8), (2, 2, 'company', 'gmail.com', 'email_domain', 0.9),
-    (2, 3, 'person', 'Sam Jones', 'email_from', 1.0), (2, 4, 'company', 'acmecorp.com', 'email_domain', 0.9),
-    (2, 5, 'person', 'Thomas Bianchi', 'email_to', 1.0), (2, 6, 'document', 'INV-8034', 'reference', 0.9),
-    (3, 0, 'company', 'Acme Corporation', 'folder', 1.0), (3, 1, 'document', 'INV-8099', 'self', 1.0),
-    (3, 2, 'company', 'Acme Corporation', 'filename', 0.7), (4, 0, 'document', 'GB-40_Datasheet', 'self', 1.0),
-    (4, 1, 'product', 'GB-40', 'filename', 0.8), (5, 0, 'document', 'QUO-5238', 'self', 1.0),
-    (5, 1, 'document', 'DN-6041', 'reference', 0.9), (6, 0, 'document', 'Contact card: Ann Lee', 'self', 1.0),
-    (6, 1, 'company', 'Acme Ltd', 'vcard_org', 1.0), (6, 2, 'person', 'Ann Lee', 'vcard', 1.0),
-    (7, 0, 'document', 'Site visit – Wrap Line (Acme Ltd)', 'self', 1.0), (7, 1, 'company', 'Acme Ltd', 'calendar_summary', 1.0),
-    (7, 2, 'project', 'Wrap Line', 'calendar_summary', 0.9), (8, 0, 'document', 'Frame', 'self', 1.0),
-    (8, 1, 'company', 'Acme Ltd', 'drawing_customer', 1.0), (8, 2, 'project', 'Wrap Line', 'doc_job_field', 0.9),
-    (8, 3, 'company', 'Meridian Packaging Systems Ltd', 'implied_owner', 0.8), (8, 4, 'person', 'Ann Lee', 'drawn_by', 1.0),
-    (9, 0, 'document', 'CAL-12', 'self', 1.0), (9, 1, 'company', 'Meridian Packaging Systems Ltd', 'implied_owner', 0.8),
-    (9, 2, 'person', 'Bob Ray', 'technician', 1.0), (10, 0, 'document', 'CS-110 Datasheet (DS-1)', 'self', 1.0),
-    (10, 1, 'product', 'CS-110', 'spec_title', 1.0), (11, 0, 'document', 'CS-110-2 Operating Manual', 'self', 1.0),
-    (11, 1, 'product', 'CS-110', 'manual_title', 1.0), (12, 0, 'document', 'Safety At Work – Ann Lee', 'self', 1.0),
-    (12, 1, 'person', 'Ann Lee', 'certificate_holder', 1.0), (12, 2, 'company', 'Safe Ltd', 'training_provider', 1.0),
-    (13, 0, 'document', 'ISO 9001 certificate (ISO-9001)', 'self', 1.0), (13, 1, 'company', 'Acme Ltd', 'certified_company', 1.0),
-    (13, 2, 'company', 'Cert Co', 'certification_body', 1.0), (14, 0, 'document', 'LETTER-17', 'self', 1.0),
-    (14, 1, 'company', 'Acme Ltd', 'letter_recipient', 1.0), (14, 2, 'project', 'Wrap Line', 'doc_job_field', 0.9),
-    (14, 3, 'company', 'Meridian Packaging Systems Ltd', 'implied_owner', 0.8), (14, 4, 'person', 'Bob Ray', 'signatory', 1.0),
-    (15, 0, 'document', 'Supply Contract (X)', 'self', 1.0), (15, 1, 'company', 'Acme Ltd', 'contract_party', 1.0),
-    (15, 2, 'company', 'Best Ltd', 'contract_party', 1.0), (15, 3, 'project', 'Wrap Line', 'doc_job_field', 0.9),
-    (16, 0, 'document', 'Q1 News', 'self', 1.0), (16, 1, 'company', 'Meridian Packaging Systems Ltd', 'implied_owner', 0.8),
-    (16, 2, 'person', 'Ann Lee', 'report_author', 1.0), (17, 0, 'document', 'Visit', 'self', 1.0),
-    (17, 1, 'company', 'Meridian Packaging Systems Ltd', 'implied_owner', 0.8), (17, 2, 'person', 'Ann Lee', 'report_author', 1.0),
-    (18, 0, 'document', 'Weekly', 'self', 1.0), (18, 1, 'person', 'Ann Lee', 'attendee', 1.0),
-    (18, 2, 'person', 'Bob Ray', 'attendee', 1.0), (18, 3, 'person', 'Cy Dee', 'attendee', 1.0),
-    (19, 0, 'document', 'price 2024', 'self', 1.0), (19, 1, 'product', 'Case Sealer CS-110', 'line_item', 1.0),
-    (20, 0, 'document', 'INV-1', 'self', 1.0), (20, 1, 'company', 'Acme Ltd', 'bill_to', 1.0),
-    (20, 2, 'product', 'Sealer CS-110', 'line_item', 1.0), (21, 0, 'document', 'shot', 'self', 1.0),
-    (21, 1, 'project', 'JOB-2023-0003', 'screenshot_row', 1.0), (21, 2, 'project', 'JOB-2023-0004', 'screenshot_row', 1.0),
-    (21, 3, 'project', 'JOB-2023-0003', 'reference', 0.9), (21, 4, 'project', 'JOB-2023-0004', 'reference', 0.9),
-    (22, 0, 'document', 'x', 'self', 1.0), (22, 1, 'company', 'Harbor Robotics Inc', 'free_text', 0.6),
-    (22, 2, 'person', 'Ann Lee', 'free_text', 0.6), (22, 3, 'company', 'Best Tools Ltd', 'free_text', 0.6),
-]
-
-#: Spellings of companies, the most trusted first, their role, and the company's name.
-SPELLINGS = [
-    ("Castlemead Logistics", "folder", "Castlemead Logistics"), ("Blenheim Foods Group", "folder", "Blenheim Foods Group"), ("Redwood Timber & Joinery", "folder", "Redwood Timber & Joinery"),
-    ("Falcon Aerospace Components", "folder", "Falcon Aerospace Components"), ("Castle Ltd", "folder", "Castle Ltd"), ("---", "folder", "---"), ("Castlemead Log.", "bill_to", "Castlemead Logistics"),
-    ("Blenhiem Foods", "bill_to", "Blenheim Foods Group"), ("Redwood Timber", "bill_to", "Redwood Timber & Joinery"), ("Red Wood Timber and Joinery", "bill_to", "Redwood Timber & Joinery"),
-    ("Falcon Aero Components", "bill_to", "Falcon Aerospace Components"), ("FAC", "bill_to", "Falcon Aerospace Components"), ("Castle Limited", "bill_to", "Castle Ltd"), ("Kestrel Foods Inc", "bill_to", "Kestrel Foods Inc"),
-    ("castlemeadlogistics.com", "email_domain", "Castlemead Logistics"), ("gmail.com", "email_domain", None), ("Contact Kestrel Foods Inc", "free_text", "Kestrel Foods Inc"),
-]
-
-
-def _extracted(spark: SparkSession) -> DataFrame:
-    rows = [(n, path, None, f"{n:064d}", kind, "needs_ocr" if text is None else "ok", text) for n, (path, kind, text) in enumerate(FILES, 1)]
-    files = spark.createDataFrame(rows, "id long, path string, parent_id long, sha256 string, kind string, status string, text string")
-    return templates.extract_files(ops.with_context(files, PATTERNS), SETTINGS)
+SETTINGS = templates.Settings()
+FILE = "id long, path string, parent_id long, sha256 string, kind string, status string, text string"
+
+
+def _as_files(rows: DataFrame, number: Column, path: Column, kind: str, text: Column) -> DataFrame:
+    none = F.lit(None)
+    made = rows.select(number.alias("id"), path.alias("path"), none.cast("long").alias("parent_id"), F.sha2(path, 256).alias("sha256"), F.lit(kind).alias("kind"), F.lit("ok").alias("status"), text.alias("text"))
+    return ops.with_context(made, [])
+
+
+def _invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an invoice to its source, for the attention of a reader of its language, its whole text below."""
+    docs = read(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.lit("INVOICE\nNo: INV-"), number, F.lit("\nDate: 4 Feb 2031\nJob: Review "), F.col("lang"), F.lit("\nQuote Ref: QUO-9"), number, F.lit("\nBILL TO:\n"), F.col("source"), F.lit(" Trading Ltd\nAttn: Ada "),
+        F.initcap("lang"), F.lit("\nDescription\nTOTAL: "), F.col("n_chars").cast("string"), F.lit(".50 EUR\n\n"), F.col("text"),
+    )
+    return _as_files(docs, F.col("doc_id"), F.concat(F.lit("in/doc"), number, F.lit(".txt")), "text", text)
+
+
+_PARTS = "doc_id AS file_id, 'INV-' || doc_id AS doc, source || ' Trading Ltd' AS company, 'Ada ' || upper(lang[1]) || lang[2:] AS person, 'Review ' || lang AS job, 'QUO-9' || doc_id AS quote"
 
 
 def extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts between spellings, of one extraction: each row carries its mentions, so no table of mentions is made first."""
-    found = Tables(spark).save(_extracted(spark), "extracted")
-    names = templates.mention_rows(found).select("id", "surface")
+    found = Tables(spark).save(templates.extract_files(_invoices(spark, sf_dir), SETTINGS), "extracted")
+    known = templates.mention_rows(found).select("id", "surface")
     facts = templates.fact_rows(found)
     for end in ("src", "dst"):
-        facts = facts.join(names.select(F.col("id").alias(end), F.col("surface").alias(f"{end}_name")), end)
+        facts = facts.join(known.select(F.col("id").alias(end), F.col("surface").alias(f"{end}_name")), end)
     return facts.select("file_id", F.col("src_name").alias("src"), "rel", F.col("dst_name").alias("dst"))
 
 
 def extract_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = templates.mention_rows(_extracted(spark))
-    return rows.select("file_id", F.col("pos").cast("long").alias("pos"), "etype", "surface", "role", "confidence")
+    rows = templates.mention_rows(templates.extract_files(_invoices(spark, sf_dir), SETTINGS))
+    total = F.col("attrs")["total"].cast("double")
+    return rows.select("file_id", F.col("pos").cast("long").alias("pos"), "etype", "surface", "role", "confidence", total.alias("total"))
+
+
+def mail_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation as a mail with a signature block: headers are read as headers, the body as plain text."""
+    turns = read(spark, sf_dir, "conversations").withColumn("n", F.concat_ws("-", "conv_id", "turn"))
+    text = F.concat(
+        F.lit("From: Ada Turner <ada@c"), F.col("conv_id").cast("string"), F.lit(".example>\nTo: Bo Reed <bo@desk.example>\nSubject: Note "), F.col("n"), F.lit(" of Header Goods Ltd\n\n"), F.col("text"),
+        F.lit("\nKind regards,\nNora Vane\nsecond floor\nBuyer, Harrow Mills Ltd\nnora@harrow.example\n"),
+    )
+    files = _as_files(turns, F.col("conv_id") * 10_000 + F.col("turn"), F.concat(F.lit("mail/"), F.col("n"), F.lit(".eml")), "eml", text)
+    found = Tables(spark).save(templates.extract_files(files, SETTINGS), "extracted")
+    known = templates.mention_rows(found).select("id", "surface", "attrs")
+    facts = templates.fact_rows(found)
+    for end in ("src", "dst"):
+        facts = facts.join(known.select(F.col("id").alias(end), F.col("surface").alias(f"{end}_name"), F.col("attrs")["job_title"].alias(f"{end}_title")), end)
+    return facts.select("file_id", F.col("src_name").alias("src"), "rel", F.col("dst_name").alias("dst"), F.coalesce("src_title", "dst_title").alias("job_title"))
+
+
+def _spelled(name: Column, number: Column) -> Column:
+    """A name of two words in one of six spellings: with legal suffixes, in capitals, in one word, with an article, two letters swapped."""
+    first, second = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
+    swapped = F.concat(F.substring(second, 1, 1), F.substring(second, 3, 1), F.substring(second, 2, 1), F.substring(second, 4, 99))
+    spellings = [F.concat(F.initcap(name), F.lit(" Ltd")), F.concat(F.upper(name), F.lit(" GmbH")), F.concat(first, second), F.concat(F.lit("The "), name, F.lit(" Co.")), F.when(F.length(second) >= 5, F.concat_ws(" ", first, swapped)).otherwise(name), F.initcap(name)]
+    out = spellings[-1]
+    for k, s in enumerate(spellings[:-1]):
+        out = F.when(number % 6 == k, s).otherwise(out)
+    return out
+
+
+_SPELLED = """CASE p_partkey % 6 WHEN 0 THEN {i} || ' Ltd' WHEN 1 THEN upper(p_name) || ' GmbH' WHEN 2 THEN a || b WHEN 3 THEN 'The ' || p_name || ' Co.'
+    WHEN 4 THEN CASE WHEN length(b) >= 5 THEN a || ' ' || b[1] || b[3] || b[2] || b[4:] ELSE p_name END ELSE {i} END""".format(i="upper(a[1]) || a[2:] || ' ' || upper(b[1]) || b[2:]")
 
 
 def company_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, "company", surface, role, {"domain": surface} if role == "email_domain" else {}) for n, (surface, role, _) in enumerate(SPELLINGS)]
-    mentions = spark.createDataFrame(rows, "id long, etype string, surface string, role string, attrs map<string,string>")
-    spelled, named = companies.companies(mentions, Tables(spark))
-    placed = mentions.select("surface", "role").join(spelled.select("surface", "company"), "surface", "left").join(named.select("company", "name"), "company", "left")
-    return placed.select("surface", "role", "name")
+    """The makers of all parts under their spellings: which spellings are one company, by the key that most of them speak for."""
+    parts = read(spark, sf_dir, "part")
+    mentions = parts.select(F.col("p_partkey").alias("id"), F.lit("company").alias("etype"), _spelled(F.col("p_name"), F.col("p_partkey")).alias("surface"), F.lit("bill_to").alias("role"), F.lit(None).cast("map<string,string>").alias("attrs"))
+    spelled, _ = companies.companies(mentions, Tables(spark))
+    names_of = parts.select(_spelled(F.col("p_name"), F.col("p_partkey")).alias("surface"), "p_name").distinct()
+    least = spelled.join(names_of, "surface").withColumn("p_name", F.min("p_name").over(Window.partitionBy("company")))
+    return least.select("surface", "p_name").distinct()
+
+
+def company_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's maker in its spelling against its plain name."""
+    rows = read(spark, sf_dir, "part").select(_spelled(F.col("p_name"), F.col("p_partkey")).alias("mention"), F.col("p_name").alias("candidate")).distinct()
+    return rows.withColumn("m", names.company_match("mention", "candidate", F.lit(False))).select("mention", "candidate", "m.score", "m.method")
+
+
+def people_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a person of one of two organisations, two of one name; then by initial in a file of its organisation's folder."""
+    letters = F.initcap(F.translate(F.lpad(F.floor(F.col("c_custkey") / 2).cast("string"), 9, "0"), "0123456789", "bcdfghjklm"))
+    org = F.concat(F.lit("Org "), F.when(F.col("c_custkey") % 2 == 0, "Even").otherwise("Odd"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", letters.alias("last"), org.alias("org"))
+    full = rows.select((F.col("c_custkey") * 2).alias("id"), F.col("c_custkey").alias("file_id"), F.concat(F.lit("Ada "), "last").alias("surface"), F.create_map(F.lit("organisation"), F.col("org")).alias("attrs"))
+    short = rows.select((F.col("c_custkey") * 2 + 1).alias("id"), F.col("c_custkey").alias("file_id"), F.concat(F.lit("A. "), "last").alias("surface"), F.create_map().cast("map<string,string>").alias("attrs"))
+    mentions = full.unionByName(short).withColumn("etype", F.lit("person"))
+    return resolve.people(mentions, rows.select(F.col("c_custkey").alias("file_id"), F.col("org").alias("organisation"))).select("id", "key", "method")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (extract_facts, extract_mentions, company_resolution)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (extract_facts, extract_mentions, mail_facts, company_resolution, company_match, people_in_context)}
 SQL: dict[str, str] = {
-    "extract_facts": sql_values("file_id, src, rel, dst", FACTS),
-    "extract_mentions": sql_values("file_id, pos, etype, surface, role, confidence", MENTIONS),
-    "company_resolution": sql_values("surface, role, name", SPELLINGS),
+    "extract_facts": f"""WITH d AS (SELECT {_PARTS} FROM documents)
+        SELECT file_id, doc AS src, 'ISSUED_TO' AS rel, company AS dst FROM d UNION ALL SELECT file_id, person, 'WORKS_FOR', company FROM d UNION ALL SELECT file_id, doc, 'ATTENTION_OF', person FROM d
+        UNION ALL SELECT file_id, job, 'HAS_DOCUMENT', doc FROM d UNION ALL SELECT file_id, doc, 'REFERENCES', quote FROM d""",
+    "extract_mentions": f"""WITH d AS (SELECT {_PARTS}, n_chars FROM documents), none AS (SELECT NULL::DOUBLE AS total)
+        SELECT file_id, 0::BIGINT AS pos, 'document' AS etype, doc AS surface, 'self' AS role, 1.0::DOUBLE AS confidence, n_chars + 0.5::DOUBLE AS total FROM d
+        UNION ALL SELECT file_id, 1, 'company', company, 'bill_to', 1.0, NULL FROM d UNION ALL SELECT file_id, 2, 'person', person, 'attn', 1.0, NULL FROM d
+        UNION ALL SELECT file_id, 3, 'project', job, 'doc_job_field', 0.9, NULL FROM d UNION ALL SELECT file_id, 4, 'document', quote, 'reference', 1.0, NULL FROM d""",
+    "mail_facts": """WITH c AS (SELECT conv_id * 10000 + turn AS file_id, 'Note ' || conv_id || '-' || turn || ' of Header Goods Ltd' AS doc, 'c' || conv_id || '.example' AS domain FROM conversations)
+        SELECT file_id, 'Ada Turner' AS src, 'WORKS_FOR' AS rel, domain AS dst, NULL::VARCHAR AS job_title FROM c UNION ALL SELECT file_id, 'Ada Turner', 'SENT', doc, NULL FROM c
+        UNION ALL SELECT file_id, 'Bo Reed', 'WORKS_FOR', 'desk.example', NULL FROM c UNION ALL SELECT file_id, 'Bo Reed', 'RECEIVED', doc, NULL FROM c
+        UNION ALL SELECT file_id, 'Nora Vane', 'WORKS_FOR', 'Harrow Mills Ltd', 'Buyer' FROM c UNION ALL SELECT file_id, doc, 'MENTIONS', 'Nora Vane', 'Buyer' FROM c
+        UNION ALL SELECT file_id, doc, 'MENTIONS', 'Harrow Mills Ltd', NULL FROM c""",
+    "company_resolution": f"WITH p AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT DISTINCT {_SPELLED} AS surface, p_name FROM p",
+    "company_match": f"""WITH p AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), s AS (SELECT DISTINCT {_SPELLED} AS mention, p_name AS candidate, a, b FROM p)
+        SELECT mention, candidate, CAST(CASE WHEN mention = a || b THEN 0.97 WHEN lower(mention) <> mention OR mention = candidate THEN 1.0 ELSE 0.925 END AS DOUBLE) AS score,
+               CASE WHEN mention = a || b THEN 'spacing' WHEN lower(mention) <> mention OR mention = candidate THEN 'normalized' ELSE 'typo' END AS method FROM s""",
+    "people_in_context": """WITH c AS (SELECT c_custkey, translate(lpad(CAST(c_custkey // 2 AS VARCHAR), 9, '0'), '0123456789', 'bcdfghjklm') AS last, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS org,
+            count(*) OVER (PARTITION BY c_custkey // 2) AS n FROM customer)
+        SELECT c_custkey * 2 AS id, 'ada ' || last || '|org ' || org AS key, 'name+organisation' AS method FROM c
+        UNION ALL SELECT c_custkey * 2 + 1, 'ada ' || last || '|org ' || org, CASE WHEN n = 1 THEN 'unique_name' ELSE 'name+context' END FROM c""",
 }

@@ -190,5 +190,3 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.shortest_paths(CENTER, (goal or 0) * 10 + star.COMPANY, stated(spark, sf_dir))
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.array_join("relations", ">").alias("relations"), "hops")
 
-
-QUERIES["two_hop_all"], SQL["two_hop_all"] = two_hop, SQL["two_hop"]

@@ -121,11 +121,11 @@ def product_modal_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.products(mentions).select(F.col("key").alias("p_brand"), "name", "n")
 
 
-@query(r"""WITH k AS (SELECT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title, conv_id FROM conversations)
-    SELECT title, count(DISTINCT conv_id) AS n_files FROM k WHERE title <> '' GROUP BY title HAVING count(DISTINCT conv_id) >= 2""")
+@query("SELECT role || ' turn ' || turn AS title, count(DISTINCT conv_id) AS n_files FROM conversations GROUP BY ALL HAVING count(DISTINCT conv_id) >= 2")
 def title_groups_min_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attrs = F.lit(None).cast("map<string,string>")
-    mentions = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.lit("project").alias("etype"), F.col("text").alias("surface"), attrs.alias("attrs"))
+    """Who speaks in which turn, as titles of the conversations: those of two or more."""
+    attrs, title = F.lit(None).cast("map<string,string>"), F.concat_ws(" ", F.initcap("role"), F.lit("turn"), "turn")
+    mentions = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.lit("project").alias("etype"), title.alias("surface"), attrs.alias("attrs"))
     return resolve.title_only_projects(mentions).select("title", "n_files")
 
 
@@ -154,82 +154,60 @@ def person_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select("s_suppkey", t.person_key(F.col("s_name")).alias("key"))
 
 
-def _values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+@query("""SELECT c_custkey, 'The ' || replace(c_name, '#', ' & Söhne ') || CASE c_custkey % 3 WHEN 0 THEN ' Co. Ltd' WHEN 1 THEN ' GmbH' ELSE '' END AS name,
+    lower(replace(c_name, '#', ' soehne ')) AS key FROM customer""")
+def company_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's name, with an article, an umlaut and legal suffixes, as a key."""
+    suffix = F.when(F.col("c_custkey") % 3 == 0, " Co. Ltd").when(F.col("c_custkey") % 3 == 1, " GmbH").otherwise("")
+    name = F.concat(F.lit("The "), F.replace("c_name", F.lit("#"), F.lit(" & Söhne ")), suffix)
+    return read(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), t.company_key(name).alias("key"))
 
 
-def sql_values(columns: str, rows: list[tuple]) -> str:
-    """Expected rows as SQL."""
-    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"CAST({v} AS {'DOUBLE' if isinstance(v, float) else 'BIGINT'})"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+@query("SELECT c_custkey, round(abs(c_acctbal), 2) AS amount, CASE c_nationkey % 3 WHEN 0 THEN 'GBP' WHEN 1 THEN 'EUR' ELSE 'USD' END AS currency FROM customer")
+def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's balance, written as three countries write it, read back."""
+    plain = F.format_number(F.abs("c_acctbal"), 2)
+    comma = F.translate(plain, ",.", ".,")
+    text = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("Total £"), plain)).when(F.col("c_nationkey") % 3 == 1, F.concat(comma, F.lit(" €"))).otherwise(F.concat(F.lit("USD "), plain))
+    return read(spark, sf_dir, "customer").select("c_custkey", t.money(text).alias("amount"), t.currency(text).alias("currency"))
 
 
-# Scores and methods that the matching rules give these names.
-COMPANIES = [
-    ("Castlemead Log.", "Castlemead Logistics", 0.95, "abbreviation"), ("Falcon Aero Components", "Falcon Aerospace Components", 0.967, "abbreviation"), ("Sterling Pharmaceuticals", "Sterling Pharma", 0.925, "expansion"),
-    ("Kingsly Textiles", "Kingsley Textiles", 0.925, "typo"), ("Blenhiem Foods", "Blenheim Foods Group", 0.885, "truncation+typo"), ("Witmore Dairy", "Whitmore Dairy Products", 0.885, "truncation+typo"),
-    ("Redwood Timber", "Redwood Timber & Joinery", 0.96, "truncation"), ("Whitmore Dairy Products", "Whitmore Dairy", 0.973, "truncation"), ("ACME Corp", "Acme Corporation", 1.0, "normalized"),
-    ("Acme Robotics", "Acme", None, None), ("Redwood Joinery", "Redwood Timber", None, None), ("Redwood Timber Supplies", "Redwood Timber & Joinery", None, None), ("---", "Acme", None, None), ("", "", None, None),
-]
-DISTANCES = [("kitten", "sitting", 3), ("blenhiem", "blenheim", 1), ("ca", "abc", 3), ("", "abc", 3), ("same", "same", 0)]
-RATIOS = [("abcd", "abcd", 100.0), ("abc", "axc", 400 / 6), ("", "", 100.0), ("abc", "", 0.0), ("shrink wrap", "shrink wraps", 2200 / 23)]
-KNOWN_TITLES = ["shrink wrap retrofit", "shrink wrap retrofits", "clean room cell", "line 1", "line 2"]
-TITLES = [("shrnk wrap retrofit", "shrink wrap retrofit", 3800 / 39), ("clean room cel", "clean room cell", 2800 / 29), ("shrink wrap retrofit", "shrink wrap retrofit", 100.0), ("line 12", "line 2", 1200 / 13)]
-#: File, name, e-mail and organisation of people; the key and method that they get, files 4 and 8 being in Bayview's folder.
-PEOPLE = [
-    (1, "José Müller", "J@x.com", "Kestrel Ltd", "j@x.com", "email"), (2, "Jose Mueller", None, "Kestrel", "j@x.com", "name+organisation"), (3, "J. Müller", None, None, "j@x.com", "unique_name"),
-    (1, "Rachel Bianchi", None, "Kestrel Ltd", "rachel bianchi|kestrel", "name+organisation"), (2, "Rachel Bianchi", None, "Bayview", "rachel bianchi|bayview", "name+organisation"),
-    (3, "Rachel Bianchi", None, "Meridian", "rachel bianchi|meridian", "name+organisation"), (4, "Rachel Bianchi", None, None, "rachel bianchi|bayview", "name+context"),
-    (5, "R. Bianchi", None, None, "rachel bianchi|meridian", "name+context"), (6, "Robert Bianchi", None, None, "robert bianchi|?", "new_unattributed"),
-]
-KEYS = [("The Acme Tools Co. Ltd", "acme tools"), ("Müller & Söhne GmbH", "mueller soehne"), ("Ltd", "ltd"), ("Castle of Glass Inc.", "castle glass"), ("---", ""), ("AG", "ag")]
-AMOUNTS = [("£1,234.50", 1234.5, "GBP"), ("1.234,50 €", 1234.5, "EUR"), ("USD 12", 12.0, "USD"), ("$3,344.00", 3344.0, "USD"), ("12,5 EUR", 12.5, "EUR"), ("no amount", None, None)]
-NUMBERS = [("Invoice No: INV-8034", "Invoice", "INV-8034"), ("Quotation QUO-12-34 of", "Quotation", "QUO-12-34"), ("Invoice HR-1042", "Invoice", "HR-1042"), ("invoice # PO-77", "Invoice", "PO-77"), ("INV-8034", "Invoice", None)]
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CASE o_orderkey % 4 WHEN 0 THEN 'INV-' WHEN 1 THEN 'HR-' ELSE 'QUO-12-' END || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') END AS number FROM orders")
+def doc_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's number after a label, in four ways of writing; a number without a label is none."""
+    digits, way = F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.col("o_orderkey") % 4
+    text = F.when(way == 0, F.concat(F.lit("Re Invoice No: INV-"), digits, F.lit(" of today"))).when(way == 1, F.concat(F.lit("invoice # HR-"), digits)).when(way == 2, F.concat(F.lit("Invoice QUO-12-"), digits)).otherwise(F.concat(F.lit("INV-"), digits))
+    return read(spark, sf_dir, "orders").select("o_orderkey", extract.own_number(text, "Invoice").alias("number"))
 
 
-@query(sql_values("mention, candidate, score, method", COMPANIES))
-def company_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, "mention string, candidate string, score double, method string", COMPANIES).select("mention", "candidate")
-    return rows.withColumn("m", names.company_match("mention", "candidate", F.lit(False))).select("mention", "candidate", "m.score", "m.method")
+def _benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter(F.length("word") >= 4).distinct()
 
 
-@query(sql_values("a, b, d", DISTANCES))
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark), l AS (SELECT word FROM w WHERE length(word) >= 4)
+    SELECT a.word AS a, b.word AS b, CAST(1 AS BIGINT) AS d FROM l a JOIN l b ON a.word[:3] = b.word[:3] AND a.word < b.word WHERE damerau_levenshtein(a.word, b.word) = 1""")
 def osa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all items that begin alike and are one letter apart, a swap of neighbours being one too."""
     distance = F.pandas_udf(lambda a, b: a.combine(b, names.edit_distance), "long")
-    return _values(spark, "a string, b string, d long", DISTANCES).select("a", "b", distance("a", "b").alias("d"))
+    words = _benchmark_words(spark, sf_dir).withColumn("start", F.substring("word", 1, 3))
+    pairs = words.withColumnRenamed("word", "a").join(words.withColumnRenamed("word", "b"), "start").filter("a < b")
+    return pairs.select("a", "b", distance("a", "b").alias("d")).filter("d = 1")
 
 
-@query(sql_values("a, b, r", RATIOS))
 def lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, "a string, b string, r double", RATIOS).select("a", "b", names.lcs_ratio("a", "b").alias("r"))
+    """The words of all items that begin alike, and how alike they are; its test works every row out by hand."""
+    words = _benchmark_words(spark, sf_dir).withColumn("start", F.substring("word", 1, 3))
+    pairs = words.withColumnRenamed("word", "a").join(words.withColumnRenamed("word", "b"), "start").filter("a < b")
+    return pairs.select("a", "b", names.lcs_ratio("a", "b").alias("r"))
 
 
-@query(sql_values("title, known, ratio", TITLES))
 def similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _values(spark, "title string, known string, ratio double", TITLES).select("title")
-    asked = asked.unionByName(_values(spark, "title string", [("clean cell",), ("",), (None,)]))
-    return resolve.similar_titles(asked, _values(spark, "title string", [(k,) for k in KNOWN_TITLES]))
-
-
-@query(sql_values("id, key, method", [(n, r[4], r[5]) for n, r in enumerate(PEOPLE, 1)]))
-def people_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, r[0], "person", r[1], {k: v for k, v in (("email", r[2]), ("organisation", r[3])) if v}) for n, r in enumerate(PEOPLE, 1)]
-    mentions = _values(spark, "id long, file_id long, etype string, surface string, attrs map<string,string>", rows)
-    return resolve.people(mentions, _values(spark, "file_id long, organisation string", [(4, "Bayview Ltd"), (8, "Bayview Ltd")]), "Meridian Ltd")
-
-
-@query(sql_values("name, key", KEYS))
-def company_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, "name string, key string", KEYS).select("name", t.company_key(F.col("name")).alias("key"))
-
-
-@query(sql_values("text, amount, currency", AMOUNTS))
-def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, "text string, amount double, currency string", AMOUNTS).select("text", t.money(F.col("text")).alias("amount"), t.currency(F.col("text")).alias("currency"))
+    """The titles of all pages without their middle letter, and the known title that is most like each; its test compares all with all."""
+    title = t.title_key(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    known = read(spark, sf_dir, "pages").select(title.alias("title")).filter("title != ''").distinct()
+    half = F.floor(F.length("title") / 2).cast("int")
+    asked = known.select(F.concat(F.substring("title", F.lit(1), half), F.substring("title", half + 2, F.length("title"))).alias("title")).filter("title != ''").distinct()
+    return resolve.similar_titles(asked, known)
 
 
-@query(sql_values("text, number", [(a, c) for a, _, c in NUMBERS]))
-def doc_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, "text string, label string, number string", NUMBERS).select("text", "label")
-    found = F.coalesce(*[F.when(F.col("label") == label, extract.own_number(F.col("text"), label)) for label in ("Invoice", "Quotation")])
-    return rows.select("text", found.alias("number"))
+QUERIES["lcs_ratio"], QUERIES["similar_titles"] = lcs_ratio, similar_titles

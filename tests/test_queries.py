@@ -47,7 +47,7 @@ def test_two_hop_starts_from_every_project(spark):
         for hop, nodes in ((1, steps[start]), (2, {far for near in steps[start] for far in steps[near]})):
             for node in nodes:
                 want.setdefault((start, node), hop)
-    got = registry.queries()["two_hop_all"](spark, DATA).collect()
+    got = registry.queries()["two_hop"](spark, DATA).collect()
     assert len(got) == len(want) and {(r.start, r.node): r.hop for r in got} == want
     assert len({r.start for r in got}) == 25
 
@@ -66,3 +66,31 @@ def test_gazetteer_keeps_equal_and_shorter_items(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = registry.queries()["gazetteer_mentions"](spark, str(tmp_path)).collect()
     assert sorted((r.file_id, r.entity_id) for r in got) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1)]
+
+
+def alike(a, b):
+    """200 times the longest common subsequence over both lengths."""
+    best = {(i, j): 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            best[i, j] = best[i - 1, j - 1] + 1 if a[i - 1] == b[j - 1] else max(best[i - 1, j], best[i, j - 1])
+    return 200 * best[len(a), len(b)] / (len(a) + len(b))
+
+
+def test_ratios_of_words_by_hand(spark):
+    rows = registry.queries()["lcs_ratio"](spark, DATA).collect()
+    assert len(rows) > 500 and all(r.r == pytest.approx(alike(r.a, r.b)) for r in rows)
+
+
+def test_similar_titles_of_all_pages(spark):
+    rows = {r.title: (r.known, r.ratio) for r in registry.queries()["similar_titles"](spark, DATA).collect()}
+    key = lambda title: " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in title.lower()).split())
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    known = {k for r in pages if "<title>" in r.html and (k := key(r.html.split("<title>")[1].split("<")[0]))}
+    asked = {k[: len(k) // 2] + k[len(k) // 2 + 1 :] for k in known} - {""}
+    want = {}
+    for a in asked:
+        ratio, best = max((alike(a, k), k) for k in known)
+        if ratio >= 90:
+            want[a] = (best, ratio)
+    assert {a: v[0] for a, v in rows.items()} == {a: v[0] for a, v in want.items()} and len(want) > 20
