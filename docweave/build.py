@@ -151,7 +151,9 @@ def relate_stage(files: DataFrame, mentions: DataFrame, facts: DataFrame, entiti
     stated = tables.save(relate.entity_facts(facts, mentions), "stated")
     names = relate.searchable_aliases(aliases, entities, owner_key)
     texts = files.filter("status = 'ok' and text is not null").select(F.col("id").alias("file_id"), "text")
-    more = relate.link_gazetteer(stated, relate.gazetteer_mentions(texts, names), mentions)
+    named = tables.save(relate.text_mentions(relate.gazetteer_mentions(texts, names), mentions, entities), "text-mentions")
+    more = relate.link_gazetteer(named, mentions)
+    mentions = mentions.unionByName(named)
     every = tables.save(stated.select("file_id", "src", "rel", "dst").unionByName(more.select("file_id", "src", "rel", "dst")), "all-facts")
     edges = tables.save(relate.derive(relate.relations(every), entities), "edges")
     numbered = tables.save(ranked(edges, tables, "edge-ids", F.col("src"), F.col("dst"), F.col("rel")), "relations")

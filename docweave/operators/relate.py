@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,40 +101,69 @@ _BETWEEN = r"(?<![\p{L}\p{N}_])|(?![\p{L}\p{N}_])"
 LOOKUP_NAMES, LOOKUP_BYTES = 100_000, 8 << 20
 
 
+def _word(character: str) -> bool:
+    return character.isalnum() or character == "_"
+
+
+def _apart(hits: list[tuple[int, int]]) -> list[int]:
+    """Numbers of the ``(start, end)`` that stay: the leftmost, of several the longest, and on from its end; equal ones all."""
+    order, kept, free, last = sorted(range(len(hits)), key=lambda i: (hits[i][0], -hits[i][1])), [], 0, None
+    for i in order:
+        if hits[i] == last or hits[i][0] >= free:
+            kept.append(i)
+            last, free = hits[i], hits[i][1]
+    return kept
+
+
 def _looked_up(texts: DataFrame, names: list[tuple[str, int]], longest: bool) -> DataFrame:
-    """Occurrences of a bounded list of aliases, a batch of texts at a time."""
-    tokens = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]", regex.DOTALL)
-    inner = regex.compile(r"[\p{L}\p{N}_]{2}")
-    by_first: dict[str, list[tuple[str, int]]] = {}
-    for alias, entity_id in names:
-        if alias:
-            by_first.setdefault(tokens.match(alias)[0], []).append((alias, entity_id))
+    """Occurrences of a bounded list of aliases: one automaton with failure links finds all of them in one pass over a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entities: dict[str, list[int]] = {}
+        for alias, entity_id in names:
+            if alias:
+                entities.setdefault(alias, []).append(entity_id)
+        automaton = ahocorasick.Automaton()
+        for alias in entities:
+            automaton.add_word(alias, alias)
+        automaton.make_automaton()
         for batch in batches:
             rows: list[tuple] = []
             for file_id, text in zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for place, token in enumerate(tokens.finditer(text or "")):
-                    found = by_first.get(token[0])
-                    if found is None:
-                        continue
-                    at = token.start()
-                    hits = [(file_id, e, a, place) for a, e in found if text.startswith(a, at) and not inner.match(text, at + len(a) - 1)]
-                    most = max((len(h[2]) for h in hits), default=0)
-                    rows += [h for h in hits if not longest or len(h[2]) == most]
+                if not text or not entities:
+                    continue
+                found, aliases = [], []
+                for last, alias in automaton.iter(text):
+                    at, end = last + 1 - len(alias), last + 1
+                    if at and _word(text[at]) and _word(text[at - 1]) or end < len(text) and _word(text[end]) and _word(text[last]):
+                        continue  # within a word
+                    found.append((at, end))
+                    aliases.append(alias)
+                for i in _apart(found) if longest else range(len(found)):
+                    rows += [(file_id, e, aliases[i], found[i][0]) for e in entities[aliases[i]]]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int32()), strict=True)], names=["file_id", "entity_id", "alias", "start"])
 
     return texts.select(F.col("file_id").cast("long"), "text").mapInArrow(run, "file_id long, entity_id long, alias string, start int")
 
 
+def _without_overlaps(hits: DataFrame) -> DataFrame:
+    """Of the occurrences in each file the leftmost and longest that do not overlap; a task holds one file's."""
+
+    def run(_key: tuple, rows: pa.Table) -> pa.Table:
+        spans = [(at, at + len(alias)) for at, alias in zip(rows.column("start").to_pylist(), rows.column("alias").to_pylist(), strict=True)]
+        return rows.take(pa.array(_apart(spans), pa.int64()))
+
+    return hits.groupBy("file_id").applyInArrow(run, hits.schema)
+
+
 def gazetteer_mentions(texts: DataFrame, names: DataFrame, longest: bool = True) -> DataFrame:
     """``file_id, entity_id, alias, start`` for each whole-word, case-sensitive occurrence of an alias in
-    ``file_id, text``. Of occurrences that begin at one place the longest is reported, for every entity with that
-    alias (``searchable_aliases`` gives unique ones); without ``longest``, all are.
+    ``file_id, text``, ``start`` being its first character's place. Occurrences are read from left to right, the longest of those that begin at one place,
+    and the next one begins after its end; an alias of several entities is reported for each (``searchable_aliases`` gives unique ones).
+    Without ``longest``, all occurrences are reported, overlapping ones too.
 
-    Aliases counted as few are sent to the tasks, which look each token of a text up among the aliases' first tokens and compare the
-    alias in place. More aliases meet the texts in an equi-join of their first one to three tokens; only where they meet is the whole
+    Aliases counted as few are sent to the tasks, which find them all in one pass over a text. More aliases meet the texts in an equi-join of their first one to three tokens; only where they meet is the whole
     alias compared. No pattern of all aliases and no pair of every text and alias is made.
     """
     size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("alias")), F.lit(0)).alias("bytes")).first()
@@ -152,14 +181,29 @@ def gazetteer_mentions(texts: DataFrame, names: DataFrame, longest: bool = True)
     )
     met = heads.join(keyed, ["head", "k"]).join(parts, "file_id")
     hits = met.filter(F.array_join(F.slice("parts", F.col("start") + 1, F.col("n")), "") == F.col("alias"))
-    if longest:
-        hits = hits.withColumn("most", F.max("n").over(Window.partitionBy("file_id", "start"))).filter("n = most")
-    return hits.select("file_id", "entity_id", "alias", "start")
+    place = F.aggregate(F.slice("parts", F.lit(1), F.col("start")), F.lit(0), lambda n, x: n + F.length(x))
+    hits = hits.select(F.col("file_id").cast("long"), F.col("entity_id").cast("long"), "alias", place.alias("start"))
+    return _without_overlaps(hits) if longest else hits
+
+
+# Fixed value: how sure a name found in a text is.
+GAZETTEER_CONFIDENCE = 0.6
+
+
+def text_mentions(hits: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Mentions, resolved by method ``gazetteer``, of what a file's text names and no mention of the file has yet: one for each entity, under
+    the first of its names found. Only files that are a document have them; they come after the file's other mentions."""
+    own = mentions.groupBy("file_id").agg(F.max("pos").alias("last"), F.max("id").alias("last_id"), F.max((F.col("role") == "self") & F.col("entity_id").isNotNull()).alias("is_document")).filter("is_document")
+    linked = mentions.filter("entity_id is not null").select("file_id", "entity_id").distinct()
+    new = hits.groupBy("file_id", "entity_id").agg(F.min("alias").alias("surface")).join(linked, ["file_id", "entity_id"], "left_anti").join(own, "file_id")
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("surface", "entity_id"))
+    rows = new.withColumn("nth", nth).join(entities.select(F.col("id").alias("entity_id"), "etype"), "entity_id")
+    values = {"id": F.col("last_id") + F.col("nth"), "pos": F.col("last") + F.col("nth"), "role": F.lit("text_mention"), "confidence": F.lit(GAZETTEER_CONFIDENCE), "method": F.lit("gazetteer")}
+    known = {"file_id", "etype", "surface", "entity_id"}
+    return rows.select(*[(values[f.name] if f.name in values else F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in mentions.schema.fields])
 
 
-def link_gazetteer(facts: DataFrame, hits: DataFrame, mentions: DataFrame) -> DataFrame:
-    """MENTIONS facts from a file's own document to what its text names, unless the file links the two already."""
+def link_gazetteer(named: DataFrame, mentions: DataFrame) -> DataFrame:
+    """MENTIONS facts from a file's own document to what ``text_mentions`` found in it."""
     own = mentions.filter("role = 'self' and entity_id is not null").select("file_id", F.col("entity_id").alias("src")).distinct()
-    linked = facts.select("file_id", F.col("src").alias("entity_id")).union(facts.select("file_id", "dst")).distinct()
-    new = hits.select("file_id", "entity_id").distinct().join(linked, ["file_id", "entity_id"], "left_anti")
-    return new.join(own, "file_id").select("file_id", "src", F.lit("MENTIONS").alias("rel"), F.col("entity_id").alias("dst"))
+    return named.select("file_id", F.col("entity_id").alias("dst")).join(own, "file_id").filter("src != dst").select("file_id", "src", F.lit("MENTIONS").alias("rel"), "dst")

@@ -333,7 +333,8 @@ def free_text(s: Settings, text: Column, lines: Column) -> Column:
     named = F.transform(t.company_names(text), lambda n: link("company", n, "free_text", "MENTIONS", confidence=0.6))
     if s.owner:
         named = F.filter(named, lambda k: F.lower(k["surface"]) != s.owner.lower())
-    numbers = F.array_distinct(F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(x.labelled(label)), 1), lambda n, kind=kind: F.struct(n.alias("number"), F.lit(kind).alias("kind"))) for kind, label in x.LABELS.items()])))
+    of_kind = lambda kind, label: F.transform(F.regexp_extract_all(text, F.lit(x.labelled(label)), 1), lambda n: F.struct(n.alias("number"), F.lit(kind).alias("kind")))
+    numbers = F.array_distinct(F.flatten(F.array(*[of_kind(*item) for item in x.LABELS.items()])))
     labelled = F.transform(numbers, lambda n: link("document", n["number"], "free_text", "MENTIONS", confidence=0.6, key=n["number"], doc_type=n["kind"]))
     return F.concat(written, F.transform(places, signature), named, labelled)
 

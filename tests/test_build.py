@@ -11,7 +11,7 @@ from docweave.tables import Tables, ranked, roots
 
 from .test_templates import COLUMNS, INVOICE, JOB, MAIL, PATTERNS
 
-FILES = [(JOB + "INV-8034_Acme Corporation.pdf", "pdf", INVOICE), (JOB + "INV-8034_v2.pdf", "pdf", INVOICE), ("Admin/Mail/re_schedule.eml", "eml", MAIL), ("Admin/Notes/random_note.txt", "text", "Nothing to see here.")]
+FILES = [(JOB + "INV-4417_Brightwell Orchards.pdf", "pdf", INVOICE), (JOB + "INV-4417_v2.pdf", "pdf", INVOICE), ("Admin/Mail/re_schedule.eml", "eml", MAIL), ("Admin/Notes/random_note.txt", "text", "Nothing to see here.")]
 
 
 @pytest.fixture(scope="module")
@@ -19,36 +19,36 @@ def graph(spark, tmp_path_factory):
     made = [(n, path, None, f"{n:064d}", kind, "ok", text) for n, (path, kind, text) in enumerate(FILES, 1)]
     files = ops.with_context(spark.createDataFrame(made, COLUMNS), PATTERNS)
     out = str(tmp_path_factory.mktemp("graph") / "g")
-    return build.build_from_files(files, out, build.Options(job_id=r"JOB-\d{4}-\d{4}", owner="Meridian Packaging Systems Ltd"))
+    return build.build_from_files(files, out, build.Options(job_id=r"JOB-\d{4}-\d{4}", owner="Farrow Handling Ltd"))
 
 
 def test_entities(graph):
     rows = {(r.etype, r.name): r for r in graph.read("entities").collect()}
-    assert sorted(n for e, n in rows if e == "company") == ["Acme Corporation", "Meridian Packaging Systems Ltd"]
-    assert [n for e, n in rows if e == "project"] == ["Shrink Wrap Retrofit"] and [n for e, n in rows if e == "product"] == ["Case Sealer CS-110"]
-    assert sum(n == "Thomas Bianchi" for e, n in rows if e == "person") == 1
-    invoice = rows["document", "INV-8034"].attrs
-    assert invoice["versions"] == '["INV-8034_v2"]' and len(invoice["files"].split(",")) == 2 and invoice["doc_type"] == "invoice"
-    assert rows["document", "QUO-9999"].attrs["missing"] == "1" and not [n for e, n in rows if n == "random_note"]
-    assert rows["company", "Acme Corporation"].attrs == {"role": "customer", "domain": "acmecorp.com"}
+    assert sorted(n for e, n in rows if e == "company") == ["Brightwell Orchards", "Farrow Handling Ltd"]
+    assert [n for e, n in rows if e == "project"] == ["Cold Store Extension"] and [n for e, n in rows if e == "product"] == ["Pallet Lift PL-240"]
+    assert sum(n == "Oskar Lindqvist" for e, n in rows if e == "person") == 1
+    invoice = rows["document", "INV-4417"].attrs
+    assert invoice["versions"] == '["INV-4417_v2"]' and len(invoice["files"].split(",")) == 2 and invoice["doc_type"] == "invoice"
+    assert rows["document", "QUO-3105"].attrs["missing"] == "1" and not [n for e, n in rows if n == "random_note"]
+    assert rows["company", "Brightwell Orchards"].attrs == {"role": "customer", "domain": "brightwell.com"}
 
 
 def test_mentions(graph):
     rows = graph.read("mentions").collect()
-    acme = graph.read("entities").filter("name = 'Acme Corporation'").first().id
-    assert {r.surface for r in rows if r.entity_id == acme} == {"Acme Corporation", "ACME Corp", "acmecorp.com"}
+    acme = graph.read("entities").filter("name = 'Brightwell Orchards'").first().id
+    assert {r.surface for r in rows if r.entity_id == acme} == {"Brightwell Orchards", "BRIGHTWELL Orch.", "brightwell.com"}
     assert {r.method for r in rows if r.etype == "project"} == {"job_id", "title+company", "unique_title"}
-    assert {r.method for r in rows if r.surface == "acmecorp.com"} == {"email_domain"} and {r.method for r in rows if r.surface == "gmail.com"} == {"generic_domain"}
+    assert {r.method for r in rows if r.surface == "brightwell.com"} == {"email_domain"} and {r.method for r in rows if r.surface == "gmail.com"} == {"generic_domain"}
     assert [r.method for r in rows if r.surface == "random_note"] == ["orphan"]
 
 
 def test_relations(graph):
     names = {r.id: r.name for r in graph.read("entities").collect()}
     rows = {(names[r.src], r.rel, names[r.dst]): r for r in graph.read("relations").collect()}
-    issued = rows["INV-8034", "ISSUED_TO", "Acme Corporation"]
+    issued = rows["INV-4417", "ISSUED_TO", "Brightwell Orchards"]
     assert issued.weight == 2 and graph.read("relation_evidence").filter(F.col("relation_id") == issued.id).count() == 2
     involved = [r for k, r in rows.items() if k[1] == "INVOLVED_IN"]
-    assert involved and all(r.derived == 1 for r in involved) and ("Acme Corporation", "PURCHASED_OR_QUOTED", "Case Sealer CS-110") in rows
+    assert involved and all(r.derived == 1 for r in involved) and ("Brightwell Orchards", "PURCHASED_OR_QUOTED", "Pallet Lift PL-240") in rows
     assert graph.read("relation_evidence").filter(F.col("relation_id").isin([r.id for r in involved])).count() == 0
 
 
@@ -94,21 +94,21 @@ def test_ranks_and_roots(spark):
 def test_api(spark, graph):
     api = Graph(spark, graph.root)
     ids = {r.name: r.id for r in api.entities.collect()}
-    acme, invoice = ids["Acme Corporation"], ids["INV-8034"]
+    acme, invoice = ids["Brightwell Orchards"], ids["INV-4417"]
     stats = {(r.part, r.kind): r.n for r in api.stats().collect()}
     assert stats["entities", "company"] == 2 and stats["files", "ok"] == 4 and stats["methods", "document:orphan"] == 1
-    page = api.search(text="acme").collect()
-    assert [r.name for r in page][:1] == ["Acme Corporation"] and page[0].subtitle == "customer" and page[0].total == len(page)
+    page = api.search(text="brightwell").collect()
+    assert [r.name for r in page][:1] == ["Brightwell Orchards"] and page[0].subtitle == "customer" and page[0].total == len(page)
     card = api.entity(acme)
-    assert {r.alias for r in card["aliases"].collect()} == {"Acme Corporation", "ACME Corp", "acmecorp.com"} and card["sources"].count() >= 3
+    assert {r.alias for r in card["aliases"].collect()} == {"Brightwell Orchards", "BRIGHTWELL Orch.", "brightwell.com"} and card["sources"].count() >= 3
     drawn = api.neighbourhood(acme, limit=3)
     assert drawn["nodes"].count() == 3 and drawn["hidden"].count() > 0 and api.neighbourhood()["nodes"].count() == 2
     issued = api.edges.filter((F.col("src") == invoice) & (F.col("rel") == "ISSUED_TO")).first().id
     assert api.explain_relation(issued)["files"].count() == 2
     bought = api.explain_relation(api.edges.filter("rel = 'PURCHASED_OR_QUOTED'").first().id)
-    assert [r.key for r in bought["via"].collect()] == ["INV-8034"] and bought["relation"].first().rule
-    assert api.connection(ids["Sam Jones"], acme).first().hops >= 2 and api.connection(acme, acme).count() == 0
-    assert {r.alias for r in api.spellings("acme corp").collect()} >= {"ACME Corp"} and api.file(1)["mentions"].count() > 5
+    assert [r.key for r in bought["via"].collect()] == ["INV-4417"] and bought["relation"].first().rule
+    assert api.connection(ids["Ida Moreno"], acme).first().hops >= 2 and api.connection(acme, acme).count() == 0
+    assert {r.alias for r in api.spellings("brightwell orchards ltd").collect()} >= {"Brightwell Orchards"} and api.file(1)["mentions"].count() > 5
     assert api.related(acme, "issued_to").count() == 1
-    assert [r.name for r in api.preset("customers").collect()] == ["Acme Corporation"] and api.preset("owner").first().reason == "given"
+    assert [r.name for r in api.preset("customers").collect()] == ["Brightwell Orchards"] and api.preset("owner").first().reason == "given"
     assert {r.etype: r.n for r in api.preset("entities").collect()}["company"] == 2 and api.preset("people").count() >= 2
