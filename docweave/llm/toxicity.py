@@ -31,7 +31,7 @@ EPOCHS, RATE, DECAY, SEED = 12, 0.05, 1e-6, 7
 GAIN = 6.0
 #: An n-gram is learned only if it is in so many documents of the sample, or in this share of them if that is more.
 MIN_DOCS, MIN_SHARE = 3, 0.002
-CACHE = 200_000
+CACHE = 400_000
 
 _WORDS = re.compile(r"\w+")
 _MAX_WORD = 40  # a longer word is taken in pieces
