@@ -74,9 +74,9 @@ def company_key(name: Column) -> Column:
 
 
 def has_legal_suffix(name: Column, suffixes: tuple[str, ...] = LEGAL_SUFFIXES) -> Column:
-    """Whether a name of several words ends in a legal suffix."""
-    last = F.regexp_extract(F.lower(name), r"[\s,]([a-z]+)\.?\s*$", 1)
-    return last.isin(*suffixes)
+    """Whether any word of a name is a legal suffix."""
+    words = F.split(F.regexp_replace(F.lower(plain_letters(name)), "[^a-z0-9]+", " "), " ")
+    return F.coalesce(F.exists(words, lambda w: w.isin(*suffixes)), F.lit(False))
 
 
 def person_key(name: Column) -> Column:

@@ -37,7 +37,7 @@ def mail_domain(files: DataFrame) -> DataFrame:
 def named_for(files: DataFrame, domain: str) -> str | None:
     """The organisation that most files name, at least two, of those that a domain can stand for."""
     named = files.filter("text is not null").select("id", F.explode(t.company_names(F.col("text"))).alias("name")).groupBy("name").agg(F.countDistinct("id").alias("n"))
-    fits = F.udf(lambda name: n.match_domain(domain, name) is not None, "boolean")
+    fits = F.pandas_udf(lambda names: names.map(lambda name: n.match_domain(domain, name) is not None).astype("bool"), "boolean")
     best = named.filter(F.col("n") >= MIN_NAMING).filter(fits("name")).orderBy(F.desc("n"), "name").first()
     return best["name"] if best else None
 

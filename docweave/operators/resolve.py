@@ -55,8 +55,10 @@ def documents(mentions: DataFrame, parties: DataFrame) -> DataFrame:
 
 
 def merged_attributes(mentions: DataFrame, names: list[str], conflicting: tuple[str, ...] = ("total", "date", "job_title")) -> DataFrame:
-    """``entity_id``, the first value of each attribute by mention id, and ``conflicts``: all values of those that differ."""
-    order = lambda n: F.when(F.col("attrs")[n].isNotNull(), F.col("id"))
+    """``entity_id``, the first value of each attribute by mention id, and ``conflicts``: all values of those that differ. A type of
+    ``other`` gives way to the first that says more."""
+    vague = lambda n: (F.col("attrs")[n] == "other") if n == "doc_type" else F.lit(False)
+    order = lambda n: F.when(F.col("attrs")[n].isNotNull(), F.struct(vague(n).alias("vague"), "id"))
     first = [F.min_by(F.col("attrs")[n], order(n)).alias(n) for n in names]
     values = [F.sort_array(F.collect_set(F.col("attrs")[n])).alias(f"all_{n}") for n in conflicting if n in names]
     merged = mentions.filter("entity_id is not null").groupBy("entity_id").agg(*first, *values)

@@ -16,7 +16,7 @@ def values(spark, function, inputs):
         (t.lines, ["a\r\n\n  b \t\n", "", None], [["a", "b"], [], None]),
         (t.collapse_spaces, ["  a \n b ", None], ["a b", None]),
         (t.company_key, ["The Acme & Sons Ltd.", "Müller GmbH", "Ltd", "Bank of Élan plc"], ["acme sons", "mueller", "ltd", "bank elan"]),
-        (t.has_legal_suffix, ["Acme Ltd.", "Acme", "Foo, Inc"], [True, False, True]),
+        (t.has_legal_suffix, ["Acme Ltd.", "Acme", "Foo, Inc", "Harbor Robotics Ltd Group", "Ltdx", None], [True, False, True, True, False, False]),
         (t.person_key, ["José Müller", "O'Neil  Ann"], ["jose mueller", "o neil ann"]),
         (t.person_key_folded, ["José Müller"], ["jose muller"]),
         (t.person_initial_form, ["Thomas van Bianchi"], ["t bianchi"]),

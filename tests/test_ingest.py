@@ -113,7 +113,11 @@ def test_broken_members_do_not_end_the_job(spark, tmp_path):
     got = {r.path: r for r in rows}
     assert got["bad.zip::a"].text == "first" and got["bad.zip::b"].status == "corrupt" and "odd.eml" in got
     assert [r.id for r in rows] == list(range(1, len(rows) + 1)) and [r.path for r in rows][:3] == ["bad.zip", "bad.zip::a", "bad.zip::b"]
-    assert got["bad.zip::a"].parent_id == got["bad.zip"].id and max(r.path.count("::") for r in rows) == ingest.MAX_DEPTH
+    assert got["bad.zip::a"].parent_id == got["bad.zip"].id and max(r.path.count("::") for r in rows) == ingest.MAX_DEPTH + 1
+    last = max(rows, key=lambda r: r.path.count("::"))
+    assert last.status == "corrupt" and last.error == "not opened: it lies in too many containers" and sum(r.error == last.error for r in rows) == 1
+    every = ingest.ingest(spark, str(folder), max_depth=40).collect()
+    assert next(r for r in every if r.path.count("::") == 31).text == "deep" and not [r for r in every if r.error and "too many" in r.error]
 
 
 def test_member_names_and_repeated_members():
@@ -121,7 +125,7 @@ def test_member_names_and_repeated_members():
     with zipfile.ZipFile(out, "w") as archive:
         archive.writestr("a.txt", "one")
         archive.writestr("a.txt", "two")
-    found = list(ingest._expand("z.zip", out.getvalue(), None, None, set()))
+    found = list(ingest._expand("z.zip", out.getvalue(), None, None, set(), 16))
     assert [(r[0], r[8]) for r in found] == [("z.zip", None), ("z.zip::a.txt", "one")]
     named = zipfile.ZipInfo("caf├⌐.txt")  # the bytes of an UTF-8 name read as CP437
     named.flag_bits = 0

@@ -67,6 +67,11 @@ def test_merged_attributes(spark):
     assert (row.total, row.date, row.conflicts) == ("5", "x", {"total": ["5", "6"]})
 
 
+def test_another_type_replaces_other(spark):
+    rows = mentions(spark, (1, "document", "a", "self", {"doc_type": "other"}, 7), (2, "document", "a", "self", {"doc_type": "quote"}, 7), (3, "document", "a", "self", {"doc_type": "invoice"}, 7), (4, "document", "b", "self", {"doc_type": "other"}, 8))
+    assert {r.entity_id: r.doc_type for r in resolve.merged_attributes(rows, ["doc_type"]).collect()} == {7: "quote", 8: "other"}
+
+
 def test_people_in_context(spark):
     rows = mentions(
         spark,
