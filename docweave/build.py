@@ -28,6 +28,8 @@ class Options:
     owner: str | None = None
     types: dict[str, str] | None = None
     text_cap: int | None = None
+    owner_domain: str | None = None
+    generic_domains: tuple[str, ...] = t.GENERIC_DOMAINS
 
 
 def extract_stage(files: DataFrame, tables: Tables, settings: templates.Settings) -> tuple[DataFrame, DataFrame]:
@@ -44,9 +46,9 @@ def _surface_map(spelled: DataFrame) -> DataFrame:
     return spelled.filter("not domain").groupBy("surface").agg(F.min("company").alias("company"))
 
 
-def resolve_stage(mentions: DataFrame, facts: DataFrame, tables: Tables, owner: str | None = None, adjudicate: c.Adjudicator | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve_stage(mentions: DataFrame, facts: DataFrame, tables: Tables, owner: str | None = None, adjudicate: c.Adjudicator | None = None, generic: tuple[str, ...] = t.GENERIC_DOMAINS) -> tuple[DataFrame, DataFrame]:
     """Mentions with ``entity_id, method`` and their confidence, and the entities ``id, etype, name, key, attrs``."""
-    spelled, named = c.companies(mentions, tables, owner, adjudicate)
+    spelled, named = c.companies(mentions, tables, owner, adjudicate, generic)
     named = tables.save(named, "companies")
     key = F.concat(F.lit("c"), F.col("company").cast("string"))
     of_company = mentions.filter("etype = 'company'").withColumns({"domain": F.col("attrs")["domain"].isNotNull(), "truncated": F.coalesce(F.col("attrs")["truncated"] == "1", F.lit(False))})
@@ -174,11 +176,11 @@ def build_from_files(files: DataFrame, out: str, options: Options | None = None,
     options, spark, began = options or Options(), files.sparkSession, time.time()
     tables = Tables(spark, f"{out.rstrip('/')}.building-{uuid.uuid4().hex[:8]}")
     files = tables.save(files, "files")
-    name, domain, reason = (options.owner, None, "given") if options.owner else owners.detect(files)
+    name, domain, reason = (options.owner, options.owner_domain, "given") if options.owner else owners.detect(files, options.generic_domains)
     settings = templates.Settings(types=templates.learned_types(files, options.types), job_id=options.job_id, owner=name)
     mentions, facts = extract_stage(files, tables, settings)
     facts = tables.save(facts, "facts")
-    resolved, entities = resolve_stage(mentions, facts, tables, name, adjudicate)
+    resolved, entities = resolve_stage(mentions, facts, tables, name, adjudicate, options.generic_domains)
     owner_key = None if name is None else (entities.filter("etype = 'company' and attrs['role'] = 'owner'").select("key").first() or [None])[0]
     relate_stage(files, resolved, facts, entities, tables, owner_key)
     meta = {"owner": name, "owner_domain": domain, "owner_reason": reason, "seconds": f"{time.time() - began:.1f}"}

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import GENERIC_DOMAINS, LEGAL_SUFFIXES, STOP_WORDS
+from .text import LEGAL_SUFFIXES, STOP_WORDS
 
 # Scores of the rules, and the bounds from which a match is accepted.
 SPACING, ACRONYM, DOMAIN = 0.97, 0.85, 0.92
@@ -163,7 +163,3 @@ def company_match(mention: Column | str, candidate: Column | str, truncated: Col
 def lcs_ratio(a: Column | str, b: Column | str) -> Column:
     """``ratio`` of two columns."""
     return F.pandas_udf(lambda x, y: x.combine(y, ratio), "double")(a, b)
-
-
-def is_generic(domain: Column) -> Column:
-    return F.lower(domain).isin(*GENERIC_DOMAINS)

@@ -161,5 +161,5 @@ def email_domains(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"), 1), F.lower)
 
 
-def is_generic_domain(domain: Column) -> Column:
-    return F.lower(domain).isin(*GENERIC_DOMAINS)
+def is_generic_domain(domain: Column, generic: tuple[str, ...] = GENERIC_DOMAINS) -> Column:
+    return F.lower(domain).isin(*generic)

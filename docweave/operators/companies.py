@@ -27,14 +27,14 @@ def company_rank(role: Column) -> Column:
 Adjudicator = Callable[[DataFrame], DataFrame]
 
 
-def spellings(mentions: DataFrame, tables: Tables, owner: str | None = None) -> DataFrame:
+def spellings(mentions: DataFrame, tables: Tables, owner: str | None = None, generic: tuple[str, ...] = t.GENERIC_DOMAINS) -> DataFrame:
     """``place, surface, domain, truncated, anchor, plain, rank, n``: distinct spellings of companies, the most trusted role first, then the earliest."""
     rows = mentions.filter("etype = 'company'").select(
         "surface", F.col("attrs")["domain"].isNotNull().alias("domain"), F.coalesce(F.col("attrs")["truncated"] == "1", F.lit(False)).alias("truncated"), "role", "id"
     )
     if owner:
         rows = rows.unionByName(mentions.sparkSession.createDataFrame([(owner, False, False, "owner", -1)], rows.schema))
-    rows = rows.withColumn("rank", company_rank(F.col("role"))).filter(~(F.col("domain") & n.is_generic(F.col("surface"))))
+    rows = rows.withColumn("rank", company_rank(F.col("role"))).filter(~(F.col("domain") & t.is_generic_domain(F.col("surface"), generic)))
     distinct = rows.groupBy("surface", "domain", "truncated").agg(
         F.min(F.struct("rank", "id")).alias("first"), F.min_by("role", F.struct("rank", "id")).alias("role"), F.sum(F.when(F.col("id") >= 0, 1).otherwise(0)).alias("n")
     )
@@ -114,7 +114,7 @@ def _joined(spelled: DataFrame, edges: DataFrame, heads: DataFrame, agreed: Data
     return best(sure).unionByName(best(rest.join(unsure_only, "place", "left_anti")))
 
 
-def companies(mentions: DataFrame, tables: Tables, owner: str | None = None, adjudicate: Adjudicator | None = None) -> tuple[DataFrame, DataFrame]:
+def companies(mentions: DataFrame, tables: Tables, owner: str | None = None, adjudicate: Adjudicator | None = None, generic: tuple[str, ...] = t.GENERIC_DOMAINS) -> tuple[DataFrame, DataFrame]:
     """``surface, domain, truncated, company, score, method`` of each spelling, and ``company, name, key, role, domain`` of each company.
 
     Spellings are ordered by trust. Each joins the company before it that it matches best, if the score is accepted; the best of those in the unsure band is
@@ -122,7 +122,7 @@ def companies(mentions: DataFrame, tables: Tables, owner: str | None = None, adj
     What matches nothing is a company. Then companies are named by their spellings, and those whose names match become one, until no names match.
     Generic mail domains are no companies. Matches come from an index of names (``name_index``); no task holds all spellings.
     """
-    spelled = spellings(mentions, tables, owner)
+    spelled = spellings(mentions, tables, owner, generic)
     kind = F.struct("name", "domain", F.col("truncated").alias("cut"), "plain", F.when(F.col("domain"), F.lower("surface")).alias("mail"))
     spelled = spelled.withColumn("name", index.normal(F.col("surface"))).withColumn("full", index.normal(F.col("surface"), True)).withColumn("cut", F.col("truncated")).withColumn("kind", kind)
     spelled = tables.save(spelled, "company-spellings")

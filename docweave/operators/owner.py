@@ -22,7 +22,7 @@ def letterhead(files: DataFrame) -> DataFrame:
     return best.join(F.broadcast(total)).filter((F.col("n") >= MIN_FILES) & (F.col("n") >= F.col("total") * MIN_SHARE)).select("name", "n", "total")
 
 
-def mail_domain(files: DataFrame) -> DataFrame:
+def mail_domain(files: DataFrame, generic: tuple[str, ...] = t.GENERIC_DOMAINS) -> DataFrame:
     """``domain, n, sent, share``: the company domain in the headers of most mails; of several the one that sent more, then the first by name."""
     head = F.substring_index("text", "\n\n", 1)
     mails = files.filter("kind = 'eml' and text is not null").select("id", F.regexp_extract(head, r"(?m)^From: (.*)$", 1).alias("sender"), F.array_join(F.regexp_extract_all(head, F.lit(r"(?m)^(?:From|To|Cc): (.*)$"), 1), ", ").alias("every"))
@@ -30,7 +30,7 @@ def mail_domain(files: DataFrame) -> DataFrame:
     rows = mails.select("id", domains("sender").alias("sent"), F.explode(F.array_distinct(domains("every"))).alias("domain"))
     counted = rows.groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.size(F.filter("sent", lambda d: d == F.col("domain")))).alias("sent"))
     total = mails.agg(F.count("*").alias("total"))
-    best = counted.filter(~t.is_generic_domain(F.col("domain"))).orderBy(F.desc("n"), F.desc("sent"), "domain").limit(1).join(F.broadcast(total))
+    best = counted.filter(~t.is_generic_domain(F.col("domain"), generic)).orderBy(F.desc("n"), F.desc("sent"), "domain").limit(1).join(F.broadcast(total))
     return best.filter((F.col("n") >= MIN_MAILS) & (F.col("n") >= F.col("total") * MIN_MAIL_SHARE)).select("domain", "n", "sent", (F.col("n") / F.col("total")).alias("share"))
 
 
@@ -42,9 +42,9 @@ def named_for(files: DataFrame, domain: str) -> str | None:
     return best["name"] if best else None
 
 
-def detect(files: DataFrame) -> tuple[str | None, str | None, str]:
+def detect(files: DataFrame, generic: tuple[str, ...] = t.GENERIC_DOMAINS) -> tuple[str | None, str | None, str]:
     """Name, mail domain and the reason. A letterhead goes before a domain; a domain that doesn't fit it is left out."""
-    head, mails = letterhead(files).first(), mail_domain(files).first()
+    head, mails = letterhead(files).first(), mail_domain(files, generic).first()
     domain = mails["domain"] if mails else None
     if head:
         fits = domain is not None and n.match_domain(domain, head["name"]) is not None

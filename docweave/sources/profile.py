@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..build import Options
+from ..functions.text import GENERIC_DOMAINS
 from ..operators import extract
 from ..operators import files as ops
 
@@ -26,22 +28,25 @@ class Profile:
     owner: str | None = None
     owner_domain: str | None = None
     types: dict[str, str] = field(default_factory=lambda: dict(extract.TYPE_OF_PREFIX))
+    generic_domains: tuple[str, ...] = GENERIC_DOMAINS
 
     def options(self, owner: str | None = None) -> Options:
         """Options of a build; an owner that is given goes before the profile's."""
-        return Options(patterns=self.folder_patterns, skip_directories=self.skip_directories, job_id=self.job_id, owner=owner or self.owner, types=self.types)
+        return Options(patterns=self.folder_patterns, skip_directories=self.skip_directories, job_id=self.job_id, owner=owner or self.owner, types=self.types, owner_domain=None if owner else self.owner_domain, generic_domains=self.generic_domains)
 
 
 #: Keys of a profile file, and the fields that they set.
-KEYS = {"folderPatterns": "folder_patterns", "skipDirectories": "skip_directories", "jobIdPattern": "job_id", "owner": "owner", "ownerDomain": "owner_domain", "documentPrefixes": "types"}
+KEYS = {"folderPatterns": "folder_patterns", "skipDirectories": "skip_directories", "jobIdPattern": "job_id", "owner": "owner", "ownerDomain": "owner_domain", "documentPrefixes": "types", "genericEmailDomains": "generic_domains"}
 
 
 def parse(name: str, text: str) -> Profile:
     """A profile from JSON. Unknown keys are an error, so that a misspelt one is seen."""
     raw = json.loads(text)
-    known = {*KEYS, "genericEmailDomains", "legalSuffixes"}
+    known = {*KEYS, "legalSuffixes"}
     if unknown := sorted(set(raw) - known):
         raise ValueError(f"profile {name}: unknown keys {', '.join(unknown)}")
+    if raw.get("legalSuffixes") is not None:
+        warnings.warn(f"profile {name}: legalSuffixes is not used, names are compared without the usual ones", stacklevel=2)
     values = {KEYS[k]: tuple(v) if isinstance(v, list) else v for k, v in raw.items() if k in KEYS and v is not None}
     return Profile(name, **values)
 

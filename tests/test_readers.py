@@ -2,10 +2,12 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import relate
+from docweave.operators import companies, owner, relate
 from docweave.sources import profile, readers
+from docweave.tables import Tables
 
 
 def png(pixels: np.ndarray, method: int = 0) -> bytes:
@@ -80,3 +82,16 @@ def test_both_ways_to_find_aliases_agree(spark, monkeypatch):
         few = rows(longest)
         monkeypatch.setattr(relate, "LOOKUP_NAMES", 0)
         assert few == rows(longest) and len(few) > 5
+
+
+def test_a_profiles_settings_reach_the_build(spark):
+    found = profile.parse("p", '{"owner": "Me Ltd", "ownerDomain": "me.com", "genericEmailDomains": ["free.example"]}')
+    assert found.options().owner_domain == "me.com" and found.options("You").owner_domain is None and profile.parse("q", "{}").options().generic_domains
+    with pytest.warns(UserWarning, match="legalSuffixes"):
+        profile.parse("r", '{"legalSuffixes": ["ltd"]}')
+    rows = [(n, 1, "company", d, "email_domain", {"domain": d}) for n, d in enumerate(("free.example", "gmail.com"))]
+    mentions = spark.createDataFrame(rows, "id long, file_id long, etype string, surface string, role string, attrs map<string,string>")
+    kept = companies.spellings(mentions, Tables(spark), generic=found.options().generic_domains)
+    assert [r.surface for r in kept.collect()] == ["gmail.com"]
+    mails = spark.createDataFrame([(n, "eml", "From: a@gmail.com\nTo: b@free.example\n\nhi") for n in range(6)], "id long, kind string, text string")
+    assert owner.mail_domain(mails, found.generic_domains).first().domain == "gmail.com" and owner.mail_domain(mails).first().domain == "free.example"
