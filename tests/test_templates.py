@@ -134,6 +134,15 @@ def test_company_names(spark, text, names):
     assert spark.range(1).select(t.company_names(F.lit(text)).alias("n")).first().n == names
 
 
+@pytest.mark.parametrize(("text", "names"), [("De. Co.", []), ("We left Arrr. Co que", []), ("Ask Amazon.com Inc or J. Hall Ltd.", ["Ask Amazon.com Inc", "Hall Ltd."])])
+def test_company_names_end_with_the_sentence(spark, text, names):
+    from pyspark.sql import functions as F
+
+    from docweave.functions import text as t
+
+    assert spark.range(1).select(t.company_names(F.lit(text)).alias("n")).first().n == names
+
+
 def test_equal_mentions_share_their_attributes(spark):
     mail = "From: Ida Moreno <ida@one.com>\nTo: Ann Lee <ann@one.com>, Ann Lee <lee@two.com>\nSubject: Hello\n\nHi"
     mentions, facts = read(spark, ("a/m.eml", "eml", mail))
