@@ -60,6 +60,16 @@ def test_title_groups_have_whole_titles(spark, tmp_path):
     assert [(r.title, r.n_files) for r in got] == [("monthly report may", 2)]
 
 
+def test_title_groups_read_whole_turns(spark, duck, tmp_path):
+    long = "word " * 400
+    turns = [(1, 0, "user", long + "May"), (2, 0, "user", long + "June"), (3, 1, "user", long.upper() + "may"), (4, 2, "user", ""), (5, 3, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = registry.queries()["title_groups_min_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.title, r.n_files) for r in got) == [("user turn 0", 2), (long.strip() + " may", 2)]
+    sql = "WITH conversations AS (SELECT * FROM '{}/conversations.parquet/*.parquet'), ".format(tmp_path) + registry.oracle_sql()["title_groups_min_files"].removeprefix("WITH ")
+    assert plain((r.title, r.n_files) for r in got) == plain(duck.execute(sql).fetchall())
+
+
 def test_gazetteer_keeps_equal_and_shorter_items(spark, tmp_path):
     spark.createDataFrame([(1, "see Acme Tool Works here"), (2, "Acme Tool")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     items = [(1, "Acme Tool"), (2, "Acme Tool Works"), (3, "Acme Tool Works"), (4, "Works")]
