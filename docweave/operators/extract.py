@@ -56,7 +56,7 @@ def labelled(label: str) -> str:
 
 def own_number(text: Column, label: str) -> Column:
     """The first number that a label is followed by; null where there is none."""
-    return F.nullif(F.regexp_extract(text, labelled(label), 1), F.lit(""))
+    return t.filled(F.regexp_extract(text, labelled(label), 1))
 
 
 #: Templates that a labelled number or line recognises: document type, the label of its number, and labels of people's roles.

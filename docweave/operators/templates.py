@@ -47,7 +47,7 @@ def _map(**attrs: Column | str | None) -> Column:
 
 def _clean(surface: Column) -> Column:
     """A spelling without blanks, commas, semicolons and colons around it; null if nothing is left."""
-    return F.nullif(F.btrim(t.collapse_spaces(surface), F.lit(" ,;:")), F.lit(""))
+    return t.filled(F.btrim(t.collapse_spaces(surface), F.lit(" ,;:")))
 
 
 def link(etype: str, surface: Column, role: str, rel: str | None, out: bool = True, org: Column | None = None, org_role: str | None = None, confidence: float = 1.0, **attrs: Column | str | None) -> Column:
@@ -66,7 +66,7 @@ def found(doc_type: Column | str, key: Column, title: Column, links: Sequence[Co
 
 
 def _none(text: Column) -> Column:
-    return F.nullif(F.btrim(text, F.lit(t.BLANK)), F.lit(""))
+    return t.filled(F.btrim(text, F.lit(t.BLANK)))
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -77,11 +77,14 @@ def addresses(header: Column) -> Column:
     """``name, email`` of the addresses in a mail header; an address without a name is named after its local part."""
     entries = F.regexp_extract_all(F.coalesce(header, F.lit("")), F.lit(r'((?:"[^"]*"|[^,"])+)'), 1)
 
+    def named(email: Column, shown: Column) -> Column:
+        local = F.initcap(F.regexp_replace(F.substring_index(email, "@", 1), r"[._+-]+", " "))
+        return F.struct(F.when(shown.contains("@"), local).otherwise(F.coalesce(shown, local)).alias("name"), email.alias("email"))
+
     def one(entry: Column) -> Column:
         email = F.lower(F.regexp_extract(entry, r"([\w.+%-]+@[\w-]+(?:\.[\w-]+)+)", 1))
         shown = _none(F.regexp_replace(F.regexp_replace(entry, r"<[^>]*>", ""), '"', ""))
-        local = F.initcap(F.regexp_replace(F.substring_index(email, "@", 1), r"[._+-]+", " "))
-        return F.struct(F.when(shown.contains("@"), local).otherwise(F.coalesce(shown, local)).alias("name"), email.alias("email"))
+        return t.let(F.struct(email.alias("email"), shown.alias("shown")), lambda v: named(v["email"], v["shown"]))
 
     return F.filter(F.transform(entries, one), lambda a: a["email"] != "")
 
@@ -110,14 +113,14 @@ def file_number(stem: Column, types: dict[str, str]) -> tuple[Column, Column]:
 
 def _after(lines: Column, starts: str) -> Column:
     """The lines after the first that matches; none if none does."""
-    at = F.array_position(F.transform(lines, lambda s: s.rlike(starts)), True).cast("int")
-    return F.when(at > 0, F.slice(lines, at + 1, F.greatest(F.size(lines), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    found = F.array_position(F.transform(lines, lambda s: s.rlike(starts)), True).cast("int")
+    return t.let(found, lambda at: F.when(at > 0, F.slice(lines, at + 1, F.greatest(F.size(lines), F.lit(1)))).otherwise(F.array().cast("array<string>")))
 
 
 def _until(lines: Column, stops: str) -> Column:
     """The lines before the first that matches."""
-    at = F.array_position(F.transform(lines, lambda s: s.rlike(stops)), True).cast("int")
-    return F.when(at > 0, F.slice(lines, 1, at - 1)).otherwise(lines)
+    found = lambda some: F.array_position(F.transform(some, lambda s: s.rlike(stops)), True).cast("int")
+    return t.let(lines, lambda some: t.let(found(some), lambda at: F.when(at > 0, F.slice(some, 1, at - 1)).otherwise(some)))
 
 
 def _at(lines: Column, place: int) -> Column:
@@ -161,36 +164,45 @@ def meeting(s: Settings) -> Column:
 
 def business(s: Settings) -> Column:
     """Invoices, quotations, purchase orders and delivery notes: known by a heading in the first lines or by their number."""
-    lines = F.col("lines")
-    text = F.replace(F.col("text"), F.lit(" | "), F.lit(" "))
     kind = lambda line: F.coalesce(*[F.when((line == h) | line.endswith(f" {h}"), F.lit(k)) for h, k in HEADINGS.items()])
-    heading = _at(F.filter(F.transform(F.slice(lines, 1, 15), kind), lambda k: k.isNotNull()), 1)
-    number = t.field(text, "No", r"[A-Z]{2,5}-\d+")
-    number = F.when(heading.isNotNull() | x.type_of(number, s.types).isin(*HEADINGS.values()), number)
+    heading = _at(F.filter(F.transform(F.slice(F.col("lines"), 1, 15), kind), lambda k: k.isNotNull()), 1)
+    text = F.replace(F.col("text"), F.lit(" | "), F.lit(" "))
+
+    def known(v: Column) -> Column:
+        head = F.struct(v["heading"].alias("heading"), v["text"].alias("text"), F.when(v["heading"].isNotNull() | x.type_of(v["number"], s.types).isin(*HEADINGS.values()), v["number"]).alias("number"))
+        return t.let(head, lambda h: F.when(h["heading"].isNotNull() | h["number"].isNotNull(), _business(s, h["heading"], h["number"], h["text"])))
+
+    return t.let(t.let(text, lambda v: F.struct(heading.alias("heading"), v.alias("text"), t.field(v, "No", r"[A-Z]{2,5}-\d+").alias("number"))), known)
+
+
+def _business(s: Settings, heading: Column, number: Column, text: Column) -> Column:
+    """What a business document with this heading or number says; each pattern passes over its text once."""
     in_name, _ = file_number(F.col("stem"), s.types)
-    key = F.coalesce(number, in_name)
-    block = _until(_after(lines, "(?i)^BILL TO"), "(?i)^(?:attn|description)")
-    company, address = _at(block, 1), _none(F.array_join(F.slice(block, 2, F.greatest(F.size(block), F.lit(1))), ", "))
-    job, customer = t.field(text, "Job", ".+?"), F.coalesce(company, F.col("folder_company"))
-    described = F.regexp_extract_all(text, F.lit(_ITEM), 1)
-    code = lambda d: F.try_element_at(x.product_codes(d, s.types), F.lit(1))
-    items = F.transform(described, lambda d: F.when(code(d).isNotNull(), link("product", d, "line_item", "LISTS_PRODUCT", code=code(d), description=_none(F.replace(d, code(d), F.lit(""))))))
-    rows = F.transform(
-        F.sequence(F.lit(0), F.size(described)),
-        lambda i: F.struct(*[F.get(F.regexp_extract_all(text, F.lit(_ITEM), k), i).alias(n) for k, n in enumerate(("desc", "qty", "unit", "price", "total"), 1)]),
-    )
-    total = lambda label: F.regexp_extract(text, rf"(?im)^[ \t]*({label}[ \t]*:?\s*{_AMOUNT})[ \t]*$", 1)
-    quote = t.field(text, "Quote Ref", r"[A-Z]{2,5}-\d+")
-    links = [
-        link("company", company, "bill_to", "ISSUED_TO", address=address), link("person", t.field(text, "Attn", ".+?"), "attn", "ATTENTION_OF", org=company, org_role="bill_to"),
-        _job(job, customer=customer), link("document", quote, "reference", "REFERENCES", key=quote, doc_type="quote"),
-    ]
-    amount = lambda label: t.money(_none(total(label)))
-    named = found(
-        F.coalesce(heading, x.type_of(key, s.types)), key, key, links, [F.filter(items, lambda i: i.isNotNull())], date=t.field(text, "Date", DATE), job_title=job, total=amount("TOTAL"), subtotal=amount("Subtotal"),
-        currency=F.coalesce(t.currency(_none(total("TOTAL"))), t.currency(_first(text, _ITEM, 0))), line_items=F.when(F.size(described) > 0, F.to_json(F.filter(rows, lambda r: r["desc"].isNotNull()))),
-    )
-    return F.when(heading.isNotNull() | number.isNotNull(), named)
+    block = _until(_after(F.col("lines"), "(?i)^BILL TO"), "(?i)^(?:attn|description)")
+    total = lambda label: _none(F.regexp_extract(text, rf"(?im)^[ \t]*({label}[ \t]*:?\s*{_AMOUNT})[ \t]*$", 1))
+    parts = {
+        "key": F.coalesce(number, in_name), "block": block, "job": t.field(text, "Job", ".+?"), "quote": t.field(text, "Quote Ref", r"[A-Z]{2,5}-\d+"), "total": total("TOTAL"),
+        "described": F.regexp_extract_all(text, F.lit(_ITEM), 1),
+    }
+
+    def said(v: Column) -> Column:
+        key, job, quote, described = v["key"], v["job"], v["quote"], v["described"]
+        company, address = _at(v["block"], 1), _none(F.array_join(F.slice(v["block"], 2, F.greatest(F.size(v["block"]), F.lit(1))), ", "))
+        code = lambda d: F.try_element_at(x.product_codes(d, s.types), F.lit(1))
+        item = lambda d, c: F.when(c.isNotNull(), link("product", d, "line_item", "LISTS_PRODUCT", code=c, description=_none(F.replace(d, c, F.lit("")))))
+        items = F.transform(described, lambda d: t.let(code(d), lambda c: item(d, c)))
+        columns = F.struct(*[F.regexp_extract_all(text, F.lit(_ITEM), k).alias(n) for k, n in enumerate(("desc", "qty", "unit", "price", "total"), 1)])
+        rows = t.let(columns, lambda c: F.transform(c["desc"], lambda _, i: F.struct(*[F.get(c[n], i).alias(n) for n in ("desc", "qty", "unit", "price", "total")])))
+        links = [
+            link("company", company, "bill_to", "ISSUED_TO", address=address), link("person", t.field(text, "Attn", ".+?"), "attn", "ATTENTION_OF", org=company, org_role="bill_to"),
+            _job(job, customer=F.coalesce(company, F.col("folder_company"))), link("document", quote, "reference", "REFERENCES", key=quote, doc_type="quote"),
+        ]
+        return found(
+            F.coalesce(heading, x.type_of(key, s.types)), key, key, links, [F.filter(items, lambda i: i.isNotNull())], date=t.field(text, "Date", DATE), job_title=job, total=t.money(v["total"]), subtotal=t.money(total("Subtotal")),
+            currency=F.coalesce(t.currency(v["total"]), t.currency(_first(text, _ITEM, 0))), line_items=F.when(F.size(described) > 0, F.to_json(rows)),
+        )
+
+    return t.let(F.struct(*[c.alias(n) for n, c in parts.items()]), said)
 
 
 def drawing(s: Settings) -> Column:
@@ -387,11 +399,15 @@ def extract_files(files: DataFrame, settings: Settings | None = None, templates:
     is_mail = F.coalesce(F.col("doc.doc_type") == "email", F.lit(False))
     at_body = F.instr("text", "\n\n")
     body = F.when(at_body > 0, F.expr("substr(text, instr(text, '\\n\\n') + 2)")).otherwise("")
-    rows = _once(rows, said=F.when(is_mail, F.concat_ws("\n", F.col("doc.attrs")["subject"], body)).otherwise(F.col("text")), plain_text=F.when(is_mail, body).otherwise(F.col("text")))
-    rows = _once(rows, plain_lines=t.lines(F.col("plain_text")))
+    rows = _once(rows, is_mail=is_mail, is_plain=~F.col("known") | F.coalesce(F.col("doc.doc_type").isin("letter", "meeting_notes", "email"), F.lit(False)))
+    said = F.when(F.col("is_mail"), F.concat_ws("\n", F.col("doc.attrs")["subject"], body)).otherwise(F.col("text"))
+    # Of a mail the body alone, of other files the text; for files that are not read as plain text nothing is prepared.
+    plain_text = F.when(F.col("is_plain") & F.col("is_mail"), body).when(F.col("is_plain"), F.col("text")).otherwise("")
+    rows = _once(rows, said=said, plain_text=plain_text)
+    rows = _once(rows, plain_lines=F.when(F.col("is_mail"), t.lines(F.col("plain_text"))).otherwise(F.col("lines")))
     refs = F.transform(F.filter(x.references(F.col("said"), s.types), lambda n: n != key), lambda n: link("document", n, "reference", "REFERENCES", confidence=0.9, key=n, doc_type=x.type_of(n, s.types)))
     jobs = F.transform(F.array_distinct(F.regexp_extract_all("said", F.lit(s.job_id), 0)), lambda j: link("project", j, "reference", "HAS_DOCUMENT", False, confidence=0.9, job_id=j)) if s.job_id else F.array().cast(f"array<{LINK}>")
-    plain = F.when(~F.col("known") | F.col("doc.doc_type").isin("letter", "meeting_notes", "email"), F.filter(free_text(s, F.col("plain_text"), F.col("plain_lines")), lambda k: ~((k["etype"] == "document") & (k["surface"] == key)))).otherwise(F.array().cast(f"array<{LINK}>"))
+    plain = F.when(F.col("is_plain"), F.filter(free_text(s, F.col("plain_text"), F.col("plain_lines")), lambda k: ~((k["etype"] == "document") & (k["surface"] == key)))).otherwise(F.array().cast(f"array<{LINK}>"))
     none = F.array().cast(f"array<{LINK}>")
     rows = _once(rows, stated=F.filter(F.concat(F.coalesce("doc.links", none), F.array(*named), refs, jobs), lambda k: k["surface"].isNotNull()), plain=plain)
     linked = F.transform("stated", lambda k: F.struct(k["etype"], F.lower(k["surface"])))
@@ -459,6 +475,12 @@ def fact_rows(extracted: DataFrame) -> DataFrame:
     return rows.select((base + _place("pos")).alias("id"), "file_id", (base + F.col("f.src")).alias("src"), "f.rel", (base + F.col("f.dst")).alias("dst"))
 
 
+def named_facts(extracted: DataFrame) -> DataFrame:
+    """``file_id, src, rel, dst`` with the mentions themselves as ends, looked up within each file's row."""
+    rows = extracted.select("file_id", F.col("mentions").alias("m"), F.posexplode("facts").alias("pos", "f")).filter("f.src >= 0 and f.dst >= 0 and f.src != f.dst")
+    return rows.filter(_place("pos") >= 0).select("file_id", F.get("m", F.col("f.src")).alias("src"), "f.rel", F.get("m", F.col("f.dst")).alias("dst"))
+
+
 def attachments(files: DataFrame, mentions: DataFrame) -> DataFrame:
     """``file_id, src, rel, dst``: a member's own document is ATTACHED_TO its container's."""
     own = mentions.filter("role = 'self'").select("file_id", F.col("id").alias("own"))

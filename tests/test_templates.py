@@ -143,6 +143,27 @@ def test_company_names_end_with_the_sentence(spark, text, names):
     assert spark.range(1).select(t.company_names(F.lit(text)).alias("n")).first().n == names
 
 
+def test_a_branch_passes_over_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from docweave.functions import text as t
+
+    text = F.col("text")
+    for made in (t.money(text), t.currency(text), t.field(text, "No"), templates._clean(t.field(text, "No"))):
+        rows = spark.createDataFrame([("No: 1",)], "text string").select(F.when(text != "", made).alias("v"))
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
+def test_lines_are_trimmed(spark):
+    from pyspark.sql import functions as F
+
+    from docweave.functions import text as t
+
+    texts = [" a \r\n\n \x00b\rc \n\u00a0\n", "", None, "\n \n", "x", "a  b\n" + " " * 50_000 + "c"]
+    got = spark.createDataFrame([(v,) for v in texts], "text string").select(t.lines(F.col("text")).alias("v")).collect()
+    assert [r.v for r in got] == [["a", "b\rc", "\u00a0"], [], None, [], ["x"], ["a  b", "c"]]
+
+
 def test_equal_mentions_share_their_attributes(spark):
     mail = "From: Ida Moreno <ida@one.com>\nTo: Ann Lee <ann@one.com>, Ann Lee <lee@two.com>\nSubject: Hello\n\nHi"
     mentions, facts = read(spark, ("a/m.eml", "eml", mail))
