@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +19,11 @@ SETTINGS = templates.Settings()
 FILE = "id long, path string, parent_id long, sha256 string, kind string, status string, text string"
 
 
-def _as_files(rows: DataFrame, number: Column, path: Column, kind: str, text: Column) -> DataFrame:
-    none = F.lit(None)
-    made = rows.select(number.alias("id"), path.alias("path"), none.cast("long").alias("parent_id"), F.sha2(path, 256).alias("sha256"), F.lit(kind).alias("kind"), F.lit("ok").alias("status"), text.alias("text"))
-    return ops.with_context(made, [])
+def _as_files(rows: DataFrame, number: Column, path: Column, kind: Column | str, text: Column, patterns: Sequence[str] = ()) -> DataFrame:
+    none, kind = F.lit(None), kind if isinstance(kind, Column) else F.lit(kind)
+    status = F.when(text.isNull() & kind.isin("pdf", "png", "jpg"), "needs_ocr").otherwise("ok")
+    made = rows.select(number.alias("id"), path.alias("path"), none.cast("long").alias("parent_id"), F.sha2(path, 256).alias("sha256"), kind.alias("kind"), status.alias("status"), text.alias("text"))
+    return ops.with_context(made, list(patterns))
 
 
 def _invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,22 +32,68 @@ def _invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("doc_id").cast("string")
     text = F.concat(
         F.lit("INVOICE\nNo: INV-"), number, F.lit("\nDate: 4 Feb 2031\nJob: Review "), F.col("lang"), F.lit("\nQuote Ref: QUO-9"), number, F.lit("\nBILL TO:\n"), F.col("source"), F.lit(" Trading Ltd\nAttn: Ada "),
-        F.initcap("lang"), F.lit("\nDescription\nTOTAL: "), F.col("n_chars").cast("string"), F.lit(".50 EUR\n\n"), F.col("text"),
+        F.upper(F.substring("lang", 1, 1)), F.substring("lang", 2, 99), F.lit("\nDescription\nTOTAL: "), F.col("n_chars").cast("string"), F.lit(".50 EUR\n\n"), F.col("text"),
     )
     return _as_files(docs, F.col("doc_id"), F.concat(F.lit("in/doc"), number, F.lit(".txt")), "text", text)
 
 
+#: A second file of each document, in one of these forms by its number: path, kind, text ({n} is the number), and the facts that it states.
+FORMS = [
+    ("Customers/Acme {n} Corporation/JOB-2023-0003 Shrink Wrap Retrofit/Invoices/INV-8034_Acme {n} Corporation.pdf", "pdf", "Meridian Packaging Systems Ltd\nINVOICE\nNo: INV-8034\nDate: 11 Mar 2024\nJob: Shrink Wrap Retrofit\nQuote Ref: QUO-9999\nBILL TO:\nACME {n} Corp\n240 Priory Lane\nAttn: Thomas Bianchi\nDescription Qty Unit Unit Price Line Total\nCase Sealer CS-110 1 unit £3,344.00 £3,344.00\nSubtotal: £3,344.00\nTOTAL: £3,344.00\n",
+     [("Acme {n} Corporation", "HAS_PROJECT", "Shrink Wrap Retrofit"), ("INV-8034", "ISSUED_TO", "ACME {n} Corp"), ("Thomas Bianchi", "WORKS_FOR", "ACME {n} Corp"), ("INV-8034", "ATTENTION_OF", "Thomas Bianchi"), ("Shrink Wrap Retrofit", "HAS_DOCUMENT", "INV-8034"),
+      ("INV-8034", "REFERENCES", "QUO-9999"), ("INV-8034", "LISTS_PRODUCT", "Case Sealer CS-110"), ("INV-8034", "ISSUED_TO", "Acme {n} Corporation"), ("Shrink Wrap Retrofit", "HAS_DOCUMENT", "INV-8034")]),
+    ("Admin/Mail/re_{n}.eml", "eml", 'From: Sam Jones <sam.jones@gmail.com>\nTo: Thomas Bianchi <thomas.bianchi@acme{n}.com>, "Lee, Ann" <ann.lee@acme{n}.com>\nSubject: RE: Wrap Line {n} — schedule update\n\nHi Thomas, the invoice INV-8034 is attached.\n',
+     [("Wrap Line {n}", "HAS_DOCUMENT", "RE: Wrap Line {n} — schedule update"), ("Sam Jones", "WORKS_FOR", "gmail.com"), ("Sam Jones", "SENT", "RE: Wrap Line {n} — schedule update"), ("Thomas Bianchi", "WORKS_FOR", "acme{n}.com"), ("Thomas Bianchi", "RECEIVED", "RE: Wrap Line {n} — schedule update"), ("RE: Wrap Line {n} — schedule update", "REFERENCES", "INV-8034")]),
+    ("Customers/Acme {n} Corporation/Scans/INV-8099_Acme {n} Corporation.png", "png", None, [("INV-8099", "ISSUED_TO", "Acme {n} Corporation"), ("INV-8099", "FILED_UNDER", "Acme {n} Corporation")]),
+    ("Engineering/{n}/GB-40_Datasheet.pdf", "pdf", None, [("GB-40_Datasheet", "DESCRIBES", "GB-40")]),
+    ("Admin/Notes {n}/QUO-5238.txt", "text", "Follow-up on QUO-5238 and DN-6041.", [("QUO-5238", "REFERENCES", "DN-6041")]),
+    ("a/{n}.vcf", "vcf", "BEGIN:VCARD\nFN:Ann Lee\nORG:Acme {n} Ltd\nEMAIL:Ann@acme.com\nTEL:1", [("Ann Lee", "WORKS_FOR", "Acme {n} Ltd"), ("Contact card: Ann Lee", "DESCRIBES", "Ann Lee")]),
+    ("a/{n}.ics", "ics", "SUMMARY:Site visit – Wrap Line (Acme {n} Ltd)\nUID:{n}", [("Site visit – Wrap Line (Acme {n} Ltd)", "ADDRESSED_TO", "Acme {n} Ltd"), ("Wrap Line", "HAS_DOCUMENT", "Site visit – Wrap Line (Acme {n} Ltd)")]),
+    ("a/d{n}.pdf", "pdf", "Drawing No: DWG-{n}\nTitle: Frame {n}\nRev: B\nCustomer: Acme {n} Ltd\nJob: Wrap Line\nDrawn By: Ann Lee",
+     [("Frame {n}", "ISSUED_TO", "Acme {n} Ltd"), ("Wrap Line", "HAS_DOCUMENT", "Frame {n}"), ("Ann Lee", "WORKS_FOR", "{o}"), ("Ann Lee", "AUTHORED", "Frame {n}")]),
+    ("a/k{n}.pdf", "pdf", "Certificate No: CAL-{n}\nTechnician: Bob Ray\nResult: Pass", [("Bob Ray", "WORKS_FOR", "{o}"), ("Bob Ray", "AUTHORED", "CAL-{n}")]),
+    ("a/s{n}.pdf", "pdf", "CS-110 · Datasheet\nDoc No: DS{n}", [("CS-110 Datasheet (DS{n})", "DESCRIBES", "CS-110")]),
+    ("a/m{n}.pdf", "pdf", "CS-110-2\nOperating Manual {n}\n1 Jan 2020", [("CS-110-2 Operating Manual {n}", "DESCRIBES", "CS-110")]),
+    ("a/t{n}.pdf", "pdf", "SAFETY AT WORK\nThis is to certify that\nAnn Lee\nTraining Provider: Safe {n} Ltd\nExpiry: 1 Jan 2030", [("Ann Lee", "HOLDS", "Safety At Work – Ann Lee"), ("Safety At Work – Ann Lee", "ISSUED_BY", "Safe {n} Ltd")]),
+    ("a/i{n}.pdf", "pdf", "Body\nISO 9001\nWe certify that\nAcme {n} Ltd\nCertificate No: ISO-9001\nCertification Body: Cert {n} Co", [("Acme {n} Ltd", "HOLDS", "ISO 9001 certificate (ISO-9001)"), ("ISO 9001 certificate (ISO-9001)", "ISSUED_BY", "Cert {n} Co")]),
+    ("a/Letter_{n}.docx", "docx", "Meridian\n3 Mar 2024\nAcme {n} Ltd\nLane 1\nRe: News · Wrap Line\nDear Ann,\nText.\nYours sincerely,\nBob Ray\nManager, Meridian",
+     [("LETTER-{n}", "ADDRESSED_TO", "Acme {n} Ltd"), ("Wrap Line", "HAS_DOCUMENT", "LETTER-{n}"), ("Bob Ray", "WORKS_FOR", "{o}"), ("Bob Ray", "AUTHORED", "LETTER-{n}")]),
+    ("a/Contract_X.docx", "docx", "Supply Contract {n}\nBetween Acme {n} Ltd and Best Ltd\nRelating to: Wrap Line", [("Acme {n} Ltd", "PARTY_TO", "Supply Contract {n} (X)"), ("Best Ltd", "PARTY_TO", "Supply Contract {n} (X)"), ("Wrap Line", "HAS_DOCUMENT", "Supply Contract {n} (X)")]),
+    ("a/Q{n}_News.docx", "docx", "Internal Report\nDate: 1 Jan 2024 Author: Ann Lee", [("Ann Lee", "WORKS_FOR", "{o}"), ("Ann Lee", "AUTHORED", "Q{n} News")]),
+    ("a/v.docx", "docx", "Visit {n}\nPrepared by Ann Lee on 1 Jan 2024", [("Ann Lee", "WORKS_FOR", "{o}"), ("Ann Lee", "AUTHORED", "Visit {n}")]),
+    ("a/n.txt", "text", "Week {n}\nAttendees: Ann Lee, Bob Ray and Cy Dee", [("Ann Lee", "ATTENDED", "Week {n}"), ("Bob Ray", "ATTENDED", "Week {n}"), ("Cy Dee", "ATTENDED", "Week {n}")]),
+    ("a/price_{n}.xlsx", "xlsx", "Item | Price\nCase Sealer CS-110 | 5\nnone | 6", [("price {n}", "LISTS_PRODUCT", "Case Sealer CS-110")]),
+    ("a/o.pdf", "pdf", "INVOICE\nNo: INV-{n}\nBILL TO\nAcme {n} Ltd\nDescription\nSealer CS-110\n2\nunit\n£5.00\n£10.00\nTOTAL:\n£10.00", [("INV-{n}", "ISSUED_TO", "Acme {n} Ltd"), ("INV-{n}", "LISTS_PRODUCT", "Sealer CS-110")]),
+    ("a/shot{n}.png", "png", "JOB-2023-0003 open\nJOB-2023-0004 done", [("JOB-2023-0003", "HAS_DOCUMENT", "shot{n}"), ("JOB-2023-0004", "HAS_DOCUMENT", "shot{n}")] * 2),
+    ("a/x{n}.txt", "text", "We met Best Tools Ltd today.\nKind regards,\nAnn Lee\nSales, Harbor Robotics Inc", [("Ann Lee", "WORKS_FOR", "Harbor Robotics Inc"), ("x{n}", "MENTIONS", "Ann Lee"), ("x{n}", "MENTIONS", "Best Tools Ltd"), ("x{n}", "MENTIONS", "Harbor Robotics Inc")]),
+]
+OWNER = "Meridian Packaging Systems Ltd"
+PATTERNS = [r"Customers/{company}/{job_id:JOB-\d{4}-\d{4}} {title}/**", "Customers/{company}/**"]
+
+
+def _in_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of the form that its number falls to, numbered from -1 down."""
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    cells = F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(("path", "kind", "text"), form)]) for form in FORMS])
+    rows = docs.select("doc_id", F.get(cells, F.pmod("doc_id", F.lit(len(FORMS))).cast("int")).alias("form"))
+    numbered = lambda c: F.replace(F.col(f"form.{c}"), F.lit("{n}"), F.col("doc_id").cast("string"))
+    return _as_files(rows, -1 - F.col("doc_id"), numbered("path"), F.col("form.kind"), numbered("text"), PATTERNS)
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS f({columns})"
+
+
+_FORM_FACTS = _values("form, src, rel, dst", [(i, *fact) for i, form in enumerate(FORMS) for fact in form[3]])
 _PARTS = "doc_id AS file_id, 'INV-' || doc_id AS doc, source || ' Trading Ltd' AS company, 'Ada ' || upper(lang[1]) || lang[2:] AS person, 'Review ' || lang AS job, 'QUO-9' || doc_id AS quote"
 
 
 def extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts between spellings, of one extraction: each row carries its mentions, so no table of mentions is made first."""
-    found = Tables(spark).save(templates.extract_files(_invoices(spark, sf_dir), SETTINGS), "extracted")
-    known = templates.mention_rows(found).select("id", "surface")
-    facts = templates.fact_rows(found)
-    for end in ("src", "dst"):
-        facts = facts.join(known.select(F.col("id").alias(end), F.col("surface").alias(f"{end}_name")), end)
-    return facts.select("file_id", F.col("src_name").alias("src"), "rel", F.col("dst_name").alias("dst"))
+    """Facts between spellings of every document as an invoice and as a file of one further form; each row carries its mentions, so no table of mentions is made first."""
+    files = _invoices(spark, sf_dir).unionByName(_in_forms(spark, sf_dir))
+    facts = templates.named_facts(templates.extract_files(files, templates.Settings(job_id=r"JOB-\d{4}-\d{4}", owner=OWNER)))
+    return facts.select("file_id", F.col("src.surface").alias("src"), "rel", F.col("dst.surface").alias("dst"))
 
 
 def extract_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +110,9 @@ def mail_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\nKind regards,\nNora Vane\nsecond floor\nBuyer, Harrow Mills Ltd\nnora@harrow.example\n"),
     )
     files = _as_files(turns, F.col("conv_id") * 10_000 + F.col("turn"), F.concat(F.lit("mail/"), F.col("n"), F.lit(".eml")), "eml", text)
-    found = Tables(spark).save(templates.extract_files(files, SETTINGS), "extracted")
-    known = templates.mention_rows(found).select("id", "surface", "attrs")
-    facts = templates.fact_rows(found)
-    for end in ("src", "dst"):
-        facts = facts.join(known.select(F.col("id").alias(end), F.col("surface").alias(f"{end}_name"), F.col("attrs")["job_title"].alias(f"{end}_title")), end)
-    return facts.select("file_id", F.col("src_name").alias("src"), "rel", F.col("dst_name").alias("dst"), F.coalesce("src_title", "dst_title").alias("job_title"))
+    facts = templates.named_facts(templates.extract_files(files, SETTINGS))
+    title = lambda end: F.col(f"{end}.attrs")["job_title"]
+    return facts.select("file_id", F.col("src.surface").alias("src"), "rel", F.col("dst.surface").alias("dst"), F.coalesce(title("src"), title("dst")).alias("job_title"))
 
 
 def _spelled(name: Column, number: Column) -> Column:
@@ -117,7 +161,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (extract_facts, extract_ment
 SQL: dict[str, str] = {
     "extract_facts": f"""WITH d AS (SELECT {_PARTS} FROM documents)
         SELECT file_id, doc AS src, 'ISSUED_TO' AS rel, company AS dst FROM d UNION ALL SELECT file_id, person, 'WORKS_FOR', company FROM d UNION ALL SELECT file_id, doc, 'ATTENTION_OF', person FROM d
-        UNION ALL SELECT file_id, job, 'HAS_DOCUMENT', doc FROM d UNION ALL SELECT file_id, doc, 'REFERENCES', quote FROM d""",
+        UNION ALL SELECT file_id, job, 'HAS_DOCUMENT', doc FROM d UNION ALL SELECT file_id, doc, 'REFERENCES', quote FROM d
+        UNION ALL SELECT -1 - doc_id, replace(replace(src, '{{n}}', doc_id::VARCHAR), '{{o}}', '{OWNER}'), rel, replace(replace(dst, '{{n}}', doc_id::VARCHAR), '{{o}}', '{OWNER}') FROM documents JOIN {_FORM_FACTS} ON form = doc_id % {len(FORMS)}""",
     "extract_mentions": f"""WITH d AS (SELECT {_PARTS}, n_chars FROM documents), none AS (SELECT NULL::DOUBLE AS total)
         SELECT file_id, 0::BIGINT AS pos, 'document' AS etype, doc AS surface, 'self' AS role, 1.0::DOUBLE AS confidence, n_chars + 0.5::DOUBLE AS total FROM d
         UNION ALL SELECT file_id, 1, 'company', company, 'bill_to', 1.0, NULL FROM d UNION ALL SELECT file_id, 2, 'person', person, 'attn', 1.0, NULL FROM d

@@ -60,6 +60,11 @@ def test_title_groups_have_whole_titles(spark, tmp_path):
     assert [(r.title, r.n_files) for r in got] == [("monthly report may", 2)]
 
 
+def test_extracted_facts_come_from_every_template(spark):
+    found = {r.rel for r in registry.queries()["extract_facts"](spark, DATA).select("rel").distinct().collect()}
+    assert found == set("ISSUED_TO WORKS_FOR ATTENTION_OF HAS_DOCUMENT REFERENCES HAS_PROJECT LISTS_PRODUCT SENT RECEIVED FILED_UNDER DESCRIBES ADDRESSED_TO AUTHORED HOLDS ISSUED_BY PARTY_TO ATTENDED MENTIONS".split())
+
+
 def test_title_groups_read_whole_turns(spark, duck, tmp_path):
     long = "word " * 400
     turns = [(1, 0, "user", long + "May"), (2, 0, "user", long + "June"), (3, 1, "user", long.upper() + "may"), (4, 2, "user", ""), (5, 3, "user", None)]
