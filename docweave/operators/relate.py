@@ -63,10 +63,34 @@ def derive(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return edges.unionByName(new.select(edges.columns))
 
 
+#: Entities that are sent to every task.
+FEW = 100_000
+
+
+def touching(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Facts with an end among ``ids`` (``id``, distinct). Ids counted as few are sent to the tasks, so that no fact is shuffled to find them."""
+    few = len(ids.limit(FEW + 1).collect()) <= FEW
+    for end in ("src", "dst"):
+        marks = ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
+        facts = facts.join(F.broadcast(marks) if few else marks, end, "left")
+    return facts.filter(F.col("_src").isNotNull() | F.col("_dst").isNotNull()).drop("_src", "_dst")
+
+
+def around(facts: DataFrame, entities: DataFrame, center: int) -> DataFrame:
+    """The relations, stated and derived, that touch one entity. A derived one rests on a document that a stated one links to
+    the entity, so the facts that touch the entity's neighbours give all of them with their whole weights."""
+    own = facts.filter((F.col("src") == center) | (F.col("dst") == center))
+    near = own.select(F.explode(F.array("src", "dst", F.lit(center).cast("long"))).alias("id")).distinct()
+    found = derive(relations(touching(facts, near)), entities)
+    return found.filter((F.col("src") == center) | (F.col("dst") == center))
+
+
 def unlinked(entities: DataFrame, edges: DataFrame, etype: str) -> DataFrame:
     """Entities of a type that no relation touches."""
-    touched = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return entities.filter(F.col("etype") == etype).join(touched, "id", "left_anti")
+    wanted = entities.filter(F.col("etype") == etype)
+    for end in ("src", "dst"):
+        wanted = wanted.join(edges.select(F.col(end).alias("id")).distinct(), "id", "left_anti")
+    return wanted
 
 
 def missing_documents(entities: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from docweave.operators import graph, relate
 from docweave.plans import registry, star
 
 DATA = "/root/testdata/sf0.001"
@@ -109,3 +111,30 @@ def test_similar_titles_of_all_pages(spark):
         if ratio >= 90:
             want[a] = (best, ratio)
     assert {a: v[0] for a, v in rows.items()} == {a: v[0] for a, v in want.items()} and len(want) > 20
+
+
+def test_paths_and_hops_of_repeated_facts(spark):
+    facts = spark.createDataFrame([(f, a, "SENT", b) for f in (1, 2) for a, b in ((1, 2), (2, 3), (1, 4), (4, 3))], "file_id long, src long, rel string, dst long")
+    assert [r.path for r in graph.shortest_paths(1, 3, facts).collect()] == [[1, 2, 3], [1, 4, 3]]
+    start = spark.createDataFrame([(1,)], "start long")
+    assert sorted((r.node, r.hop) for r in graph.within_hops(start, facts, 2).collect()) == [(1, 0), (2, 1), (3, 2), (4, 1)]
+
+
+def test_relations_around_an_entity(spark, monkeypatch):
+    facts, nodes = star.facts(spark, DATA), star.entities(spark, DATA)
+    every = relate.derive(relate.relations(facts), nodes).collect()
+    for few in (relate.FEW, 0):
+        monkeypatch.setattr(relate, "FEW", few)
+        for center in (11, 73):
+            got = relate.around(facts, nodes, center).select("src", "dst", "rel", "weight", "derived").collect()
+            assert plain(got) == plain((r.src, r.dst, r.rel, r.weight, r.derived) for r in every if center in (r.src, r.dst)) and len(got) > 10
+
+
+def test_relations_among_few_and_many(spark, monkeypatch):
+    edges = relate.relations(star.facts(spark, DATA))
+    ids = edges.filter("src < 200").select(F.col("src").alias("id")).union(edges.filter("src < 200").select("dst")).distinct()
+    few = graph.relations_among(ids, edges).collect()
+    monkeypatch.setattr(graph, "FEW_NODES", 0)
+    columns = ["src", "dst", "rel", "weight"]
+    many = graph.relations_among(ids, edges).select(*columns).collect()
+    assert few and plain(tuple(r[c] for c in columns) for r in few) == plain(many)
