@@ -15,7 +15,7 @@ from .operators import files as file_ops
 from .operators import owner as owners
 from .operators import relate, resolve, templates
 from .sources import ingest
-from .tables import Tables, ranked
+from .tables import Tables, partitions, ranked
 
 
 @dataclass(frozen=True)
@@ -157,7 +157,8 @@ def relate_stage(files: DataFrame, mentions: DataFrame, facts: DataFrame, entiti
     more = relate.link_gazetteer(named, mentions)
     mentions = mentions.unionByName(named)
     every = tables.save(stated.select("file_id", "src", "rel", "dst").unionByName(more.select("file_id", "src", "rel", "dst")), "all-facts")
-    edges = tables.save(relate.derive(relate.relations(every), entities), "edges")
+    parts = partitions(tables.spark, every.count())
+    edges = tables.save(relate.derive(relate.relations(every, parts), entities, every, parts), "edges")
     numbered = tables.save(ranked(edges, tables, "edge-ids", F.col("src"), F.col("dst"), F.col("rel")), "relations")
     tables.save(relate.evidence(every).join(numbered.select("src", "dst", "rel", F.col("id").alias("relation_id")), relate.EDGE).select("relation_id", "file_id"), "relation_evidence")
     orphans = relate.unlinked(entities, edges, "document").select("id")

@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import spread
+
 EDGE = ["src", "dst", "rel"]
+#: Relations that are derived.
+SHORTCUTS = ("INVOLVED_IN", "USES_PRODUCT", "PURCHASED_OR_QUOTED")
 
 
 def entity_facts(facts: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -27,39 +31,48 @@ def evidence(facts: DataFrame) -> DataFrame:
     return facts.filter("src != dst").select(*EDGE, "file_id").distinct()
 
 
-def relations(facts: DataFrame) -> DataFrame:
-    """``src, dst, rel, weight, derived``: a stated relation weighs as many as the distinct files that state it."""
-    return evidence(facts).groupBy(*EDGE).agg(F.count("*").alias("weight")).withColumn("derived", F.lit(0))
+def relations(facts: DataFrame, parts: int | None = None) -> DataFrame:
+    """``src, dst, rel, weight, derived``: a stated relation weighs as many as the distinct files that state it.
+    ``parts``, here and below, is the number of partitions of what is shuffled, Spark's own if not given."""
+    return evidence(spread(facts.select(*EDGE, "file_id"), parts, "src", "dst")).groupBy(*EDGE).agg(F.count("*").alias("weight")).withColumn("derived", F.lit(0))
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: Column, src: str, dst: str, rel: str) -> DataFrame:
-    joined = left.alias("a").join(right.alias("b"), on)
-    return joined.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.count("*").alias("weight")).withColumn("rel", F.lit(rel))
+def _pairs(left: DataFrame, right: DataFrame, document: tuple[str, str], ends: tuple[str, str], rel: str, parts: int | None) -> DataFrame:
+    """Pairs of relations, which ``left`` and ``right`` may repeat, that share a document, counted by their other ends. Dealt by the document,
+    relations are made distinct and joined where they are."""
+    once = lambda side, key: spread(side.filter("src != dst").select(*EDGE), parts, key).distinct()
+    a, b = once(left, document[0]).alias("a"), once(right, document[1]).alias("b")
+    joined = a.join(b, F.col(f"a.{document[0]}") == F.col(f"b.{document[1]}")).select(F.col(f"a.{ends[0]}").alias("src"), F.col(f"b.{ends[1]}").alias("dst"))
+    return spread(joined, parts, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("weight")).withColumn("rel", F.lit(rel))
 
 
-def involved_in(edges: DataFrame) -> DataFrame:
-    """A person who wrote, sent or received a project's document is involved in the project."""
+def involved_in(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """A person who wrote, sent or received a project's document is involved in the project.
+    ``edges``, here and in the next two, are relations, or the facts behind them, which may repeat."""
     acts = edges.filter(F.col("rel").isin("AUTHORED", "SENT", "RECEIVED"))
-    return _pairs(acts, edges.filter("rel = 'HAS_DOCUMENT'"), F.col("a.dst") == F.col("b.dst"), "a.src", "b.src", "INVOLVED_IN")
+    return _pairs(acts, edges.filter("rel = 'HAS_DOCUMENT'"), ("dst", "dst"), ("src", "src"), "INVOLVED_IN", parts)
 
 
-def uses_product(edges: DataFrame, entities: DataFrame) -> DataFrame:
+def uses_product(edges: DataFrame, entities: DataFrame, parts: int | None = None) -> DataFrame:
     """A project uses the products that its documents list or describe."""
     products = entities.filter("etype = 'product'").select(F.col("id").alias("dst"))
     listed = edges.filter(F.col("rel").isin("LISTS_PRODUCT", "DESCRIBES")).join(products, "dst", "left_semi")
-    return _pairs(edges.filter("rel = 'HAS_DOCUMENT'"), listed, F.col("a.dst") == F.col("b.src"), "a.src", "b.dst", "USES_PRODUCT")
+    return _pairs(edges.filter("rel = 'HAS_DOCUMENT'"), listed, ("dst", "src"), ("src", "dst"), "USES_PRODUCT", parts)
 
 
-def purchased_or_quoted(edges: DataFrame) -> DataFrame:
+def purchased_or_quoted(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """A company bought, or was quoted, the products that documents issued to it list."""
-    return _pairs(edges.filter("rel = 'ISSUED_TO'"), edges.filter("rel = 'LISTS_PRODUCT'"), F.col("a.src") == F.col("b.src"), "a.dst", "b.dst", "PURCHASED_OR_QUOTED")
+    return _pairs(edges.filter("rel = 'ISSUED_TO'"), edges.filter("rel = 'LISTS_PRODUCT'"), ("src", "src"), ("dst", "dst"), "PURCHASED_OR_QUOTED", parts)
 
 
-def derive(edges: DataFrame, entities: DataFrame) -> DataFrame:
+def derive(edges: DataFrame, entities: DataFrame, facts: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Stated relations and the shortcuts derived from them, which weigh as many as the pairs of
-    relations behind them; a shortcut that is stated already is not added."""
-    found = involved_in(edges).unionByName(uses_product(edges, entities)).unionByName(purchased_or_quoted(edges))
-    new = found.join(edges.select(*EDGE), EDGE, "left_anti").withColumn("derived", F.lit(1))
+    relations behind them; a shortcut that is stated already is not added. With the ``facts`` behind the relations,
+    shortcuts are sought in these, so that no relation is counted before."""
+    behind = edges if facts is None else facts
+    found = involved_in(behind, parts).unionByName(uses_product(behind, entities, parts)).unionByName(purchased_or_quoted(behind, parts))
+    stated = behind.filter(F.col("rel").isin(*SHORTCUTS) & (F.col("src") != F.col("dst"))).select(*EDGE)
+    new = found.join(stated, EDGE, "left_anti").withColumn("derived", F.lit(1))
     return edges.unionByName(new.select(edges.columns))
 
 

@@ -13,6 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a partition that is grouped, sorted or joined.
+ROWS = 500_000
+
+
+def partitions(spark: SparkSession, rows: int) -> int:
+    """So many that none has far more than ``ROWS`` of the rows, and one for each core at least. Spark's own count is one for all inputs, and
+    it joins small partitions up to bytes as compressed, of which a row of ids has fewer than ten, so that a task's memory grows with the input."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
+def spread(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``rows`` dealt to ``parts`` partitions by their keys; as they are without ``parts``."""
+    return rows if parts is None else rows.repartition(parts, *keys)
+
+
 class Tables:
     """Parquet tables in a folder that driver and executors share: a given one, or a new one below ``spark.checkpoint.dir``."""
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from docweave import tables
 from docweave.operators import graph, relate
 from docweave.plans import registry, star
 
@@ -138,3 +139,33 @@ def test_relations_among_few_and_many(spark, monkeypatch):
     columns = ["src", "dst", "rel", "weight"]
     many = graph.relations_among(ids, edges).select(*columns).collect()
     assert few and plain(tuple(r[c] for c in columns) for r in few) == plain(many)
+
+
+def test_relations_of_facts_in_given_partitions(spark):
+    facts, nodes = star.facts(spark, DATA), star.entities(spark, DATA)
+    stated = [(7, 31, "SENT", 42), (8, 31, "SENT", 42), (7, 5, "HAS_DOCUMENT", 42), (8, 5, "HAS_DOCUMENT", 42), (9, 42, "HAS_DOCUMENT", 42), (9, 64, "INVOLVED_IN", 5), (9, 64, "AUTHORED", 42)]
+    facts = facts.union(spark.createDataFrame(stated, "file_id long, src long, rel string, dst long"))
+    columns = ["src", "dst", "rel", "weight", "derived"]
+    want = plain(relate.derive(relate.relations(facts), nodes).select(*columns).collect())
+    found = relate.derive(relate.relations(facts, 7), nodes, facts, 7).select(*columns)
+    assert plain(found.collect()) == want
+    assert plain([(31, 5, "INVOLVED_IN", 1, 1), (64, 5, "INVOLVED_IN", 1, 0)]) == [r for r in want if r[2] == "'INVOLVED_IN'" and r[0] in ("31", "64") and r[1] == "5"]
+    assert relate.relations(facts, 7).rdd.getNumPartitions() == relate.involved_in(facts, 7).rdd.getNumPartitions() == 7
+
+
+def dealt(spark, name, monkeypatch, capsys):
+    """A query's rows with many partitions, and how often its plan deals rows to as many."""
+    monkeypatch.setattr(tables, "ROWS", 500)
+    parts = star.parts(spark, DATA)
+    assert parts > 25
+    found = registry.queries()[name](spark, DATA)
+    found.explain()
+    return found, capsys.readouterr().out.count(f", {parts}), REPARTITION_BY_NUM")
+
+
+def test_partitions_of_neighbours_follow_the_facts(spark, duck, monkeypatch, capsys):
+    found, n = dealt(spark, "neighbours_ranked", monkeypatch, capsys)
+    assert n >= 12 and found.rdd.getNumPartitions() == star.parts(spark, DATA)
+    columns = "center, id, etype, weight, type_rank, place"
+    want = duck.execute(f"SELECT {columns} FROM ({registry.oracle_sql()['neighbours_ranked']})").fetchall()
+    assert plain(found.select(*columns.split(", ")).collect()) == plain(want)
