@@ -65,7 +65,7 @@ def resolve_stage(mentions: DataFrame, facts: DataFrame, tables: Tables, owner:
     in_company = known.filter("company is not null").groupBy(F.col("title_key").alias("title"), "company").agg(F.min("key").alias("by_company"), F.count("*").alias("n")).filter("n = 1").drop("n")
     alone = known.groupBy(F.col("title_key").alias("title")).agg(F.min("key").alias("by_title"), F.count("*").alias("n")).filter("n = 1").drop("n")
     open_titles = project.filter("job is null").select("title").join(known.select(F.col("title_key").alias("title")), "title", "left_anti")
-    close = tables.save(resolve.similar_titles(open_titles, known.select(F.col("title_key").alias("title"))).select("title", "known"), "similar-titles")
+    close = tables.save(resolve.similar_titles(open_titles, known.select(F.col("title_key").alias("title")), tables).select("title", "known"), "similar-titles")
     at_folder = project.filter("role = 'folder' and job is not null").groupBy("file_id").agg(F.min("job").alias("key")).join(known.select("key", "title_key", F.col("company").alias("folder_company")), "key")
     at_folder = at_folder.select("file_id", F.col("key").alias("folder_job"), F.col("title_key").alias("folder_title"), "folder_company")
     asked = project.join(close, "title", "left").withColumns({"own_title": F.col("title"), "title": F.coalesce("known", "title")}).join(at_folder, "file_id", "left")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweave import build
@@ -125,6 +126,54 @@ def test_few_titles_are_scored(spark):
     assert {(a, b) for a in titles for b in known if names.ratio(a, b) >= 90} <= pairs and len(pairs) < 0.005 * len(titles) * len(known)
 
 
+def _plain_best(titles, known):
+    """Each title's most similar known one, worked out pair by pair."""
+    best = {x: max((names.ratio(x, k), k) for k in known) for x in titles}
+    return {x: (k, r) for x, (r, k) in best.items() if r >= 90}
+
+
+def test_one_letter_apart_is_found_without_pairs(spark, monkeypatch):
+    """Hundreds of titles made of few syllables and without a letter each: no title has to be held against the others."""
+    draw = random.Random(5)
+    made = lambda: " ".join("".join(draw.choice(["th", "er", "tion", "an", "ou"]) for _ in range(draw.randint(1, 4))) for _ in range(7))[:60].strip()
+    known = sorted({made() for _ in range(400)} | {"abcde", "abcdef", "abcdeg", "line 12", "line 123", "line 124", "line 1"})
+    titles = sorted({k[: len(k) // 2] + k[len(k) // 2 + 1 :] for k in known if len(k) > 9} | {"abcde", "abcdex", "line 12", "line 1234", "line", "line 12x"})
+
+    def never(*_, **__):
+        raise AssertionError("titles are compared pair by pair")
+
+    monkeypatch.setattr(resolve, "title_pairs", never)
+    of = lambda values: spark.createDataFrame([(v,) for v in values], "title string")
+    rows = {r.title: (r.known, r.ratio) for r in resolve.similar_titles(of(titles), of(known)).collect()}
+    # Longer before shorter, the greatest of several alike; "abcdex" is ten elevenths of "abcde", "line" too short for any.
+    assert rows["line 1234"] == ("line 124", names.ratio("line 1234", "line 124")) and rows["abcde"] == ("abcde", 100.0) and rows["abcdex"][0] == "abcde" and "line" not in rows
+    assert len(rows) > 390 and all(ratio == names.ratio(title, k) >= 90 for title, (k, ratio) in rows.items())
+    some = draw.sample(sorted(rows), 25)
+    assert {x: rows[x] for x in some} == _plain_best(some, known)
+
+
+@pytest.mark.parametrize("letters", [resolve.LETTERS, 300])
+def test_titles_several_letters_apart(spark, monkeypatch, letters):
+    """In one block for all lengths that are close, and in many; also titles of more letters than a machine word has bits."""
+    monkeypatch.setattr(resolve, "LETTERS", letters)
+    draw = random.Random(9)
+    known = ["".join(draw.choice("abcdeé漢 ") for _ in range(draw.choice([9, 10, 20, 63, 64, 65, 130]))) for _ in range(50)]
+    titles = []
+    for k in known:
+        kept, gone = list(k), draw.randint(0, len(k) // 5)
+        for _ in range(gone):
+            at = draw.randrange(len(kept))
+            kept[at : at + 1] = draw.choice(["", "x"])
+        titles.append("".join(kept))
+    of = lambda values: spark.createDataFrame([(v,) for v in values], "title string")
+    want = _plain_best(set(titles), known)
+    assert {r.title: (r.known, r.ratio) for r in resolve.similar_titles(of(titles), of(known)).collect()} == want and len(want) > 25
+    pairs = {(r.title, r.known): r.ratio for r in resolve.title_pairs(of(titles), of(known)).collect()}
+    assert pairs == {(a, b): names.ratio(a, b) for a in titles for b in known if names.ratio(a, b) >= 90}
+    best = {(r.title, r.known): r.ratio for r in resolve.title_pairs(of(titles), of(known), best=True).collect()}
+    assert best.items() <= pairs.items() and {(a, k) for a, (k, _) in want.items()} <= best.keys()
+
+
 def test_projects_by_title_and_folder(spark):
     project = lambda file, title, role, **attrs: (file, "project", title, role, {"title": title} | attrs)
     rows = [
